@@ -14,6 +14,15 @@ OBJ = "map<string,variant>"
 ARR = "array<variant>"
 
 
+def once(expr: str) -> Column:
+    """Column computed exactly where it is defined.
+
+    A later filter or explode would otherwise be pushed below the definition with the whole tree
+    expression copied into it; the optimizer leaves non-deterministic columns in place.
+    """
+    return F.expr(f"if(spark_partition_id() >= 0, {expr}, NULL)")
+
+
 def depth_of(col: str) -> Column:
     """Bracket nesting of a JSON text outside string literals."""
     return F.expr(f"""
@@ -88,8 +97,8 @@ def leaves_of(nodes: str) -> str:
 def with_nodes(df: DataFrame, text_col: str, out: str = "nodes", depth: int | None = None) -> DataFrame:
     """Add the node array of a JSON text column (NULL where the text is not one document)."""
     depth = nesting_depth(df, text_col) if depth is None else depth
-    return (df.withColumn("_v", F.expr(strict_variant(text_col)))
-              .withColumn(out, F.expr(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v', depth)} END"))
+    return (df.withColumn("_v", once(strict_variant(text_col)))
+              .withColumn(out, once(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v', depth)} END"))
               .drop("_v"))
 
 

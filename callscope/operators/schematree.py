@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.jsontree import ARR, OBJ, SEP, nesting_depth, strict_variant
+from callscope.functions.jsontree import ARR, OBJ, SEP, nesting_depth, once, strict_variant
 
 # fixed values: members whose subtrees are schemas
 MAP_KEYS = ("properties", "patternProperties", "definitions", "$defs", "dependentSchemas")
@@ -71,8 +71,8 @@ def schema_tree(v: str, rounds: int) -> str:
 
 def with_schema_tree(schemas: DataFrame, body: str = "body", out: str = "tree") -> DataFrame:
     rounds = nesting_depth(schemas, body)
-    return (schemas.withColumn("_v", F.expr(strict_variant(body)))
-            .withColumn(out, F.expr(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v', rounds)} END")).drop("_v"))
+    return (schemas.withColumn("_v", once(strict_variant(body)))
+            .withColumn(out, once(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v', rounds)} END")).drop("_v"))
 
 
 def schema_nodes(schemas: DataFrame, profile: str = "keyword", key: str = "schema_id", body: str = "body") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.jsontext import salvage_json
-from callscope.functions.jsontree import ARR, OBJ, SEP, leaves_of, nesting_depth, strict_variant, tree_nodes
+from callscope.functions.jsontree import ARR, OBJ, SEP, leaves_of, nesting_depth, once, strict_variant, tree_nodes
 from callscope.functions.text import NUMERIC_TEXT, clean_sql, norm_sql
 from callscope.operators.schematree import rule_errors_sql
 
@@ -32,7 +32,7 @@ NODE = ("array<struct<path:string,pos:string,ptr:string,key:string,pkey:string,l
 def strict_json(df: DataFrame, col: str, out: str = "strict") -> DataFrame:
     """VARIANT of a single clean document: no duplicate keys, wrappers, NaN or overflow to infinity."""
     v = strict_variant(col)
-    return df.withColumn(out, F.expr(
+    return df.withColumn(out, once(
         f"transform(array({v}), v -> CASE WHEN to_json(v) RLIKE '(?<![A-Za-z0-9\"])-?Infinity' THEN NULL ELSE v END)[0]"))
 
 
@@ -42,13 +42,13 @@ def extract_json(df: DataFrame, raw: str = "raw_content") -> DataFrame:
     Adds call (VARIANT object or NULL), json_valid, json_strict, n_json_objects, multiple_calls.
     The Arrow salvage sees a value only where the JVM parser refused the whole text.
     """
-    df = df.withColumn("_body", F.expr(clean_sql(raw)))
-    df = df.withColumn("_fast", F.expr(strict_variant("_body")))
+    df = df.withColumn("_body", once(clean_sql(raw)))
+    df = df.withColumn("_fast", once(strict_variant("_body")))
     df = df.withColumn("_slow", salvage_json(F.expr("CASE WHEN _fast IS NULL THEN _body END")))
     df = df.withColumn("_doc", F.expr("coalesce(_fast, try_parse_json(_slow.body))"))
     df = df.withColumn("_list", F.expr(f"try_cast(_doc as {ARR})"))
     return (df
-            .withColumn("call", F.expr(f"""CASE
+            .withColumn("call", once(f"""CASE
                 WHEN _list IS NOT NULL THEN CASE WHEN try_cast(try_element_at(_list, 1) as {OBJ}) IS NOT NULL
                                                  THEN try_element_at(_list, 1) END
                 WHEN try_cast(_doc as {OBJ}) IS NOT NULL THEN _doc END"""))
@@ -77,7 +77,7 @@ def project_call(df: DataFrame) -> DataFrame:
     df = df.withColumn("arguments_was_string", F.expr(
         "coalesce(schema_of_variant(_args) = 'STRING' AND "
         f"{strict_variant('cast(_args as string)')} IS NOT NULL, false)"))
-    df = df.withColumn("args", F.expr(
+    df = df.withColumn("args", once(
         f"CASE WHEN arguments_was_string THEN {strict_variant('cast(_args as string)')} ELSE _args END"))
     return (df
             .withColumn("pred_tool", F.expr("CASE WHEN schema_of_variant(_name) = 'STRING' THEN cast(_name as string) END"))
@@ -149,7 +149,7 @@ def align_sql(pred: str, gold: str, paths: str) -> str:
 
 def compare_fields(df: DataFrame) -> DataFrame:
     """Per-field comparison of args_nodes with gold_nodes; adds fields and the derived outcomes."""
-    df = df.withColumn("aligned", F.expr(align_sql("arg_nodes", "gold_nodes", "unordered_paths")))
+    df = df.withColumn("aligned", once(align_sql("arg_nodes", "gold_nodes", "unordered_paths")))
     df = df.withColumn("_gl", F.expr(leaves_of("gold_nodes")))
     alt = "concat(array(named_struct('kind', g.kind, 'txt', g.txt, 'num', g.num, 'json', g.json)), " \
           "coalesce(variants[g.path], cast(array() as array<struct<kind:string,txt:string,num:double,json:string>>)))"
@@ -157,13 +157,13 @@ def compare_fields(df: DataFrame) -> DataFrame:
     verdict = f"""transform({alt}, a -> named_struct('list', a.kind = 'ARR',
         'same', p.kind = 'ARR' AND a.kind = 'ARR' AND p.json = a.json,
         'sem', a.kind <> 'ARR' AND {semantic_sql('p', 'a')}, 'exact', a.kind <> 'ARR' AND {exact_sql('p', 'a')}))"""
-    df = df.withColumn("fields", F.expr(f"""transform(_gl, g -> transform(array(get({found}, 0)), p ->
+    df = df.withColumn("fields", once(f"""transform(_gl, g -> transform(array(get({found}, 0)), p ->
         transform(array(CASE WHEN p IS NOT NULL THEN {verdict} END), m -> named_struct(
           'path', g.path, 'present', p IS NOT NULL,
           'semantic', coalesce(exists(m, z -> z.sem OR z.same), false),
           'exact', coalesce(exists(m, z -> z.exact OR z.same), false),
           'scalar_ok', coalesce(exists(m, z -> z.sem), false)))[0])[0])"""))
-    df = df.withColumn("extra_paths", F.expr(f"""array_sort(array_distinct(transform(filter({leaves_of('aligned')}, p -> NOT exists(_gl, g ->
+    df = df.withColumn("extra_paths", once(f"""array_sort(array_distinct(transform(filter({leaves_of('aligned')}, p -> NOT exists(_gl, g ->
         p.path = g.path OR startswith(p.path, concat(g.path, '[')) OR startswith(p.path, concat(g.path, '.')))), p -> p.path)))"""))
     shape = lambda n: (f"array_sort(transform({n}, n -> concat(n.path, CASE n.kind WHEN 'OBJ' THEN "
                        f"concat(':O', to_json(n.keys)) WHEN 'ARR' THEN concat(':A', n.n) ELSE ':S' END)))")
@@ -272,7 +272,7 @@ def parse_outputs(results: DataFrame, raw: str = "raw_content", depth: int | Non
     df = project_call(extract_json(results, raw))
     if depth is None:
         depth = nesting_depth(results, raw)
-    return df.withColumn("arg_nodes", F.expr(f"CASE WHEN format_ok THEN {tree_nodes('args', depth)} END"))
+    return df.withColumn("arg_nodes", once(f"CASE WHEN format_ok THEN {tree_nodes('args', depth)} END"))
 
 
 def prepare_tasks(tasks: DataFrame, gold: str = "gold_args", variants: str | None = "acceptable_variants") -> DataFrame:
@@ -284,7 +284,7 @@ def prepare_tasks(tasks: DataFrame, gold: str = "gold_args", variants: str | Non
     source = f"try_cast(try_parse_json({variants}) as map<string,array<variant>>)" if variants else \
         "cast(null as map<string,array<variant>>)"
     return (tasks.withColumn("_g", F.expr(f"try_parse_json({gold})"))
-            .withColumn("gold_nodes", F.expr(tree_nodes("_g", depth)))
+            .withColumn("gold_nodes", once(tree_nodes("_g", depth)))
             .withColumn("variants", F.expr(f"transform_values({source}, (k, v) -> transform(v, e -> {item}))"))
             .drop("_g"))
 
@@ -292,7 +292,7 @@ def prepare_tasks(tasks: DataFrame, gold: str = "gold_args", variants: str | Non
 def schema_errors(calls: DataFrame, rules: DataFrame, on: str = "tool_name") -> DataFrame:
     """Add schema_errors (validator, path) for arg_nodes, unchecked keywords from the rule row."""
     return (calls.join(rules, on, "left")
-            .withColumn("schema_errors", F.expr(f"CASE WHEN arg_nodes IS NOT NULL THEN {rule_errors_sql()} END")))
+            .withColumn("schema_errors", once(f"CASE WHEN arg_nodes IS NOT NULL THEN {rule_errors_sql()} END")))
 
 
 def score(results: DataFrame, tasks: DataFrame, rules: DataFrame, catalogs: DataFrame,
@@ -342,10 +342,10 @@ def route(outputs: DataFrame, rules: DataFrame, raw: str = "raw_content") -> Dat
                                        "schema_of_variant(try_variant_get(_c, '$.tool', 'variant')) = 'STRING'"))
           .withColumn("_tool", F.expr("CASE WHEN _shape THEN try_variant_get(_c, '$.tool', 'string') END"))
           .withColumn("_member", F.expr("coalesce(array_contains(catalog_tools, _tool), false)"))
-          .withColumn("_a", F.expr("CASE WHEN _member THEN try_variant_get(_c, '$.arguments', 'variant') END"))
-          .withColumn("arg_nodes", F.expr(f"CASE WHEN _a IS NOT NULL THEN {tree_nodes('_a', depth)} END")))
+          .withColumn("_a", once("CASE WHEN _member THEN try_variant_get(_c, '$.arguments', 'variant') END"))
+          .withColumn("arg_nodes", once(f"CASE WHEN _a IS NOT NULL THEN {tree_nodes('_a', depth)} END")))
     r = rules.select(F.col(rules.columns[0]).alias("_tool"), "rules", "groups")
-    df = df.join(r, "_tool", "left").withColumn("_errs", F.expr(f"size({rule_errors_sql()})"))
+    df = df.join(r, "_tool", "left").withColumn("_errs", once(f"size({rule_errors_sql()})"))
     return (df.withColumn("route_reason", F.expr("""CASE WHEN truncated THEN 'truncated'
                 WHEN _c IS NULL THEN 'strict_json' WHEN NOT coalesce(_shape, false) THEN 'envelope'
                 WHEN NOT _member THEN 'tool_not_in_catalog' WHEN _errs > 0 THEN 'raw_schema' ELSE 'valid' END"""))

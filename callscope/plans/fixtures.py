@@ -133,6 +133,10 @@ SELECT request_key, arm, ((task_id * 37 + arm_no * 11 + size) % 1000) / 1000.0 A
 FROM fx_expected"""
 
 # ------------------------------------------------------------------ schema corpus from part
+def words_sql() -> str:
+    return ",".join(WORDS)
+
+
 def _word(i: str) -> str:
     return f"split_part('{','.join(WORDS)}', ',', cast(({i}) % 40 + 1 AS int))"
 
@@ -140,7 +144,8 @@ def _word(i: str) -> str:
 FX["fx_schema_key"] = f"""
 SELECT p_partkey, subset, name, subset || '/' || name AS schema_id, eff, n_props, first_prop,
        CASE WHEN eff % 31 = 0 THEN 'missing' WHEN eff % 29 = 0 THEN 'cyclic' WHEN eff % 7 = 0 THEN 'ref'
-            WHEN eff % 11 = 0 THEN 'nested' WHEN eff % 13 = 0 THEN 'objects' WHEN eff % 5 = 0 THEN 'enum'
+            WHEN eff % 11 = 0 THEN 'nested' WHEN eff % 13 = 0 THEN 'objects' WHEN eff % 17 = 0 THEN 'tuple'
+            WHEN eff % 5 = 0 THEN 'enum'
             ELSE 'plain' END AS shape,
        eff % 37 = 0 AS unsat, eff % 43 = 0 AS bad_required, eff % 47 = 0 AS bad_root
 FROM (SELECT *, {_word('eff * 7')} AS first_prop, 1 + eff % 17 AS n_props,
@@ -153,6 +158,7 @@ _FIRST = """CASE shape WHEN 'missing' THEN '{"$ref":"#/definitions/nope"}' WHEN
     WHEN 'ref' THEN '{"$ref":"#/definitions/d"}'
     WHEN 'nested' THEN '{"type":"object","properties":{"inner":{"type":"integer"}}}'
     WHEN 'objects' THEN '{"type":"array","items":{"type":"object","properties":{"leaf":{"type":"string"}}}}'
+    WHEN 'tuple' THEN '{"type":"array","items":[{"type":"string"},{"type":"integer"}]}'
     WHEN 'enum' THEN '{"type":"string","enum":["a","b"]}' ELSE '{"type":"string"}' END"""
 _REST = " || ".join(
     f"CASE WHEN n_props > {i} THEN ',\"' || {_word(f'eff * 7 + {3 * i}')} || '\":{{\"type\":\"string\",\"minLength\":1}}' ELSE '' END"
@@ -176,7 +182,7 @@ SELECT *, (CASE WHEN subset IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'subset_ex
           (CASE WHEN shape = 'missing' THEN 'nonlocal_or_unresolvable_ref;' ELSE '' END) ||
           (CASE WHEN bad_required THEN 'rules_violated;' ELSE '' END) ||
           (CASE WHEN unsat AND NOT bad_required THEN 'known_unsatisfiable_pattern;' ELSE '' END) AS reasons,
-       CASE WHEN shape IN ('missing', 'cyclic', 'ref', 'nested', 'objects') THEN 'structured' ELSE 'flat' END AS stratum
+       CASE WHEN shape IN ('missing', 'cyclic', 'ref', 'nested', 'objects', 'tuple') THEN 'structured' ELSE 'flat' END AS stratum
 FROM fx_schema_key"""
 
 FX["fx_pool"] = """
