@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.jsontext import normalized_forms, text_forms
-from callscope.functions.jsontree import ARR, OBJ, SEP, nesting_depth, strict_variant, tree_nodes, with_nodes
-from callscope.operators.schematree import schema_nodes, sql_list, with_schema_tree
+from callscope.functions.jsontree import ARR, OBJ, SEP, nesting_depth, once, strict_variant, tree_nodes, with_nodes
+from callscope.operators.schematree import schema_nodes, schema_tree, sql_list, with_schema_tree
 
 # fixed values: keyword groups of the audit
 CONSTRAINTS = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength",
@@ -36,15 +36,13 @@ def _obj(v: str, k: str) -> str:
     return f"try_variant_get({v}, '$[\"{k}\"]', '{OBJ}')"
 
 
-def schema_features(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id", "subset")) -> DataFrame:
-    """17 flags, depth and node count per document, all from the node array inside the row."""
-    t = with_schema_tree(schemas).withColumn("_w", F.expr("filter(tree, n -> n.feat AND n.keys IS NOT NULL)"))
-    t = t.withColumn("_k", F.expr("array_distinct(flatten(transform(_w, n -> n.keys)))"))
+def _feature_columns() -> list[Column]:
+    """Flag columns over _w (feature-walker nodes) and _k (their member names)."""
     has = lambda *ks: F.expr(f"arrays_overlap(_k, array({sql_list(ks)}))")
     items = "try_variant_get(n.v, '$.items', 'variant')"
     arrayish = f"(array_contains({_types('n.v')}, 'array') OR array_contains(n.keys, 'items'))"
-    return t.select(
-        *keep, has("$ref").alias("has_ref"), has("enum").alias("has_enum"), has("oneOf").alias("has_oneOf"),
+    return [
+        has("$ref").alias("has_ref"), has("enum").alias("has_enum"), has("oneOf").alias("has_oneOf"),
         has("anyOf").alias("has_anyOf"), has("allOf").alias("has_allOf"), has("not").alias("has_not"),
         has(*CONDITIONALS).alias("has_conditional"), has("patternProperties").alias("has_patternProperties"),
         has(*CONSTRAINTS).alias("has_constraints"), F.expr(f"exists(_w, n -> {arrayish})").alias("has_array"),
@@ -56,25 +54,41 @@ def schema_features(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id", "s
                "AND NOT try_variant_get(n.v, '$.additionalProperties', 'boolean'), false))").alias("has_additionalProperties_false"),
         has("default").alias("has_default"),
         F.expr(f"coalesce(array_max(transform(filter(_w, n -> {_obj('n.v', 'properties')} IS NOT NULL), n -> n.depth + 1)), 0)").alias("max_depth"),
-        F.expr("size(_w)").alias("n_schema_nodes"))
+        F.expr("size(_w)").alias("n_schema_nodes")]
 
 
-def top_level_info(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> DataFrame:
-    """Property counts, structured properties and stratum of the root object."""
-    d = schemas.withColumn("_v", F.expr(strict_variant("body")))
+def _with_walk(d: DataFrame) -> DataFrame:
+    d = d.withColumn("_w", once("filter(tree, n -> n.feat AND n.keys IS NOT NULL)"))
+    return d.withColumn("_k", once("array_distinct(flatten(transform(_w, n -> n.keys)))"))
+
+
+def schema_features(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id", "subset")) -> DataFrame:
+    """17 flags, depth and node count per document, all from the node array inside the row."""
+    return _with_walk(with_schema_tree(schemas)).select(*keep, *_feature_columns())
+
+
+def _with_root(d: DataFrame) -> DataFrame:
     d = d.withColumn("_p", F.expr(f"coalesce({_obj('_v', 'properties')}, cast(map() as {OBJ}))"))
     struct = (f"try_cast(e.value as {OBJ}) IS NOT NULL AND (arrays_overlap({_types('e.value')}, array('object', 'array')) OR "
               f"arrays_overlap(map_keys(try_cast(e.value as {OBJ})), array('properties', 'items', '$ref', 'oneOf', 'anyOf', 'allOf')))")
-    d = d.withColumn("structured_top_props", F.expr(f"transform(filter(map_entries(_p), e -> {struct}), e -> e.key)"))
-    return d.select(
-        *keep, F.expr("cardinality(_p)").alias("n_top_props"),
+    return d.withColumn("structured_top_props", F.expr(f"transform(filter(map_entries(_p), e -> {struct}), e -> e.key)"))
+
+
+def _top_columns() -> list[Column]:
+    return [
+        F.expr("cardinality(_p)").alias("n_top_props"),
         F.expr("coalesce(size(filter(try_variant_get(_v, '$.required', 'array<string>'), r -> array_contains(map_keys(_p), r))), 0)").alias("n_required"),
-        "structured_top_props",
+        F.col("structured_top_props"),
         F.expr("CASE WHEN size(structured_top_props) > 0 THEN 'structured' ELSE 'flat' END").alias("stratum"),
         F.expr("coalesce(try_variant_get(_v, '$.title', 'string'), '') <> '' OR "
                "coalesce(try_variant_get(_v, '$.description', 'string'), '') <> ''").alias("has_title_or_description"),
         F.expr(f"""cardinality(_p) > 0 AND (try_variant_get(_v, '$.type', 'variant') IS NULL
-               OR coalesce(to_json(try_variant_get(_v, '$.type', 'variant')) IN ('"object"', '["object"]'), false))""").alias("root_object_with_properties"))
+               OR coalesce(to_json(try_variant_get(_v, '$.type', 'variant')) IN ('"object"', '["object"]'), false))""").alias("root_object_with_properties")]
+
+
+def top_level_info(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> DataFrame:
+    """Property counts, structured properties and stratum of the root object."""
+    return _with_root(schemas.withColumn("_v", once(strict_variant("body")))).select(*keep, *_top_columns())
 
 
 def doc_sizes(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> DataFrame:
@@ -98,61 +112,73 @@ _TARGET = f"""CASE WHEN r = '#' THEN '' WHEN startswith(r, '#/') THEN concat('{S
     k -> try_url_decode(replace(replace(replace(k, '~1', '/'), '~0', '~'), '+', '%2B'))), '{SEP}')) END"""
 
 
-def _refs(schemas: DataFrame, keep) -> DataFrame:
-    d = with_nodes(schemas.select(*keep, "body"), "body")
-    return d.withColumn("refs", F.expr(f"""transform(filter(nodes, n -> n.key = '$ref' AND n.kind = 'STR'), n -> transform(array(n.txt), r ->
+def _refs(d: DataFrame) -> DataFrame:
+    """References of a frame that already holds nodes."""
+    return d.withColumn("refs", once(f"""transform(filter(nodes, n -> n.key = '$ref' AND n.kind = 'STR'), n -> transform(array(n.txt), r ->
         named_struct('at', substring_index(n.ptr, '{SEP}', size(split(n.ptr, '{SEP}')) - 1), 'ref', r, 'target', {_TARGET}))[0])"""))
 
 
 def ref_edges(schemas: DataFrame) -> DataFrame:
     """Every $ref string anywhere, literal positions included."""
-    return (_refs(schemas, ("schema_id",)).select("schema_id", F.explode("refs").alias("r"))
+    return (_refs(with_nodes(schemas.select("schema_id", "body"), "body")).select("schema_id", F.explode("refs").alias("r"))
             .select("schema_id", F.expr(f"replace(r.at, '{SEP}', '/')").alias("at_path"), F.col("r.ref").alias("target_ref")))
 
 
-def ref_status(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> DataFrame:
-    """none / local_ok / cyclic / nonlocal_or_unresolvable.
-
-    A reference leads to every reference inside its target. References without successors are
-    removed until nothing changes; whatever is left sits on or behind a cycle. Cycles are
-    reported before unresolved references.
-    """
-    d = _refs(schemas, keep)
-    d = d.withColumn("_known", F.expr("transform(nodes, n -> n.ptr)"))
-    d = d.withColumn("_graph", F.expr(f"""transform(filter(array_distinct(transform(refs, x -> named_struct('ref', x.ref, 'target', x.target))),
+def _with_ref_graph(d: DataFrame) -> DataFrame:
+    d = _refs(d)
+    d = d.withColumn("_known", once("transform(nodes, n -> n.ptr)"))
+    d = d.withColumn("_graph", once(f"""transform(filter(array_distinct(transform(refs, x -> named_struct('ref', x.ref, 'target', x.target))),
         x -> x.target IS NOT NULL), x -> named_struct('ref', x.ref, 'next', array_distinct(transform(filter(refs, y ->
           x.target = '' OR y.at = x.target OR startswith(y.at, concat(x.target, '{SEP}'))), y -> y.ref))))"""))
-    d = d.withColumn("_left", F.expr("""aggregate(sequence(1, size(_graph) + 1),
+    d = d.withColumn("_left", once("""aggregate(sequence(1, size(_graph) + 1),
         named_struct('go', true, 'g', transform(_graph, x -> x.ref)),
         (s, i) -> CASE WHEN NOT s.go THEN s ELSE transform(array(transform(filter(_graph, x -> array_contains(s.g, x.ref)
               AND exists(x.next, y -> array_contains(s.g, y))), x -> x.ref)),
             z -> named_struct('go', size(z) < size(s.g), 'g', z))[0] END, s -> size(s.g))"""))
-    return d.select(*keep, F.expr("size(refs)").alias("n_refs"), F.expr("""CASE WHEN nodes IS NULL OR size(refs) = 0 THEN 'none'
+    return d
+
+
+def _ref_columns() -> list[Column]:
+    return [F.expr("coalesce(size(refs), 0)").alias("n_refs"), F.expr("""CASE WHEN nodes IS NULL OR size(refs) = 0 THEN 'none'
         WHEN _left > 0 THEN 'cyclic'
         WHEN exists(refs, x -> x.target IS NULL OR NOT array_contains(_known, x.target)) THEN 'nonlocal_or_unresolvable'
-        ELSE 'local_ok' END""").alias("ref_status"))
+        ELSE 'local_ok' END""").alias("ref_status")]
+
+
+def ref_status(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> DataFrame:
+    """none / local_ok / cyclic / nonlocal_or_unresolvable.
+
+    A reference leads to every reference inside its target. References without successors are
+    removed until nothing changes; whatever is left sits on or behind a cycle. Cycles are
+    reported before unresolved references.
+    """
+    return _with_ref_graph(with_nodes(schemas.select(*keep, "body"), "body")).select(*keep, *_ref_columns())
 
 
 # ---------------------------------------------------------------- rule checks
-def schema_rule_violations(schemas: DataFrame) -> DataFrame:
-    """Malformed keyword values at schema positions, one row per (node, rule)."""
-    n = schema_nodes(schemas)
-    kind = lambda k: f"schema_of_variant(try_variant_get(node, '$[\"{k}\"]', 'variant'))"
-    strings = lambda k: f"forall(try_variant_get(node, '$[\"{k}\"]', '{ARR}'), e -> schema_of_variant(e) = 'STRING')"
+def _broken_rules(node: str, keys: str) -> str:
+    """SQL: names of the keyword rules one schema node breaks."""
+    kind = lambda k: f"schema_of_variant(try_variant_get({node}, '$[\"{k}\"]', 'variant'))"
+    strings = lambda k: f"forall(try_variant_get({node}, '$[\"{k}\"]', '{ARR}'), e -> schema_of_variant(e) = 'STRING')"
     number = lambda k: f"left({kind(k)}, 3) NOT IN ('BIG', 'DEC', 'DOU')"
     rules = [
-        ("type_name", f"""array_contains(keys, 'type') AND NOT coalesce(CASE WHEN {kind('type')} = 'STRING'
-            THEN try_variant_get(node, '$.type', 'string') IN ({sql_list(TYPE_NAMES)})
-            ELSE {strings('type')} AND size(array_except(try_variant_get(node, '$.type', 'array<string>'), array({sql_list(TYPE_NAMES)}))) = 0 END, false)"""),
-        ("required_array", f"array_contains(keys, 'required') AND NOT coalesce({strings('required')}, false)"),
-        ("enum_array", f"array_contains(keys, 'enum') AND NOT startswith({kind('enum')}, 'ARRAY')"),
-        ("pattern_string", f"array_contains(keys, 'pattern') AND {kind('pattern')} <> 'STRING'"),
-        ("properties_object", f"array_contains(keys, 'properties') AND NOT startswith({kind('properties')}, 'OBJECT')"),
-    ] + [(f"{k}_number", f"array_contains(keys, '{k}') AND {number(k)}")
+        ("type_name", f"""array_contains({keys}, 'type') AND NOT coalesce(CASE WHEN {kind('type')} = 'STRING'
+            THEN try_variant_get({node}, '$.type', 'string') IN ({sql_list(TYPE_NAMES)})
+            ELSE {strings('type')} AND size(array_except(try_variant_get({node}, '$.type', 'array<string>'), array({sql_list(TYPE_NAMES)}))) = 0 END, false)"""),
+        ("required_array", f"array_contains({keys}, 'required') AND NOT coalesce({strings('required')}, false)"),
+        ("enum_array", f"array_contains({keys}, 'enum') AND NOT startswith({kind('enum')}, 'ARRAY')"),
+        ("pattern_string", f"array_contains({keys}, 'pattern') AND {kind('pattern')} <> 'STRING'"),
+        ("properties_object", f"array_contains({keys}, 'properties') AND NOT startswith({kind('properties')}, 'OBJECT')"),
+    ] + [(f"{k}_number", f"array_contains({keys}, '{k}') AND {number(k)}")
          for k in ("minimum", "maximum", "multipleOf", "minLength", "maxLength", "minItems", "maxItems",
                    "minProperties", "maxProperties")]
     arr = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in rules)
-    return (n.select("schema_id", "ptr", F.expr(f"explode(filter(array({arr}), r -> r IS NOT NULL))").alias("rule"))
+    return f"filter(array({arr}), r -> r IS NOT NULL)"
+
+
+def schema_rule_violations(schemas: DataFrame) -> DataFrame:
+    """Malformed keyword values at schema positions, one row per (node, rule)."""
+    return (schema_nodes(schemas).select("schema_id", "ptr", F.explode(once(_broken_rules("node", "keys"))).alias("rule"))
             .withColumn("ptr", F.expr(f"replace(ptr, '{SEP}', '/')")))
 
 
@@ -173,14 +199,18 @@ def unsat_nodes(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> D
 
 # ---------------------------------------------------------------- audit
 def audit(schemas: DataFrame) -> DataFrame:
-    """One row per document with everything eligibility needs; all parts keyed by schema_id."""
-    key = ("schema_id",)
-    out = schema_features(schemas)
-    for part in (top_level_info(schemas, key), doc_sizes(schemas, key), ref_status(schemas, key),
-                 unsat_nodes(schemas, key), normalize_schemas(schemas, key).drop("normalized")):
-        out = out.join(part, "schema_id")
-    bad = schema_rule_violations(schemas).select("schema_id").distinct().withColumn("_bad", F.lit(True))
-    return out.join(bad, "schema_id", "left").withColumn("rules_valid", F.col("_bad").isNull()).drop("_bad")
+    """One row per document with everything eligibility needs: one parse, one pass, no join."""
+    depth = nesting_depth(schemas, "body")
+    d = schemas.withColumn("_v", once(strict_variant("body")))
+    d = (d.withColumn("tree", once(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v', depth)} END"))
+         .withColumn("nodes", once(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v', depth)} END"))
+         .withColumn("_text", text_forms("body")).withColumn("_norm", normalized_forms("body")))
+    d = _with_ref_graph(_with_root(_with_walk(d)))
+    return d.select(
+        "schema_id", "subset", *_feature_columns(), *_top_columns(), "_text.chars_pretty", "_text.chars_min",
+        "_text.bytes_min", *_ref_columns(), F.coalesce(unsat_column(), F.lit(False)).alias("known_unsatisfiable"),
+        F.col("_norm.status").alias("normalize_status"), F.sha2("_norm.canonical", 256).alias("normalized_sha256"),
+        F.expr(f"""NOT exists(filter(tree, n -> n.keys IS NOT NULL), n -> size({_broken_rules('n.v', 'n.keys')}) > 0)""").alias("rules_valid"))
 
 
 def eligibility(audited: DataFrame, included: list[str], min_props: int = 1, max_props: int = 15,
