@@ -30,14 +30,18 @@ def _card(params: str) -> str:
 def info_subset(schemas: DataFrame, body: str = "body", out: str = "info") -> DataFrame:
     """Per top-level property: type (missing -> string), non-empty description, enum; required that exist."""
     d = schemas.withColumn("_v", once(strict_variant(body)))
-    prop = f"""concat('{{"type":', coalesce(CASE WHEN {_truthy('e.value', 'type')} THEN to_json(try_variant_get(e.value, '$.type', 'variant')) END, '"string"'),
-        CASE WHEN {_truthy('e.value', 'description')} THEN concat(',"description":', to_json(try_variant_get(e.value, '$.description', 'variant'))) ELSE '' END,
-        CASE WHEN schema_of_variant(try_variant_get(e.value, '$.enum', 'variant')) <> 'VOID' THEN concat(',"enum":', to_json(try_variant_get(e.value, '$.enum', 'variant'))) ELSE '' END, '}}')"""
-    props = f"coalesce(try_variant_get(_v, '$.properties', '{OBJ}'), cast(map() as {OBJ}))"
-    req = f"filter(coalesce(try_variant_get(_v, '$.required', 'array<string>'), cast(array() as array<string>)), r -> array_contains(map_keys({props}), r))"
-    return d.withColumn(out, F.expr(f"""concat('{{"type":"object","properties":{{', array_join(transform(map_entries({props}),
-        e -> concat(substr(to_json(array(e.key)), 2, char_length(to_json(array(e.key))) - 2), ':', {prop})), ','), '}}',
-        CASE WHEN size({req}) > 0 THEN concat(',"required":', to_json({req})) ELSE '' END, '}}')""")).drop("_v")
+    # property order is read from the text: VARIANT keeps keys sorted
+    d = d.withColumn("_order", F.expr(f"coalesce(json_object_keys(get_json_object({body}, '$.properties')), cast(array() as array<string>))"))
+    d = d.withColumn("_props", F.expr(f"coalesce(try_variant_get(_v, '$.properties', '{OBJ}'), cast(map() as {OBJ}))"))
+    q = lambda k: f"substr(to_json(array({k})), 2, char_length(to_json(array({k}))) - 2)"
+    at = lambda k: f"to_json(try_variant_get(_props[x], '$.{k}', 'variant'))"
+    prop = f"""concat({q('x')}, ':{{"type":', CASE WHEN {_truthy('_props[x]', 'type')} THEN {at('type')} ELSE '"string"' END,
+        CASE WHEN {_truthy('_props[x]', 'description')} THEN concat(',"description":', {at('description')}) ELSE '' END,
+        CASE WHEN coalesce({at('enum')} <> 'null', false) THEN concat(',"enum":', {at('enum')}) ELSE '' END, '}}')"""
+    req = ("filter(coalesce(try_variant_get(_v, '$.required', 'array<string>'), cast(array() as array<string>)), "
+           "r -> array_contains(_order, r))")
+    return d.withColumn(out, F.expr(f"""concat('{{"type":"object","properties":{{', array_join(transform(_order, x -> {prop}), ','), '}}',
+        CASE WHEN size({req}) > 0 THEN concat(',"required":', to_json({req})) ELSE '' END, '}}')""")).drop("_v", "_order", "_props")
 
 
 def _truthy(v: str, k: str) -> str:

@@ -1,3 +1,3 @@
 """All registered queries."""
-from callscope.plans import queries_corpus, queries_scoring, queries_selection, queries_stats  # noqa: F401
+from callscope.plans import queries_corpus, queries_represent, queries_scoring, queries_selection, queries_text, queries_stats  # noqa: F401, I001
 from callscope.plans.registry import ORACLES, QUERIES  # noqa: F401
