@@ -10,6 +10,11 @@ from callscope.operators.stats import top_k
 MIB = 1024 * 1024
 
 
+def micros(col: str) -> str:
+    """SQL: microseconds of a timestamp with or without zone."""
+    return f"unix_micros(cast({col} as timestamp))"
+
+
 def numbered(samples: DataFrame, stream: str, ts: str, tie: str) -> DataFrame:
     """Samples with their position in the stream and the previous sample beside them.
 
@@ -24,7 +29,7 @@ def counter_rate(samples: DataFrame, stream: str = "user_id", ts: str = "ts", ti
                  page: int = 4096) -> DataFrame:
     """MiB per second since the previous sample, never negative; NULL where no time passed."""
     n = numbered(samples, stream, ts, tie)
-    secs = F.expr(f"(unix_micros({ts}) - unix_micros(prev_{ts})) / 1000000.0D")
+    secs = F.expr(f"({micros(ts)} - {micros('prev_' + ts)}) / 1000000.0D")
     return n.withColumn("rate", F.when(secs > 0, F.greatest(F.lit(0), F.col(counter) - F.col(f"prev_{counter}")) * F.lit(page) / F.lit(float(MIB)) / secs))
 
 
@@ -47,7 +52,7 @@ def settle_detector(samples: DataFrame, k: int = 3, limit_seconds: float = 90, s
     n = running_totals(samples, [stream], [ts, tie], {"rn": "1"})
     s = streaks(n, "pressure = 1", "pressure <> 1", stream, "clean")
     start = samples.groupBy(stream).agg(F.min(ts).alias("_start"))
-    s = s.join(start, stream).withColumn("_late", F.expr(f"(unix_micros({ts}) - unix_micros(_start)) / 1000000.0D >= {limit_seconds}"))
+    s = s.join(start, stream).withColumn("_late", F.expr(f"({micros(ts)} - {micros('_start')}) / 1000000.0D >= {limit_seconds}"))
     hit = s.where(f"clean = {k} OR _late").groupBy(stream).agg(F.min_by(F.struct("rn", "clean", ts), "rn").alias("h"))
     return samples.select(stream).distinct().join(hit, stream, "left").select(
         stream, F.expr(f"CASE WHEN h IS NULL THEN 'open' WHEN h.clean = {k} THEN 'settled' ELSE 'timeout' END").alias("state"),
@@ -65,8 +70,8 @@ def pause_events(samples: DataFrame, k: int = 3, limit_seconds: float = 900, str
     prev = s.select(stream, (F.col("rn") + 1).alias("rn"), F.col("clean").alias("_pc"), F.col("_warns").alias("_pw"))
     s = s.join(prev, [stream, "rn"], "left")
     s = s.withColumn("_open", F.expr(f"pressure <> 1 AND (coalesce(_pw, 0) = 0 OR _pc >= {k})"))
-    s = running_totals(s, [stream], ["rn"], {}, maxima={"_since": f"CASE WHEN _open THEN unix_micros({ts}) END"})
-    s = s.withColumn("_paused", F.expr(f"_warns > 0 AND clean < {k}")).withColumn("_secs", F.expr(f"(unix_micros({ts}) - _since) / 1000000.0D"))
+    s = running_totals(s, [stream], ["rn"], {}, maxima={"_since": f"CASE WHEN _open THEN {micros(ts)} END"})
+    s = s.withColumn("_paused", F.expr(f"_warns > 0 AND clean < {k}")).withColumn("_secs", F.expr(f"({micros(ts)} - _since) / 1000000.0D"))
     ev = s.withColumn("event", F.explode(F.expr(f"""filter(array(CASE WHEN _open THEN 'pause' END,
         CASE WHEN _warns > 0 AND clean = {k} AND pressure = 1 THEN 'continue' END,
         CASE WHEN _paused AND _secs >= {limit_seconds} THEN 'stop' END), e -> e IS NOT NULL)""")))

@@ -29,14 +29,14 @@ def feed(spark, sf):
     """The events file as a stream, with the same derived columns."""
     schema = table(spark, sf, "events").schema
     e = jobs.event_stream(spark, sf, "events", schema)
-    return e.selectExpr("user_id", "event_id", "ts", "cast(round(value * 100) as bigint) AS counter", "CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS pressure",
+    return e.selectExpr("user_id", "event_id", "cast(ts as timestamp) AS ts", "cast(round(value * 100) as bigint) AS counter", "CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS pressure",
                         "concat(user_id, ':', regexp_extract(props, '([0-9]+)', 1)) AS request_key", "user_id % 10 AS bucket")
 
 
 RATES = f""", o AS (SELECT user_id, event_id, ts, pressure, cents AS counter, row_number() OVER w AS rn, lag(cents) OVER w AS pc, lag(ts) OVER w AS pt, min(ts) OVER (PARTITION BY user_id) AS t0
    FROM fx_telemetry WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  r AS (SELECT *, CASE WHEN epoch_us(ts) > epoch_us(pt) THEN greatest(0, counter - pc) * {PAGE}::double / 1048576 / ((epoch_us(ts) - epoch_us(pt)) / 1000000.0::double) END AS rate FROM o),
- g AS (SELECT *, count_if(rate >= 1) OVER w AS hits, count_if(rate < 1) OVER w AS resets FROM r WINDOW w AS (PARTITION BY user_id ORDER BY rn)),
+ g AS (SELECT *, count(*) FILTER (WHERE rate >= 1) OVER w AS hits, count(*) FILTER (WHERE rate < 1) OVER w AS resets FROM r WINDOW w AS (PARTITION BY user_id ORDER BY rn)),
  h AS (SELECT *, (hits - min(hits) OVER (PARTITION BY user_id, resets ORDER BY rn) + CASE WHEN resets = 0 THEN first_value(hits) OVER (PARTITION BY user_id, resets ORDER BY rn) ELSE 0 END)::bigint AS hot_samples FROM g)"""
 
 
@@ -62,8 +62,8 @@ CLEAN = """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts
 
 
 @query("stream_settle", fx(CLEAN + f""", q AS (SELECT *, (epoch_us(ts) - epoch_us(t0)) / 1000000.0::double >= {LIMIT} AS late FROM s),
- f AS (SELECT user_id, min_by(CASE WHEN clean = 3 THEN 'settled' ELSE 'timeout' END, rn) AS state, min_by(ts, rn) AS at FROM q WHERE clean = 3 OR late GROUP BY 1)
-SELECT u.user_id, coalesce(state, 'open') AS state, at FROM (SELECT DISTINCT user_id FROM fx_telemetry) u LEFT JOIN f USING (user_id)"""))
+ f AS (SELECT user_id, min_by(CASE WHEN clean = 3 THEN 'settled' ELSE 'timeout' END, rn) AS state, min_by(ts, rn) AS hit_at FROM q WHERE clean = 3 OR late GROUP BY 1)
+SELECT u.user_id, coalesce(state, 'open') AS state, hit_at AS "at" FROM (SELECT DISTINCT user_id FROM fx_telemetry) u LEFT JOIN f USING (user_id)"""))
 def stream_settle(spark, sf):
     return tm.settle_detector(batch(spark, sf), 3, LIMIT)
 
@@ -87,7 +87,8 @@ def pause_batch(spark, sf):
 
 @query("stream_pauses", PAUSE_SQL)
 def stream_pauses(spark, sf):
-    return rounded(jobs.run_available(jobs.stream_pauses(feed(spark, sf).select("user_id", "event_id", "ts", "pressure"), 3, HOLD), "append"))
+    out = jobs.run_available(jobs.stream_pauses(feed(spark, sf).select("user_id", "event_id", "ts", "pressure"), 3, HOLD), "append")
+    return rounded(out.withColumn("at", F.col("at").cast("timestamp_ntz")))
 
 
 @query("stream_event_intervals", fx(PAUSES + """, n AS (SELECT *, lead(event) OVER x AS ne, lead(ts) OVER x AS nt FROM e WINDOW x AS (PARTITION BY user_id ORDER BY ts, event <> 'pause'))
@@ -129,7 +130,7 @@ def summary_batch(spark, sf):
 @query("stream_telemetry_windows", WINDOWS)
 def telemetry_windows(spark, sf):
     s = jobs.telemetry_windows(feed(spark, sf).select("ts", "counter", "pressure"), "1 day", "1 hour")
-    return jobs.run_available(s, "update", ["window_start"])
+    return jobs.run_available(s, "update", ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_results", "SELECT user_id % 10 AS bucket, count(DISTINCT (user_id, regexp_extract(props, '([0-9]+)', 1))) AS n FROM events GROUP BY 1")
