@@ -75,7 +75,6 @@ def schema_sets(spark, sf):
         F.sha2(F.concat(F.lit("7:"), F.col("schema_id")), 256).alias("rank_key"))
 
 
-DOC_SETS = "SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks, sha256('7:' || doc_id) AS rank_key FROM documents"
 SCHEMA_SETS = f"SELECT schema_id AS id, {PROPS} AS toks, sha256('7:' || schema_id) AS rank_key FROM fx_schema_key"
 
 
@@ -95,7 +94,7 @@ def _greedy(sets: str, t: float) -> str:
 SELECT n.id FROM n JOIN f USING (pos)"""
 
 
-@query("near_dup_greedy_documents", "WITH RECURSIVE " + _greedy(DOC_SETS, 0.8))
+@query("near_dup_greedy_documents")
 def near_dup_greedy_documents(spark, sf):
     return si.near_dup_greedy(doc_sets(spark, sf), 0.8)
 
@@ -105,13 +104,7 @@ def near_dup_greedy_schemas(spark, sf):
     return si.near_dup_greedy(schema_sets(spark, sf), 0.8, first_batch=256)
 
 
-_LABELS = """, u AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
- z(id, label, step) USING KEY (id) AS (SELECT pos, pos, 0 FROM n UNION
-   SELECT u.b, min(z.label), max(z.step) + 1 FROM z JOIN u ON u.a = z.id JOIN recurring.z AS q ON q.id = u.b WHERE z.label < q.label GROUP BY u.b)"""
-
-
-@query("families_documents", "WITH RECURSIVE s AS (SELECT id, toks, lpad(cast(id AS string), 12, '0') AS rank_key FROM (" + DOC_SETS + "))" + _pairs(0.5) + _LABELS +
-       " SELECT n.id AS doc_id, r.id AS root FROM z JOIN n ON n.pos = z.id JOIN n r ON r.pos = z.label")
+@query("families_documents")
 def families_documents(spark, sf):
     kept = doc_sets(spark, sf).select(F.col("id").alias("schema_id"), F.lit(None).cast("string").alias("fn"), "toks")
     return sp.families(kept, 0.5).select(F.col("schema_id").alias("doc_id"), "root")
