@@ -31,9 +31,11 @@ NODE = ("array<struct<path:string,pos:string,ptr:string,key:string,pkey:string,l
 # ---------------------------------------------------------------- parsing
 def strict_json(df: DataFrame, col: str, out: str = "strict") -> DataFrame:
     """VARIANT of a single clean document: no duplicate keys, wrappers, NaN or overflow to infinity."""
-    v = strict_variant(col)
-    return df.withColumn(out, once(
-        f"transform(array({v}), v -> CASE WHEN to_json(v) RLIKE '(?<![A-Za-z0-9\"])-?Infinity' THEN NULL ELSE v END)[0]"))
+    bare = f"regexp_replace(regexp_replace({col}, '(?s)\\\\\\\\.', ''), '\"[^\"]*\"', '')"
+    # only a long exponent or digit run can overflow; strings are taken out before the numerals are read
+    huge = (f"({col} RLIKE '[eE][+]?[0-9]{{3}}|[0-9]{{309}}' AND exists(regexp_extract_all({bare}, "
+            f"'-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?', 0), x -> abs(cast(x as double)) = double('Infinity')))")
+    return df.withColumn(out, once(f"CASE WHEN NOT coalesce({huge}, false) THEN {strict_variant(col)} END"))
 
 
 def extract_json(df: DataFrame, raw: str = "raw_content") -> DataFrame:
