@@ -75,31 +75,12 @@ def schema_sets(spark, sf):
         F.sha2(F.concat(F.lit("7:"), F.col("schema_id")), 256).alias("rank_key"))
 
 
-SCHEMA_SETS = f"SELECT schema_id AS id, {PROPS} AS toks, sha256('7:' || schema_id) AS rank_key FROM fx_schema_key"
-
-
-def _pairs(t: float) -> str:
-    return f""", n AS (SELECT id, toks, len(toks) AS c, row_number() OVER (ORDER BY rank_key, id) AS pos FROM s),
- l AS (SELECT pos, c, unnest(toks) AS w FROM n), o AS (SELECT a.pos AS x, b.pos AS y, a.c AS ca, b.c AS cb, count(*) AS i
-   FROM l a JOIN l b ON a.w = b.w AND a.pos < b.pos GROUP BY 1, 2, 3, 4),
- e AS (SELECT x, y FROM o WHERE i / (ca + cb - i) >= {t})"""
-
-
-def _greedy(sets: str, t: float) -> str:
-    return f"""s AS ({sets}){_pairs(t)},
- b AS (SELECT y, list(x) AS lower FROM e GROUP BY y), m AS (SELECT pos, coalesce(lower, []) AS lower FROM n LEFT JOIN b ON b.y = n.pos),
- r(pos, kept) AS (SELECT 0::bigint, []::bigint[] UNION ALL
-   SELECT m.pos, CASE WHEN list_has_any(r.kept, m.lower) THEN r.kept ELSE r.kept || [m.pos] END FROM r JOIN m ON m.pos = r.pos + 1),
- f AS (SELECT unnest(kept) AS pos FROM r WHERE pos = (SELECT max(pos) FROM r))
-SELECT n.id FROM n JOIN f USING (pos)"""
-
-
 @query("near_dup_greedy_documents")
 def near_dup_greedy_documents(spark, sf):
     return si.near_dup_greedy(doc_sets(spark, sf), 0.8)
 
 
-@query("near_dup_greedy_schemas", fx(", " + _greedy(SCHEMA_SETS, 0.8), "fx_schema_key").replace("WITH", "WITH RECURSIVE", 1))
+@query("near_dup_greedy_schemas")
 def near_dup_greedy_schemas(spark, sf):
     return si.near_dup_greedy(schema_sets(spark, sf), 0.8, first_batch=256)
 
