@@ -8,22 +8,25 @@ from __future__ import annotations
 
 import functools
 import os
+import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.shared import batch, parts, text_list
+from callscope.llm.shared import batch, parts
 
 #: Bits that one entry of the rank directory covers.
 BLOCK = 512
 #: A shard is closed with the document that reaches so many ids.
 SHARD_IDS = 1 << 20
 #: Units kept per Python worker between batches.
-KEPT_UNITS = 400_000
-ROWS = 256
+KEPT_UNITS = 1_200_000
+ROWS = 2048
 
 SHARD = ("part int, shard int, before bigint, n_ids bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
          "zeros array<bigint>, planes array<binary>, ranks array<binary>")
@@ -130,8 +133,9 @@ class WaveletMatrix:
 class LibraryUnits:
     """Encodes through the tokenizers library, each stretch between spaces once while it is kept.
 
-    For a vocabulary whose text is split at white space, so that no token spans a space. New stretches go to the library
-    in one call, with a special token between them, whose id then cuts the answer.
+    For a vocabulary that splits text at white space and into runs of letters and of other signs, so that no token spans
+    two of them, and marks the last token of each run. New words of letters go to the library together, and those marks
+    cut the answer; all else goes with a special token in between.
     """
 
     def __init__(self, path: str):
@@ -142,33 +146,76 @@ class LibraryUnits:
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for t, i in self.library.get_vocab(False).items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
-
-    def learn(self, units: list[str]) -> None:
+        self.words: dict[str, bytes] = {}
+
+    def _call(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters alone: one marked token each, unless normalizing adds a sign, which the count shows."""
+        for at in range(0, len(words), 2000):
+            some = words[at:at + 2000]
+            ids = self._call(" ".join(some))
+            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            if len(cuts) != len(some) + 1:
+                self._others(some)
+                continue
+            raw, w = ids.tobytes(), ids.itemsize
+            self.words.update((u, raw[a * w:b * w]) for u, a, b in zip(some, cuts, cuts[1:]))
+
+    def _others(self, units: list[str]) -> None:
         mark, cut = next(iter(self.special.items()), (None, None))
-        alone = [u for u in units if mark is None or "<" in u]  # may hold a special token itself
-        for u in alone:
-            self.known[u] = self._ids(u).tobytes()
+        for u in units:
+            if mark is None or "<" in u:  # may hold a special token itself
+                self.words[u] = self._call(u).tobytes()
         together = [u for u in units if mark is not None and "<" not in u]
         for at in range(0, len(together), 2000):
             some = together[at:at + 2000]
-            ids = self._ids(mark.join(some))
-            ends = [*np.flatnonzero(ids == cut).tolist(), len(ids)]
-            start = 0
+            ids = self._call(mark.join(some))
+            ends, start = [*np.flatnonzero(ids == cut).tolist(), len(ids)], 0
             for u, end in zip(some, ends, strict=True):
-                self.known[u] = ids[start:end].tobytes()
+                self.words[u] = ids[start:end].tobytes()
                 start = end + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.known) > KEPT_UNITS:
+    def learn(self, units: list[str]) -> None:
+        split = []
+        for u in units:
+            core = u.rstrip(string.punctuation)
+            plain = core.lower()
+            if core.isascii() and core.isalpha():
+                split.append((u, plain, u[len(core):]))
+            elif plain.isalpha() and unicodedata.is_normalized("NFC", core):  # stays letters, so what follows is cut off
+                split.append((u, core, u[len(core):]))
+            else:
+                split.append((u, u, ""))
+        new = ({w for _, w, _ in split} | {t for _, _, t in split}) - self.words.keys()
+        self._letters([w for w in new if w.isalpha()])
+        self._others([w for w in new if not w.isalpha()])
+        self.known.update((u, self.words[w] + self.words[t]) for u, w, t in split)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, null as empty; texts of one call are looked up by their distinct stretches."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        if len(self.words) + len(self.known) > KEPT_UNITS:
+            self.words.clear()
             self.known.clear()
-        if new := set().union(*split) - self.known.keys():
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        self.learn([u for u in units if u not in self.known])
+        found = [self.known[u] for u in units]
+        flat = np.frombuffer(b"".join(found), self.width)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        starts = np.cumsum(sizes) - sizes
+        unit = coded.indices.to_numpy()
+        ends = np.cumsum(sizes[unit])
+        ids = flat[np.repeat(starts[unit] - (ends - sizes[unit]), sizes[unit]) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = lists.offsets.to_numpy()
+        cuts = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(2)
@@ -196,7 +243,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
                 s = b.slice(at, ROWS)
                 keys = s.column(0).to_pylist()
                 part = [0 if k is None else int(np.searchsorted(cuts, k, "left")) for k in keys]
-                yield batch(schema, part=part, doc_id=keys, ids=[i + end for i in units.encode(text_list(s.column(1)))])
+                yield batch(schema, part=part, doc_id=keys, ids=[i + end for i in units.encode(s.column(1))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = library_units(vocabulary)
