@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +30,31 @@ def build_session(master: str = "local[8]", app: str = "callscope", **conf: str)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that jobs don't depend on the folder they start in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_callscope_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="callscope-"))  # read by the driver's file server only
+    with zipfile.ZipFile(folder / "callscope.zip", "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, Path(here.name) / f.relative_to(here))
+    sc.addPyFile(str(folder / "callscope.zip"))
+    sc._callscope_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir`` when the session names one.
+    """Folder every executor can read: ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, local runs) gets a folder of its own.
+    A local session that names none (tests) gets a folder of its own; elsewhere that is an error, because executors would
+    write to disks that the others can't read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark, "_callscope_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="callscope-")
