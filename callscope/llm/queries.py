@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, tokenfile
+from callscope.llm import bpe, chat, fingerprint, jaccard, linetree, mix, pii, quality, tokenfile, topk
 from callscope.llm.shared import public_vocabulary, table
 from callscope.session import shared_dir
 
@@ -29,6 +29,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query("op1_mix")
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_report(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "tokens")
@@ -37,6 +47,38 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op4_top_k")
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op5_pseudonyms")
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="pseudonyms of the registered query")
+
+
+@query("op6_line_templates")
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetree.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op7_near_components")
+def op7_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(table(spark, sf_dir, "documents"), size=3, num=9, den=10)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_chat", chat.ORACLE)
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 @query("op10_byte_pairs")
 def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))

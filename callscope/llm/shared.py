@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +33,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once where ``then`` uses it often: a lambda computes again what it names by an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def shingle_hashes(word_list: Column, size: int) -> Column:
     """Distinct 64-bit hashes of the runs of ``size`` words; fewer words count as one run, none as no run."""
-    n = F.size(word_list)
-    run = lambda i: F.xxhash64(*[F.get(word_list, i + k) for k in range(size)])
-    full = F.transform(F.sequence(F.lit(0), n - size), run)
-    return F.array_distinct(F.when(n >= size, full).when(n > 0, F.array(F.xxhash64(word_list, F.lit("short"))))
-                            .otherwise(F.array().cast("array<bigint>")))
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        full = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+        return F.array_distinct(F.when(n >= size, full).when(n > 0, F.array(F.xxhash64(w, F.lit("short"))))
+                                .otherwise(F.array().cast("array<bigint>")))
+    return let(word_list, runs)
 
 
 def text_list(column: pa.Array) -> list[str]:
@@ -45,6 +53,35 @@ def text_list(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MIX = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts of a column, and where each begins and the last ends; null as empty."""
+    arr = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset:arr.offset + len(arr) + 1]
+    raw = arr.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """A 64-bit hash of every word of every text in order, the text each is of, and the number of texts."""
+    data, offsets = text_bytes(texts)
+    n = len(offsets) - 1
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    blank = _BLANK[data]
+    begin = ~blank
+    begin[1:] &= blank[:-1] | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), n
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff([*starts, len(data)]))
+    value = np.where(blank[starts[0]:], np.uint64(0), _MIX[data[starts[0]:]] * (2 * place + 1).astype(np.uint64))
+    return np.add.reduceat(value, starts - starts[0]), doc[starts], n
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
