@@ -25,8 +25,8 @@ BLOCK = 512
 #: A shard is closed with the document that reaches so many ids.
 SHARD_IDS = 1 << 20
 #: Units kept per Python worker between batches.
-KEPT_UNITS = 1_200_000
-ROWS = 2048
+KEPT_UNITS = 1_000_000
+ROWS = 4096
 
 SHARD = ("part int, shard int, before bigint, n_ids bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
          "zeros array<bigint>, planes array<binary>, ranks array<binary>")
@@ -130,12 +130,18 @@ class WaveletMatrix:
         return np.sort(at)
 
 
+#: Trailing signs of a stretch that are looked up apart from it, as RE2 reads them.
+_SIGNS = string.punctuation
+_TAIL = r"^(?s:.*?)([!-/:-@\[-`{-~]*)$"
+
+
 class LibraryUnits:
     """Encodes through the tokenizers library, each stretch between spaces once while it is kept.
 
-    For a vocabulary that splits text at white space and into runs of letters and of other signs, so that no token spans
-    two of them, and marks the last token of each run. New words of letters go to the library together, and those marks
-    cut the answer; all else goes with a special token in between.
+    For a vocabulary that lower-cases, splits text at white space and into runs of letters and of other signs, so that no
+    token spans two of them, and marks the last token of each run. A stretch is looked up as its core and the signs behind
+    it. New cores of letters go to the library together, and the marks cut the answer; others go with a special token in
+    between. Texts with a core that may not be cut so (normalizing could join it to the signs) are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -149,7 +155,6 @@ class LibraryUnits:
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         self.last = np.zeros(self.library.get_vocab_size(), bool)
         self.last[[i for t, i in self.library.get_vocab(False).items() if suffix and t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _call(self, text: str) -> np.ndarray:
@@ -181,41 +186,54 @@ class LibraryUnits:
                 self.words[u] = ids[start:end].tobytes()
                 start = end + 1
 
-    def learn(self, units: list[str]) -> None:
-        split = []
-        for u in units:
-            core = u.rstrip(string.punctuation)
-            plain = core.lower()
-            if core.isascii() and core.isalpha():
-                split.append((u, plain, u[len(core):]))
-            elif plain.isalpha() and unicodedata.is_normalized("NFC", core):  # stays letters, so what follows is cut off
-                split.append((u, core, u[len(core):]))
-            else:
-                split.append((u, u, ""))
-        new = ({w for _, w, _ in split} | {t for _, _, t in split}) - self.words.keys()
-        self._letters([w for w in new if w.isalpha()])
-        self._others([w for w in new if not w.isalpha()])
-        self.known.update((u, self.words[w] + self.words[t]) for u, w, t in split)
+    def _look_up(self, units: list[str]) -> list[bytes]:
+        if len(self.words) > KEPT_UNITS:
+            self.words.clear()
+        found = list(map(self.words.get, units))
+        if new := [u for u, f in zip(units, found) if f is None]:
+            self._letters([u for u in new if u.isalpha()])
+            self._others([u for u in new if not u.isalpha()])
+            found = list(map(self.words.__getitem__, units))
+        return found
+
+    @staticmethod
+    def _uncuttable(core: str) -> bool:
+        if core.isascii():
+            return "<|" in core
+        return not core.lower().isalpha() or not unicodedata.is_normalized("NFC", core)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text, null as empty; texts of one call are looked up by their distinct stretches."""
-        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        if len(self.words) + len(self.known) > KEPT_UNITS:
-            self.words.clear()
-            self.known.clear()
-        self.learn([u for u in units if u not in self.known])
-        found = [self.known[u] for u in units]
-        flat = np.frombuffer(b"".join(found), self.width)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
-        starts = np.cumsum(sizes) - sizes
-        unit = coded.indices.to_numpy()
-        ends = np.cumsum(sizes[unit])
-        ids = flat[np.repeat(starts[unit] - (ends - sizes[unit]), sizes[unit]) + np.arange(ends[-1] if len(ends) else 0)]
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        units = lists.flatten().dictionary_encode()
+        cores = pc.ascii_lower(pc.ascii_rtrim(units.dictionary, characters=_SIGNS)).dictionary_encode()
+        tails = pc.replace_substring_regex(units.dictionary, _TAIL, r"\1").dictionary_encode()
+        core = cores.dictionary.to_pylist()
+        pieces = self._look_up(core + tails.dictionary.to_pylist())
+
+        def gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Runs of ``flat`` in order of ``index``, and their sizes."""
+            take = sizes[index]
+            at = np.cumsum(take) - take
+            start = np.cumsum(sizes) - sizes
+            return flat[np.repeat(start[index] - at, take) + np.arange(take.sum())], take
+
+        flat = np.frombuffer(b"".join(pieces), self.width)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // flat.itemsize
+        halves = np.stack([cores.indices.to_numpy(), tails.indices.to_numpy() + len(core)], axis=1).ravel()
+        flat, half = gather(flat, sizes, halves)
+        unit = units.indices.to_numpy()
+        ids, take = gather(flat, half.reshape(-1, 2).sum(axis=1), unit)
         offsets = lists.offsets.to_numpy()
-        cuts = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        cuts = np.concatenate([[0], np.cumsum(take)])[offsets - offsets[0]].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        odd = np.fromiter((self._uncuttable(c) for c in core), bool, len(core))
+        if odd.any():
+            hit = np.concatenate([[0], np.cumsum(odd[cores.indices.to_numpy()][unit])])[offsets - offsets[0]]
+            for i in np.flatnonzero(np.diff(hit)).tolist():
+                out[i] = self._call(texts[i].as_py()).tobytes()
+        return out
 
 
 @functools.lru_cache(2)
