@@ -199,7 +199,7 @@ class LibraryUnits:
     @staticmethod
     def _uncuttable(core: str) -> bool:
         if core.isascii():
-            return "<|" in core
+            return "<|" in core or bool(core) and not core[-1].isalnum()
         return not core.lower().isalpha() or not unicodedata.is_normalized("NFC", core)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
