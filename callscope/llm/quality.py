@@ -23,7 +23,7 @@ HASHED, LATENT, NEIGHBOURS, POWER = 1024, 48, 25, 6
 #: Documents of one block of cosine products.
 ROWS = 256
 #: Measures beside the shape runs, and their weight against them.
-MEASURES, MEASURE_WEIGHT = 9, 0.25
+MEASURES, MEASURE_WEIGHT = 9, 0.6
 
 
 def _classes() -> np.ndarray:
@@ -38,6 +38,7 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 
+
 def features(texts: pa.Array) -> np.ndarray:
     """Shape-run counts and measures of each whole text, one row per text; null as empty."""
     data, offsets = text_bytes(texts)
