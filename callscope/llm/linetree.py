@@ -41,9 +41,12 @@ def _hash(text: str) -> int:
 
 
 def masked_tokens(line: str) -> list[str]:
-    """Tokens of a line; those that hold a digit are variable."""
+    """Tokens of a line; those that hold a digit are variable, unless so few others are left that they are the line."""
     tokens = line.split()
-    return [VARIABLE if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if not _DIGIT.search(line):
+        return tokens
+    masked = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+    return masked if masked.count(VARIABLE) <= (1 - CONSTANT) * len(tokens) else tokens
 
 
 def line_keys(text: str) -> tuple[list[int | None], list[int | None]]:
@@ -135,7 +138,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
 
     # a token is constant where it recurs at its position of the leaf
     each = told.select("leaf", "mask", "s", F.posexplode("tokens").alias("at", "token"))
-    firm = each.groupBy("leaf", "at", "token").agg(F.sum("s").alias("n")).where(F.col("n") >= sightings).select("leaf", "at", "token", F.lit(True).alias("firm"))
+    firm = each.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.sum("s").alias("n")).where(F.col("n") >= sightings).select("leaf", "at", "token", F.lit(True).alias("firm"))
     general = each.join(firm, ["leaf", "at", "token"], "left").groupBy("leaf", "mask").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("firm"), F.col("token")).otherwise(F.lit(VARIABLE)).alias("token")))).alias("t"),
         F.avg(F.coalesce(F.col("firm"), F.lit(False)).cast("int")).alias("share"))

@@ -105,7 +105,8 @@ def mix_rows(docs: DataFrame, power: float = 0.7) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, all columns kept.
 
     Sources weigh their words to ``power``, which lifts small ones, and the budget is the least that gives every source a
-    complete epoch, so no document is lost and none comes more than ``MOST`` times. Blank texts are taken no time.
+    complete epoch, so no document is lost and none comes more than ``MOST`` times. Blank texts come with each complete
+    epoch; sources without any word are left out.
     Rows that are equal in every column are interchangeable: their copies are counted together.
     """
     row = F.xxhash64(*[docs[c] for c in docs.columns])

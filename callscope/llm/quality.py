@@ -172,16 +172,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     The score is computed beside the row, so no join on ids is needed and repeated ids are judged each by its text.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    named = docs.select(*docs.columns, F.col("text").alias("_scored"))
-    schema = docs.schema
+    at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 s = b.slice(at, ROWS)
-                x = features(s.column(s.num_columns - 1))
-                good = (x[:, HASHED] > 0) & (m.score(x) >= threshold)
-                yield s.select(range(s.num_columns - 1)).filter(pa.array(good))
+                x = features(s.column(at_text))
+                yield s.filter(pa.array((x[:, HASHED] > 0) & (m.score(x) >= threshold)))
 
-    return named.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
