@@ -1,8 +1,8 @@
 """JSON documents as arrays of nodes, built from VARIANT with higher-order functions.
 
 ``tree_nodes`` expands one nesting level per round inside a projection: no explode, no
-shuffle and no Python worker. Callers ask ``nesting_depth`` once for the number of rounds,
-so no document is cut short.
+shuffle and no Python worker. Rounds are a loop over each value's own brackets, so the plan
+has one size whatever the data nest, and no document is cut short.
 """
 from __future__ import annotations
 
@@ -23,23 +23,18 @@ def once(expr: str) -> Column:
     return F.expr(f"if(spark_partition_id() >= 0, {expr}, NULL)")
 
 
-def depth_of(col: str) -> Column:
-    """Bracket nesting of a JSON text outside string literals."""
-    return F.expr(f"""
-      aggregate(
-        split(regexp_replace(regexp_replace(regexp_replace({col}, '(?s)\\\\\\\\.', ''), '"[^"]*"', ''),
-                             '[^\\\\[\\\\]{{}}]', ''), ''),
-        named_struct('now', 0, 'top', 0),
-        (s, c) -> CASE WHEN c IN ('{{', '[') THEN named_struct('now', s.now + 1, 'top', greatest(s.top, s.now + 1))
-                       WHEN c IN ('}}', ']') THEN named_struct('now', s.now - 1, 'top', s.top)
-                       ELSE s END,
-        s -> s.top)""")
+def rounds_of(v: str) -> str:
+    """SQL: numbers 1 to the opening brackets of a VARIANT's text, of which nesting can't use more."""
+    return f"sequence(1, greatest(1, length(regexp_replace(to_json({v}), '[^\\\\[{{]', ''))))"
 
 
-def nesting_depth(df: DataFrame, *cols: str) -> int:
-    """Deepest nesting over the whole column(s): one aggregate, one row to the driver."""
-    row = df.agg(*[F.max(depth_of(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return max([v for v in row if v is not None] or [0])
+def expand_rounds(v: str, start: str, kind: str, step: str) -> str:
+    """SQL: the nodes of ``v`` from one open root, ``step`` giving the nodes that replace an open node x.
+
+    A round leaves a tree without open nodes as it is, so rounds beyond the deepest level cost nothing.
+    """
+    return f"""aggregate({rounds_of(v)}, cast({start} as {kind}), (t, i) -> CASE WHEN NOT exists(t, x -> x.open) THEN t
+        ELSE cast(flatten(transform(t, x -> {step})) as {kind}) END)"""
 
 
 def strict_variant(text: str) -> str:
@@ -51,18 +46,20 @@ def strict_variant(text: str) -> str:
             f"THEN try_variant_get(try_parse_json(concat('{{\"w\":', {text}, '}}')), '$.w', 'variant') END")
 
 
-def tree_nodes(v: str, depth: int, final: bool = True) -> str:
+OPEN_NODE = ("array<struct<path:string,pos:string,ptr:string,key:string,pkey:string,lvl:int,v:variant,open:boolean>>")
+
+
+def tree_nodes(v: str) -> str:
     """SQL for array<struct> of all nodes of variant ``v``, containers included.
 
     path is ``a.b[0]`` and pos ``a.b[]``; ptr joins unescaped tokens with U+0001; key/pkey are the node's and
     its parent's member names; kind is one of OBJ ARR STR BIG DEC DOU BOO VOI.
     """
-    expr = (f"array(named_struct('path', '', 'pos', '', 'ptr', '', 'key', cast(null as string), "
-            f"'pkey', cast(null as string), 'lvl', 0, 'v', {v}, 'open', true))")
+    start = (f"array(named_struct('path', '', 'pos', '', 'ptr', '', 'key', cast(null as string), "
+             f"'pkey', cast(null as string), 'lvl', 0, 'v', {v}, 'open', true))")
     closed = ("array(named_struct('path', x.path, 'pos', x.pos, 'ptr', x.ptr, 'key', x.key, 'pkey', x.pkey, "
               "'lvl', x.lvl, 'v', x.v, 'open', false))")
-    for _ in range(max(depth, 1)):
-        expr = f"""flatten(transform({expr}, x -> CASE
+    step = f"""CASE
           WHEN NOT x.open THEN array(x)
           WHEN try_cast(x.v as {OBJ}) IS NOT NULL THEN concat({closed},
             transform(map_entries(try_cast(x.v as {OBJ})), e -> named_struct(
@@ -74,9 +71,8 @@ def tree_nodes(v: str, depth: int, final: bool = True) -> str:
             transform(try_cast(x.v as {ARR}), (e, i) -> named_struct(
               'path', concat(x.path, '[', i, ']'), 'pos', concat(x.pos, '[]'), 'ptr', concat(x.ptr, '{SEP}', i),
               'key', cast(null as string), 'pkey', x.key, 'lvl', x.lvl + 1, 'v', e, 'open', true)))
-          ELSE {closed} END))"""
-    if not final:
-        return expr
+          ELSE {closed} END"""
+    expr = expand_rounds(v, start, OPEN_NODE, step)
     kinded = (f"transform({expr}, x -> named_struct('path', x.path, 'pos', x.pos, 'ptr', x.ptr, 'key', x.key, "
               f"'pkey', x.pkey, 'lvl', x.lvl, 'v', x.v, 'kind', left(schema_of_variant(x.v), 3)))")
     return f"""transform({kinded}, x -> named_struct('path', x.path, 'pos', x.pos, 'ptr', x.ptr, 'key', x.key,
@@ -94,19 +90,18 @@ def leaves_of(nodes: str) -> str:
     return f"filter({nodes}, n -> n.kind NOT IN ('OBJ', 'ARR') OR (n.kind = 'ARR' AND n.n = 0))"
 
 
-def with_nodes(df: DataFrame, text_col: str, out: str = "nodes", depth: int | None = None) -> DataFrame:
+def with_nodes(df: DataFrame, text_col: str, out: str = "nodes") -> DataFrame:
     """Add the node array of a JSON text column (NULL where the text is not one document)."""
-    depth = nesting_depth(df, text_col) if depth is None else depth
     return (df.withColumn("_v", once(strict_variant(text_col)))
-              .withColumn(out, once(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v', depth)} END"))
+              .withColumn(out, once(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v')} END"))
               .drop("_v"))
 
 
-def leaf_table(df: DataFrame, key: str, json_col: str, depth: int | None = None) -> DataFrame:
+def leaf_table(df: DataFrame, key: str, json_col: str) -> DataFrame:
     """Long leaf table (key, path, tokens, type, value) of any JSON column."""
     names = "CASE n.kind WHEN 'STR' THEN 'string' WHEN 'BOO' THEN 'boolean' WHEN 'VOI' THEN 'null' " \
             "WHEN 'ARR' THEN 'array' ELSE 'number' END"
-    return (with_nodes(df.select(key, json_col), json_col, "nodes", depth)
+    return (with_nodes(df.select(key, json_col), json_col, "nodes")
             .select(key, F.expr(f"explode({leaves_of('nodes')}) AS n"))
             .select(key, "n.path",
                     F.expr("regexp_extract_all(n.path, '[^.\\\\[\\\\]]+|\\\\[[0-9]+\\\\]', 0)").alias("tokens"),

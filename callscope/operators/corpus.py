@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.jsontext import normalized_forms, text_forms
-from callscope.functions.jsontree import ARR, OBJ, SEP, nesting_depth, once, strict_variant, tree_nodes, with_nodes
+from callscope.functions.jsontree import ARR, OBJ, SEP, once, strict_variant, tree_nodes, with_nodes
 from callscope.operators.schematree import schema_nodes, schema_tree, sql_list, with_schema_tree
 
 # fixed values: keyword groups of the audit
@@ -200,10 +200,9 @@ def unsat_nodes(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) -> D
 # ---------------------------------------------------------------- audit
 def audit(schemas: DataFrame) -> DataFrame:
     """One row per document with everything eligibility needs: one parse, one pass, no join."""
-    depth = nesting_depth(schemas, "body")
     d = schemas.withColumn("_v", once(strict_variant("body")))
-    d = (d.withColumn("tree", once(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v', depth)} END"))
-         .withColumn("nodes", once(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v', depth)} END"))
+    d = (d.withColumn("tree", once(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v')} END"))
+         .withColumn("nodes", once(f"CASE WHEN _v IS NOT NULL THEN {tree_nodes('_v')} END"))
          .withColumn("_text", text_forms("body")).withColumn("_norm", normalized_forms("body")))
     d = _with_ref_graph(_with_root(_with_walk(d)))
     return d.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.jsontree import ARR, OBJ, SEP, nesting_depth, once, strict_variant
+from callscope.functions.jsontree import ARR, OBJ, SEP, expand_rounds, once, strict_variant
 
 # fixed values: members whose subtrees are schemas
 MAP_KEYS = ("properties", "patternProperties", "definitions", "$defs", "dependentSchemas")
@@ -22,7 +22,11 @@ def _child(ptr, depth, via, name, feat, ipos, scope, v) -> str:
             f"'ipos', {ipos}, 'scope', {scope}, 'parent', x.ptr, 'v', {v}, 'open', true)")
 
 
-def schema_tree(v: str, rounds: int) -> str:
+OPEN_SCHEMA = ("array<struct<ptr:string,depth:int,via:string,name:string,feat:boolean,ipos:string,scope:string,"
+               "parent:string,v:variant,open:boolean>>")
+
+
+def schema_tree(v: str) -> str:
     """SQL: array of nodes at schema positions only; literals (enum, const, default) are not walked.
 
     feat marks nodes the feature walker reaches (list-valued items and dependencies belong to
@@ -59,20 +63,18 @@ def schema_tree(v: str, rounds: int) -> str:
       ELSE array() END))"""
     closed = ("array(named_struct('ptr', x.ptr, 'depth', x.depth, 'via', x.via, 'name', x.name, 'feat', x.feat, "
               "'ipos', x.ipos, 'scope', x.scope, 'parent', x.parent, 'v', x.v, 'open', false))")
-    expr = (f"array(named_struct('ptr', '', 'depth', 0, 'via', {none}, 'name', {none}, 'feat', true, 'ipos', "
-            f"cast('' as string), 'scope', '', 'parent', {none}, 'v', {v}, 'open', true))")
-    for _ in range(max(rounds, 1)):
-        expr = (f"flatten(transform({expr}, x -> CASE WHEN NOT x.open OR try_cast(x.v as {OBJ}) IS NULL "
-                f"THEN {closed} ELSE concat({closed}, {kids}) END))")
+    start = (f"array(named_struct('ptr', '', 'depth', 0, 'via', {none}, 'name', {none}, 'feat', true, 'ipos', "
+             f"cast('' as string), 'scope', '', 'parent', {none}, 'v', {v}, 'open', true))")
+    step = f"CASE WHEN NOT x.open OR try_cast(x.v as {OBJ}) IS NULL THEN {closed} ELSE concat({closed}, {kids}) END"
+    expr = expand_rounds(v, start, OPEN_SCHEMA, step)
     return f"""transform({expr}, x -> named_struct('ptr', x.ptr, 'parent', x.parent, 'depth', x.depth, 'via', x.via,
         'name', x.name, 'feat', x.feat, 'ipos', x.ipos, 'scope', x.scope,
         'keys', map_keys(try_cast(x.v as {OBJ})), 'v', x.v))"""
 
 
 def with_schema_tree(schemas: DataFrame, body: str = "body", out: str = "tree") -> DataFrame:
-    rounds = nesting_depth(schemas, body)
     return (schemas.withColumn("_v", once(strict_variant(body)))
-            .withColumn(out, once(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v', rounds)} END")).drop("_v"))
+            .withColumn(out, once(f"CASE WHEN _v IS NOT NULL THEN {schema_tree('_v')} END")).drop("_v"))
 
 
 def schema_nodes(schemas: DataFrame, profile: str = "keyword", key: str = "schema_id", body: str = "body") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.jsontext import salvage_json
-from callscope.functions.jsontree import ARR, OBJ, SEP, leaves_of, nesting_depth, once, strict_variant, tree_nodes
+from callscope.functions.jsontree import ARR, OBJ, SEP, leaves_of, once, strict_variant, tree_nodes
 from callscope.functions.text import NUMERIC_TEXT, clean_sql, norm_sql
 from callscope.operators.schematree import rule_errors_sql
 
@@ -210,6 +210,7 @@ def classify_failure(df: DataFrame) -> DataFrame:
     multi = "CASE WHEN multiple_calls THEN array('multiple-tool confusion') ELSE cast(array() as array<string>) END"
     return (df
             .withColumn("failure_primary", F.expr("""CASE
+                WHEN unknown_task THEN 'unknown task'
                 WHEN context_error THEN 'context-length failure'
                 WHEN NOT json_valid OR NOT format_ok THEN 'malformed output'
                 WHEN NOT tool_correct THEN CASE WHEN multiple_calls THEN 'multiple-tool confusion' ELSE 'wrong tool' END
@@ -269,24 +270,21 @@ def apply_faults(scored: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- whole jobs
-def parse_outputs(results: DataFrame, raw: str = "raw_content", depth: int | None = None) -> DataFrame:
+def parse_outputs(results: DataFrame, raw: str = "raw_content") -> DataFrame:
     """extract_json + project_call + argument node arrays (arg_nodes)."""
     df = project_call(extract_json(results, raw))
-    if depth is None:
-        depth = nesting_depth(results, raw)
-    return df.withColumn("arg_nodes", once(f"CASE WHEN format_ok THEN {tree_nodes('args', depth)} END"))
+    return df.withColumn("arg_nodes", once(f"CASE WHEN format_ok THEN {tree_nodes('args')} END"))
 
 
 def prepare_tasks(tasks: DataFrame, gold: str = "gold_args", variants: str | None = "acceptable_variants") -> DataFrame:
     """Add gold_nodes and variants (path -> comparable values) to the task table, once per task."""
-    depth = nesting_depth(tasks, gold)
     item = ("named_struct('kind', left(schema_of_variant(e), 3), 'txt', cast(e as string), 'num', "
             "CASE WHEN left(schema_of_variant(e), 3) IN ('BIG', 'DEC', 'DOU') THEN try_cast(e as double) END, "
             "'json', CASE WHEN left(schema_of_variant(e), 3) IN ('OBJ', 'ARR') THEN to_json(e) END)")
     source = f"try_cast(try_parse_json({variants}) as map<string,array<variant>>)" if variants else \
         "cast(null as map<string,array<variant>>)"
     return (tasks.withColumn("_g", F.expr(f"try_parse_json({gold})"))
-            .withColumn("gold_nodes", once(tree_nodes("_g", depth)))
+            .withColumn("gold_nodes", once(tree_nodes("_g")))
             .withColumn("variants", F.expr(f"transform_values({source}, (k, v) -> transform(v, e -> {item}))"))
             .drop("_g"))
 
@@ -304,18 +302,26 @@ def score(results: DataFrame, tasks: DataFrame, rules: DataFrame, catalogs: Data
     results: request_key, task_id, catalog_key, raw_content (+ any columns); tasks: task_id, tool_name,
     gold_nodes, variants, unordered_paths; rules: tool_name, rules, groups; catalogs: catalog_key,
     catalog_tools; properties: tool_name, known_names.
+
+    Every row of results comes out. A task that isn't known (``unknown_task``) is labelled so and succeeds in nothing; a
+    tool without a rule row (``no_rules``) is never valid.
     """
-    depth = nesting_depth(results, "raw_content")
-    df = parse_outputs(results.join(tasks, "task_id"), depth=depth)
+    df = results.join(tasks, "task_id", "left")
+    if "context_error" not in df.columns:
+        df = df.withColumn("context_error", F.lit(False))
+    # a refused request has no output: its text is empty, whatever the log holds
+    df = df.withColumn("_said", F.expr("CASE WHEN coalesce(context_error, false) THEN '' ELSE coalesce(raw_content, '') END"))
+    df = parse_outputs(df, "_said").drop("_said")
     df = df.join(catalogs, "catalog_key", "left").join(properties, "tool_name", "left")
-    df = df.withColumn("context_error", F.expr("false")) if "context_error" not in df.columns else df
+    df = df.withColumn("unknown_task", F.expr("tool_name IS NULL"))
     df = df.withColumn("tool_correct", F.expr("format_ok AND pred_tool = tool_name AND NOT context_error"))
     df = df.withColumn("tool_correct", F.expr("coalesce(tool_correct, false)"))
     df = df.withColumn("arg_nodes", F.expr("CASE WHEN tool_correct THEN arg_nodes END"))
     df = receipt_check(compare_fields(schema_errors(df, rules)))
     df = (df
+          .withColumn("no_rules", F.expr("rules IS NULL"))
           .withColumn("schema_errors", F.expr("coalesce(schema_errors, cast(array() as array<struct<validator:string,path:string>>))"))
-          .withColumn("schema_valid", F.expr("tool_correct AND size(schema_errors) = 0"))
+          .withColumn("schema_valid", F.expr("tool_correct AND NOT no_rules AND size(schema_errors) = 0"))
           .withColumn("semantic_correct", F.expr("tool_correct AND coalesce(semantic_correct, false)"))
           .withColumn("arg_exact_match", F.expr("tool_correct AND coalesce(arg_exact_match, false)"))
           .withColumn("field_acc", F.expr("if(tool_correct, field_acc, 0.0D)"))
@@ -337,7 +343,6 @@ def score(results: DataFrame, tasks: DataFrame, rules: DataFrame, catalogs: Data
 
 def route(outputs: DataFrame, rules: DataFrame, raw: str = "raw_content") -> DataFrame:
     """Strict routing decision. Reads the text, catalog_tools and truncated only: no gold column."""
-    depth = nesting_depth(outputs, raw)
     df = strict_json(outputs, raw, "_c")
     df = (df.withColumn("_keys", F.expr(f"array_sort(map_keys(try_cast(_c as {OBJ})))"))
           .withColumn("_shape", F.expr("_keys = array('arguments', 'tool') AND "
@@ -345,12 +350,13 @@ def route(outputs: DataFrame, rules: DataFrame, raw: str = "raw_content") -> Dat
           .withColumn("_tool", F.expr("CASE WHEN _shape THEN try_variant_get(_c, '$.tool', 'string') END"))
           .withColumn("_member", F.expr("coalesce(array_contains(catalog_tools, _tool), false)"))
           .withColumn("_a", once("CASE WHEN _member THEN try_variant_get(_c, '$.arguments', 'variant') END"))
-          .withColumn("arg_nodes", once(f"CASE WHEN _a IS NOT NULL THEN {tree_nodes('_a', depth)} END")))
+          .withColumn("arg_nodes", once(f"CASE WHEN _a IS NOT NULL THEN {tree_nodes('_a')} END")))
     r = rules.select(F.col(rules.columns[0]).alias("_tool"), "rules", "groups")
-    df = df.join(r, "_tool", "left").withColumn("_errs", once(f"size({rule_errors_sql()})"))
+    df = df.join(r, "_tool", "left").withColumn("_errs", once(f"CASE WHEN rules IS NOT NULL THEN size({rule_errors_sql()}) END"))
     return (df.withColumn("route_reason", F.expr("""CASE WHEN truncated THEN 'truncated'
                 WHEN _c IS NULL THEN 'strict_json' WHEN NOT coalesce(_shape, false) THEN 'envelope'
-                WHEN NOT _member THEN 'tool_not_in_catalog' WHEN _errs > 0 THEN 'raw_schema' ELSE 'valid' END"""))
+                WHEN NOT _member THEN 'tool_not_in_catalog' WHEN rules IS NULL THEN 'no_rules'
+                WHEN _errs > 0 THEN 'raw_schema' WHEN _errs = 0 THEN 'valid' ELSE 'envelope' END"""))
             .withColumn("retry", F.expr("route_reason <> 'valid'"))
             .drop("_c", "_a", "_keys", "_shape", "_member", "_errs", "rules", "groups")
             .withColumnRenamed("_tool", "routed_tool"))
