@@ -6,6 +6,7 @@ handles one document at a time in vectorised batches; Spark does all grouping an
 from __future__ import annotations
 
 import json
+from graphlib import CycleError, TopologicalSorter
 from urllib.parse import unquote
 
 import pandas as pd
@@ -54,42 +55,55 @@ def compact_json(body: pd.Series) -> pd.Series:
     return body.map(lambda t: _dump(json.loads(t), separators=COMPACT), na_action="ignore")
 
 
-class _Unresolved(Exception):
-    pass
+def _slots(doc) -> dict[tuple, tuple]:
+    """Container and key of every position of a document, by path."""
+    out, todo = {}, [((), doc)]
+    while todo:
+        path, here = todo.pop()
+        below = here.items() if isinstance(here, dict) else enumerate(here) if isinstance(here, list) else ()
+        for key, value in below:
+            out[path + (key,)] = (here, key)
+            todo.append((path + (key,), value))
+    return out
 
 
-class _Cyclic(Exception):
-    pass
+def _target(ref: str, slots: dict) -> tuple | None:
+    """Path that a local pointer names, or None."""
+    path: tuple = ()
+    for raw in ref.split("/")[1:]:
+        step = unquote(raw.replace("~1", "/").replace("~0", "~"))
+        if path + (step,) in slots:
+            path += (step,)
+        elif step.lstrip("-").isdigit() and path + (int(step),) in slots:
+            path += (int(step),)
+        else:
+            return None
+    return path if ref == "#" or ref.startswith("#/") else None
 
 
-def _follow(doc, ref: str):
-    if ref == "#":
-        return doc
-    if not ref.startswith("#/"):
-        raise _Unresolved(ref)
-    here = doc
-    for raw in ref[2:].split("/"):
-        step = unquote(raw.replace("~1", "/").replace("~0", "~"))
-        try:
-            here = here[int(step)] if isinstance(here, list) else here[step]
-        except (KeyError, IndexError, TypeError, ValueError):
-            raise _Unresolved(ref) from None
-    return here
-
-
-def _expand(doc, node, active=frozenset()):
-    if isinstance(node, list):
-        return [_expand(doc, item, active) for item in node]
-    if not isinstance(node, dict):
-        return node
-    ref = node.get("$ref")
-    if not isinstance(ref, str):
-        return {k: _expand(doc, item, active) for k, item in node.items()}
-    if ref in active:
-        raise _Cyclic(ref)
-    base = _expand(doc, _follow(doc, ref), active | {ref})
-    own = {k: _expand(doc, item, active) for k, item in node.items() if k != "$ref"}
-    return {**base, **own} if isinstance(base, dict) else base
+def inline_references(wrapped: dict) -> str:
+    """Replace the local references below ``root`` in place and say how it went.
+
+    References wait for those inside their target and inside their own other members; an order in which none waits for a
+    later one is an order of replacement, and no such order means a cycle.
+    """
+    slots = {(): (wrapped, "root"), **_slots(wrapped["root"])}
+    holders = {p: v["$ref"] for p, (c, k) in slots.items() if isinstance(v := c[k], dict) and isinstance(v.get("$ref"), str)}
+    targets = {p: _target(r, slots) for p, r in holders.items()}
+    under = lambda p: [h for h in holders if h[:len(p)] == p]
+    waits = {h: {x for x in under(h) if x != h} | set(under(t) if t is not None else ()) for h, t in targets.items()}
+    try:
+        order = list(TopologicalSorter(waits).static_order())
+    except CycleError:
+        return "cyclic"
+    if None in targets.values():
+        return "nonlocal_or_unresolvable"
+    for h in order:
+        container, key = slots[h]
+        base, own = slots[targets[h]], {k: v for k, v in container[key].items() if k != "$ref"}
+        base = base[0][base[1]]
+        container[key] = {**base, **own} if isinstance(base, dict) else base
+    return "ok"
 
 
 # fixed values: root members a normalised document does not keep
@@ -101,13 +115,13 @@ def normalized_forms(body: pd.Series) -> pd.DataFrame:
     """Inline local references; drop definition containers and root metadata, order kept."""
     def one(text):
         try:
-            doc = _expand(root := json.loads(text), root)
-        except (_Cyclic, RecursionError):
-            return "cyclic", None, None
-        except _Unresolved:
-            return "nonlocal_or_unresolvable", None, None
-        except (TypeError, ValueError):
+            wrapped = {"root": json.loads(text)}
+            status = inline_references(wrapped)
+        except (TypeError, ValueError, RecursionError):
             return "not_json", None, None
+        if status != "ok":
+            return status, None, None
+        doc = wrapped["root"]
         if isinstance(doc, dict):
             doc = {k: v for k, v in doc.items()
                    if k not in ROOT_DROPPED and not (k == "id" and isinstance(v, str))}
@@ -148,13 +162,13 @@ def salvage_json(text: pd.Series) -> pd.DataFrame:
             return None, None, None
         try:
             return True, 0, _dump(json.loads(t))
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
         hits = []
         for piece in _fragments(t):
             try:
                 hits.append(json.loads(piece))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
         return False, len(hits), _dump(hits[0]) if hits else None
     out = pd.DataFrame([one(t) for t in text], columns=["strict", "found", "body"])

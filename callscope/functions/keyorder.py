@@ -9,26 +9,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _arrange(value, schema):
-    rule = schema if isinstance(schema, dict) else {}
-    if isinstance(value, list):
-        item = rule.get("items")
-        return [_arrange(v, item) for v in value] if isinstance(item, dict) else value
-    if not isinstance(value, dict) or not rule and not isinstance(schema, dict):
-        return value
-    props = rule.get("properties")
-    props = props if isinstance(props, dict) else {}
-    place = {name: i for i, name in enumerate(props)}
-    names = sorted(value, key=lambda n: place.get(n, len(place)))  # stable: undeclared keys keep their order
-    return {n: _arrange(value[n], props.get(n, rule.get("additionalProperties"))) for n in names}
+from callscope.functions.flatjson import build, flat
+
+
+def _ranked(value, schema) -> list:
+    """Rows of a value, each behind its rank: a place per path step, declared members before the others.
+
+    A schema governs members through ``properties``, else ``additionalProperties``, and elements through ``items``.
+    """
+    governs, place = {(): schema}, {(): ()}
+    reading: dict[tuple, int] = {}
+    for path, _ in flat(value):
+        for n in range(1, len(path) + 1):
+            at, above = path[:n], path[:n - 1]
+            if at in place:
+                continue
+            rule = governs[above] if isinstance(governs[above], dict) else {}
+            seen = reading[above] = reading.get(above, -1) + 1
+            if isinstance(at[-1], int):
+                governs[at], rank = rule.get("items") if isinstance(rule.get("items"), dict) else None, seen
+            else:
+                declared = rule.get("properties") if isinstance(rule.get("properties"), dict) else {}
+                governs[at] = declared.get(at[-1], rule.get("additionalProperties"))
+                rank = list(declared).index(at[-1]) if at[-1] in declared else len(declared) + seen
+            place[at] = place[above] + (rank,)
+    return sorted(((place[path], path, leaf) for path, leaf in flat(value)), key=lambda r: r[0])
 
 
 @F.pandas_udf(T.StringType())
 def order_like_schema(value: pd.Series, schema: pd.Series) -> pd.Series:
     """Value text with object keys in schema order, undeclared keys after them."""
     return pd.Series([None if v is None or s is None else
-                      json.dumps(_arrange(json.loads(v), json.loads(s)), ensure_ascii=False, separators=(",", ":"))
+                      json.dumps(build([r[1:] for r in _ranked(json.loads(v), json.loads(s))]), ensure_ascii=False, separators=(",", ":"))
                       for v, s in zip(value, schema)])
 
 

@@ -91,6 +91,17 @@ SELECT task_id, intent_id, replicate, stratum, tool_name, kind, k, cents, arm_no
        cast(1000 + (task_id * 13 + size) % 997 AS double) AS wall_latency_ms
 FROM fx_results_key"""
 
+# outputs that must be labelled, never dropped or taken as valid: deep and broken text, refused requests, tools without
+# rules (view), tasks that nobody knows
+FX["fx_hostile"] = f"""
+SELECT CASE WHEN task_id % 10 = 7 THEN -1 - task_id ELSE task_id END AS task_id, task_id AS request_key, task_id % 10 AS h, tool_name,
+       'single:' || tool_name AS catalog_key, task_id % 10 = 5 AS context_error, task_id % 20 = 4 AS ghost,
+       CASE task_id % 10 WHEN 0 THEN repeat('[', 48) WHEN 1 THEN repeat('[', 5000) WHEN 2 THEN {_call("'{\"k\":NaN}'")}
+            WHEN 3 THEN replace({_PLAIN}, ',"arguments"', ',"tool":"' || tool_name || '","arguments"')
+            WHEN 4 THEN {_call(_args(), tool="(CASE WHEN task_id % 20 = 4 THEN 'ghost' ELSE tool_name END)")} || ' then ' || {_PLAIN}
+            WHEN 8 THEN repeat('[', 500) || repeat(']', 500) ELSE {_PLAIN} END AS raw_content
+FROM fx_tasks"""
+
 FX["fx_expected"] = """
 SELECT task_id, intent_id, replicate, stratum, tool_name, arm_no, arm, decoding, size, family, catalog_id, catalog_key, request_key,
        h, fault, truncated, http_status, prompt_tokens, completion_tokens, wall_latency_ms, json_valid, json_strict,
@@ -203,7 +214,7 @@ SELECT user_id, event_id, ts, cast(round(value * 100) AS bigint) AS cents,
        1 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pressure
 FROM events"""
 
-DEPENDS = {"fx_task_rows": ["fx_tasks"], "fx_results_key": ["fx_tasks"], "fx_results": ["fx_results_key"],
+DEPENDS = {"fx_task_rows": ["fx_tasks"], "fx_hostile": ["fx_tasks"], "fx_results_key": ["fx_tasks"], "fx_results": ["fx_results_key"],
            "fx_expected": ["fx_results_key"], "fx_conf": ["fx_expected"], "fx_schemas": ["fx_schema_key"],
            "fx_schema_reasons": ["fx_schema_key"], "fx_pool": ["fx_schema_reasons"]}
 

@@ -8,7 +8,7 @@ from callscope.operators import scoring as sc
 from callscope.operators.schematree import schema_rules
 from callscope.plans.fixtures import fixture, with_fx
 from callscope.plans.flagship import catalogs, flagship, outputs, scored, tasks, tool_inputs
-from callscope.plans.queries_stats import PLAN, _plan_sql
+from callscope.plans.queries_stats import _plan_sql
 from callscope.plans.registry import query, rounded
 
 
@@ -156,4 +156,13 @@ def score_unchecked(spark, sf):
     return schema_rules(fixture(spark, sf, "fx_tool_schemas")).selectExpr("tool_name", "cast(size(unchecked) as bigint) AS unchecked")
 
 
-__all__ = ["PLAN"]
+@query("score_hostile", fx("""SELECT request_key, h IN (3, 4, 6, 7, 9) AS json_valid, h IN (3, 6, 9) OR (h = 4 AND NOT ghost) AS tool_correct,
+  (h IN (3, 6, 9) OR (h = 4 AND NOT ghost)) AND tool_name <> 'view' AS e2e_success, h = 7 AS unknown_task,
+  CASE WHEN h = 7 THEN 'unknown task' WHEN h = 5 THEN 'context-length failure' WHEN h IN (0, 1, 2, 8) THEN 'malformed output'
+       WHEN h = 4 AND ghost THEN 'multiple-tool confusion' WHEN tool_name = 'view' THEN 'execution failure' END AS failure_primary
+ FROM fx_hostile""", "fx_hostile"))
+def score_hostile(spark, sf):
+    rules, names = tool_inputs(spark, sf)
+    out = fixture(spark, sf, "fx_hostile").drop("tool_name")
+    s = sc.score(out, tasks(spark, sf), rules.where("tool_name <> 'view'"), catalogs(spark, sf), names)
+    return s.select("request_key", "json_valid", "tool_correct", "e2e_success", "unknown_task", "failure_primary")
