@@ -307,7 +307,7 @@ def schema_texts(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",)) ->
 def schema_text(schemas: DataFrame, keep: tuple[str, ...] = ("schema_id",), max_depth: int = 4) -> DataFrame:
     """Titles, descriptions and property names down to a nesting depth, as one search text in key order."""
     t = with_schema_tree(schemas.select(*keep, "body"))
-    walk = f"""filter(tree, n -> n.keys IS NOT NULL AND size(split(n.ptr, '{SEP}')) - 1 <= 64 AND
+    walk = f"""filter(tree, n -> n.keys IS NOT NULL AND
         forall(split(regexp_replace(n.ptr, '{SEP}(properties){SEP}[^{SEP}]*|{SEP}(items)|{SEP}(anyOf|oneOf|allOf){SEP}[0-9]+', ''), '{SEP}'), k -> k = '')
         AND size(regexp_extract_all(n.ptr, '{SEP}properties{SEP}[^{SEP}]*|{SEP}items|{SEP}(?:anyOf|oneOf|allOf){SEP}[0-9]+', 0)) <= {max_depth + 1})"""
     depth = f"size(regexp_extract_all(n.ptr, '{SEP}properties{SEP}[^{SEP}]*|{SEP}items|{SEP}(?:anyOf|oneOf|allOf){SEP}[0-9]+', 0))"

@@ -183,7 +183,7 @@ def catalog_contracts(members: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def verdict_summary(verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per-engine counts, problem rows of target tools, and the 20 most frequent warnings.
+    """Per-engine counts, problem rows of target tools, and how often each warning came.
 
     verdicts: engine, tool_id, stratum, is_target, compile_ok, compile_error, warnings, accept_compact, accept_spaced.
     """
@@ -195,10 +195,9 @@ def verdict_summary(verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         F.count_if(t & ok).alias("targets_compile_ok"), F.count_if(t & either).alias("gold_accept_either"),
         F.count_if(t & F.coalesce("accept_compact", F.lit(False))).alias("gold_accept_compact"),
         F.count_if(t & F.coalesce("accept_spaced", F.lit(False))).alias("gold_accept_spaced"))
-    problem = F.when(~ok, F.concat(F.lit("compile: "), F.substring(F.coalesce("compile_error", F.lit("")), 1, 110))).when(~either, F.lit("gold call rejected"))
+    problem = F.when(~ok, F.concat(F.lit("compile: "), F.coalesce("compile_error", F.lit("")))).when(~either, F.lit("gold call rejected"))
     problems = verdicts.where(t).select("engine", "tool_id", "stratum", problem.alias("problem")).where("problem IS NOT NULL")
-    warn = (verdicts.select("engine", F.explode("warnings").alias("w")).groupBy("engine", F.substring("w", 1, 120).alias("warning"))
-            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "engine", "warning").limit(20))
+    warn = verdicts.select("engine", F.explode("warnings").alias("warning")).groupBy("engine", "warning").agg(F.count(F.lit(1)).alias("n"))
     return summary, problems, warn
 
 

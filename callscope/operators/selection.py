@@ -137,8 +137,8 @@ def first_per_stratum(df: DataFrame, group: list[str], seq: str) -> DataFrame:
     return df.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min_by(F.struct(*df.columns), seq).alias("r")).select("r.*")
 
 
-def failure_examples(df: DataFrame, k: int = 3, width: int = 700) -> DataFrame:
-    """First k failing outputs per (arm, size, label), text cut for display, first three errors."""
+def failure_examples(df: DataFrame, k: int = 3) -> DataFrame:
+    """First k failing outputs per (arm, size, label): whole text, labels, gold arguments and all errors."""
     d = top_k(df.where("failure_primary IS NOT NULL"), ["arm", "size", "failure_primary"], ["request_key"], k)
-    return d.select("arm", "size", "failure_primary", "request_key", F.substring("raw_content", 1, width).alias("output"),
-                    F.slice("schema_errors", 1, 3).alias("errors"))
+    return d.select("arm", "size", "failure_primary", "request_key", F.col("raw_content").alias("output"), "failure_secondary",
+                    "gold_args", F.col("schema_errors").alias("errors"))

@@ -97,21 +97,31 @@ def schema_unsat_nodes(spark, sf):
     return co.unsat_nodes(schemas(spark, sf))
 
 
+# Length of a text printed with two blanks per level: a line break and the level's blanks before each child and before the
+# end of each container that isn't empty, and a blank after each member's colon.
+PRINTED = """, t AS (SELECT s.schema_id, length(s.body) AS n, j.type AS kind, j.value::varchar AS value, len(regexp_extract_all(j.fullkey[2:], '[.]|\\[')) AS lvl, j.fullkey
+     FROM fx_schemas s, json_tree(s.body) j),
+ printed AS (SELECT schema_id, any_value(n) + sum(CASE WHEN lvl > 0 THEN 1 + 2 * lvl ELSE 0 END) + count_if(lvl > 0 AND NOT ends_with(fullkey, ']'))
+     + sum(CASE WHEN kind IN ('OBJECT', 'ARRAY') AND value NOT IN ('{}', '[]') THEN 1 + 2 * lvl ELSE 0 END) AS chars_pretty FROM t GROUP BY 1),
+ judged AS (SELECT r.* REPLACE (reasons || CASE WHEN chars_pretty > 1500 THEN 'too_large;' ELSE '' END AS reasons), chars_pretty
+     FROM fx_schema_reasons r JOIN printed USING (schema_id))"""
+
+
 def judged(spark, sf):
-    """Audit with reasons; the size limit is open here because the check has no printed size."""
-    return co.eligibility(co.audit(schemas(spark, sf)), INCLUDED, max_chars=10 ** 9)
+    """Audit with reasons under the default limits."""
+    return co.eligibility(co.audit(schemas(spark, sf)), INCLUDED)
 
 
-@query("schema_eligibility", fx("""SELECT schema_id, rtrim(reasons, ';') AS reasons, reasons = '' AS eligible, stratum FROM fx_schema_reasons""", "fx_schema_reasons"))
+@query("schema_eligibility", fx(PRINTED + """ SELECT schema_id, rtrim(reasons, ';') AS reasons, reasons = '' AS eligible, stratum FROM judged""", "fx_schemas fx_schema_reasons"))
 def schema_eligibility(spark, sf):
     return judged(spark, sf).selectExpr("schema_id", "array_join(exclusion_reasons, ';') AS reasons", "eligible", "stratum")
 
 
-DUP = """, d AS (SELECT *, CASE WHEN reasons = '' THEN first_value(schema_id) OVER (PARTITION BY eff, reasons ORDER BY schema_id) END AS holder FROM fx_schema_reasons),
+DUP = PRINTED + """, d AS (SELECT *, CASE WHEN reasons = '' THEN first_value(schema_id) OVER (PARTITION BY eff, reasons ORDER BY schema_id) END AS holder FROM judged),
  e AS (SELECT *, CASE WHEN reasons = '' AND holder <> schema_id THEN 'exact_duplicate_of:' || holder || ';' ELSE reasons END AS all_reasons FROM d)"""
 
 
-@query("schema_exact_duplicates", fx(DUP + " SELECT schema_id, rtrim(all_reasons, ';') AS reasons, all_reasons = '' AS eligible FROM e", "fx_schema_reasons"))
+@query("schema_exact_duplicates", fx(DUP + " SELECT schema_id, rtrim(all_reasons, ';') AS reasons, all_reasons = '' AS eligible FROM e", "fx_schemas fx_schema_reasons"))
 def schema_exact_duplicates(spark, sf):
     return co.mark_exact_duplicates(judged(spark, sf)).selectExpr("schema_id", "array_join(exclusion_reasons, ';') AS reasons", "eligible")
 
@@ -122,14 +132,14 @@ SELECT coalesce(subset, 'TOTAL') AS subset, count(*) AS n, count_if(has_ref)::bi
   count_if(ref_status = 'none')::bigint AS ref_none, count_if(ref_status = 'local_ok')::bigint AS ref_local_ok,
   count_if(ref_status = 'cyclic')::bigint AS ref_cyclic, count_if(shape = 'missing')::bigint AS ref_nonlocal_or_unresolvable,
   count_if(all_reasons = '')::bigint AS eligible, count_if(all_reasons = '' AND stratum = 'flat')::bigint AS eligible_flat,
-  count_if(all_reasons = '' AND stratum = 'structured')::bigint AS eligible_structured FROM f GROUP BY ROLLUP (subset)""", "fx_schema_reasons"))
+  count_if(all_reasons = '' AND stratum = 'structured')::bigint AS eligible_structured FROM f GROUP BY ROLLUP (subset)""", "fx_schemas fx_schema_reasons"))
 def schema_audit_summary(spark, sf):
     return co.audit_summary(co.mark_exact_duplicates(judged(spark, sf)), ["has_ref", "has_enum", "has_array", "has_nested_object"])
 
 
 @query("schema_reason_counts", fx(DUP + """, r AS (SELECT unnest(string_split(rtrim(all_reasons, ';'), ';')) AS r, 1 AS a, 0 AS f FROM e WHERE all_reasons <> ''
   UNION ALL SELECT split_part(all_reasons, ';', 1), 0, 1 FROM e WHERE all_reasons <> '')
-SELECT split_part(r, ':', 1) AS reason, sum(a)::bigint AS n_all, sum(f)::bigint AS n_first FROM r GROUP BY 1""", "fx_schema_reasons"))
+SELECT split_part(r, ':', 1) AS reason, sum(a)::bigint AS n_all, sum(f)::bigint AS n_first FROM r GROUP BY 1""", "fx_schemas fx_schema_reasons"))
 def schema_reason_counts(spark, sf):
     return co.reason_counts(co.mark_exact_duplicates(judged(spark, sf)))
 
@@ -179,7 +189,8 @@ def schema_tuple_paths(spark, sf):
     return co.tuple_array_paths(schemas(spark, sf))
 
 
-@query("schema_printed_sizes")
+@query("schema_printed_sizes", fx(PRINTED + """ SELECT stratum, sum(chars_pretty)::bigint AS chars_pretty, count_if(chars_pretty > 1500)::bigint AS too_large
+ FROM judged GROUP BY 1""", "fx_schemas fx_schema_reasons"))
 def schema_printed_sizes(spark, sf):
     """Printed size and the too-large reason under the default limits."""
     e = co.eligibility(co.audit(schemas(spark, sf)), INCLUDED)

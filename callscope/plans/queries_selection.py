@@ -263,10 +263,14 @@ def sample_first_per_stratum(spark, sf):
 
 
 @query("sample_failure_examples", fx(""", r AS (SELECT e.arm, e.size, e.failure_primary, e.request_key, f.raw_content,
-   row_number() OVER (PARTITION BY e.arm, e.size, e.failure_primary ORDER BY e.request_key) AS k FROM fx_expected e JOIN fx_results f USING (request_key) WHERE failure_primary IS NOT NULL)
-SELECT arm, size, failure_primary, request_key, substr(raw_content, 1, 700) AS output FROM r WHERE k <= 3""", "fx_expected fx_results"))
+   e.failure_secondary, g.gold_args, CASE WHEN NOT e.tool_correct OR e.schema_valid THEN '' WHEN e.h = 11 THEN 'enum' WHEN e.h = 12 THEN 'type' WHEN e.h = 13 THEN 'required'
+     WHEN e.h = 14 THEN 'maximum' ELSE 'additionalProperties' END AS validators,
+   row_number() OVER (PARTITION BY e.arm, e.size, e.failure_primary ORDER BY e.request_key) AS k
+   FROM fx_expected e JOIN fx_results f USING (request_key) JOIN fx_task_rows g ON g.task_id = e.task_id WHERE failure_primary IS NOT NULL)
+SELECT arm, size, failure_primary, request_key, raw_content AS output, failure_secondary, gold_args, validators FROM r WHERE k <= 3""", "fx_expected fx_results fx_task_rows"))
 def sample_failure_examples(spark, sf):
-    return se.failure_examples(scored(spark, sf)).drop("errors")
+    return (se.failure_examples(scored(spark, sf)).withColumn("validators", F.array_join("errors.validator", ","))
+            .withColumn("failure_secondary", F.array_join("failure_secondary", ",")).drop("errors"))
 
 
 # ---------------------------------------------------------------- training rows
