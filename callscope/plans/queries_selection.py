@@ -11,7 +11,7 @@ from callscope.operators import selection as se
 from callscope.operators import similarity as si
 from callscope.operators import splits as sp
 from callscope.operators.textsearch import leaks_name
-from callscope.plans.fixtures import fixture, spread, table, with_fx
+from callscope.plans.fixtures import words_sql, fixture, spread, table, with_fx
 from callscope.plans.flagship import catalogs, outputs, scored, tool_inputs
 from callscope.plans.queries_corpus import PROPS
 from callscope.plans.registry import query, rounded
@@ -75,23 +75,53 @@ def schema_sets(spark, sf):
         F.sha2(F.concat(F.lit("7:"), F.col("schema_id")), 256).alias("rank_key"))
 
 
-@query("near_dup_greedy_documents")
+# Sets (id, toks, rank_key) to pairs of positions in rank order, overlaps counted token by token.
+_PAIRS = """, s AS MATERIALIZED (SELECT id, toks, row_number() OVER (ORDER BY rank_key, id) AS pos FROM {sets} WHERE len(toks) > 0),
+ tk AS (SELECT pos, len(toks) AS n, unnest(toks) AS tok FROM s),
+ near AS MATERIALIZED (SELECT a.pos AS lo, b.pos AS hi FROM tk a JOIN tk b ON a.tok = b.tok AND a.pos < b.pos
+          GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) >= {t} * (a.n + b.n - count(*)))"""
+_GREEDY = """, c AS MATERIALIZED (SELECT hi, list(lo) AS before, row_number() OVER (ORDER BY hi) AS step FROM near GROUP BY hi),
+ g(step, kept) AS (SELECT 0::bigint, coalesce((SELECT list(DISTINCT lo) FROM near WHERE lo NOT IN (SELECT hi FROM c)), []::bigint[]) UNION ALL
+   SELECT c.step, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, c.hi) END FROM g JOIN c ON c.step = g.step + 1),
+ k AS MATERIALIZED (SELECT unnest(kept) AS pos FROM (SELECT kept FROM g ORDER BY step DESC LIMIT 1))
+SELECT id FROM s WHERE pos IN (SELECT pos FROM k) OR pos NOT IN (SELECT hi FROM c) UNION ALL SELECT id FROM {sets} WHERE len(toks) = 0"""
+_FAMILIES = """, e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM near JOIN s a ON a.pos = near.lo JOIN s b ON b.pos = near.hi {named}),
+ cc(id, label) USING KEY (id) AS (SELECT id, id FROM {sets} UNION SELECT e.y, min(cc.label) FROM cc JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) e ON e.x = cc.id
+   JOIN recurring.cc old ON old.id = e.y WHERE cc.label < old.label GROUP BY e.y)"""
+DOC_SETS = """, docsets AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks,
+   sha256('7:' || cast(doc_id AS varchar)) AS rank_key FROM documents)"""
+SCHEMA_PROPS = f"list_transform(range(n_props), lambda i: split_part('{words_sql()}', ',', ((eff * 7 + 3 * i) % 40 + 1)::int))"
+SCHEMA_SETS = f""", schemasets AS (SELECT schema_id AS id, list_distinct({SCHEMA_PROPS}) AS toks, sha256('7:' || schema_id) AS rank_key FROM fx_schema_key)"""
+POOL_SETS = f""", poolsets AS (SELECT schema_id AS id, list_distinct({SCHEMA_PROPS}) AS toks, schema_id AS rank_key, CASE WHEN subset IN {NAMED} THEN eff % 500 END AS fn
+   FROM fx_schema_key JOIN (SELECT schema_id FROM fx_pool) p USING (schema_id))"""
+
+
+def recursive(sql: str, names: str) -> str:
+    return fx(sql, names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("near_dup_greedy_documents", "WITH RECURSIVE " + (DOC_SETS + _PAIRS.format(sets="docsets", t=0.8) + _GREEDY.format(sets="docsets")).lstrip(", "))
 def near_dup_greedy_documents(spark, sf):
     return si.near_dup_greedy(doc_sets(spark, sf), 0.8)
 
 
-@query("near_dup_greedy_schemas")
+@query("near_dup_greedy_schemas", recursive(SCHEMA_SETS + _PAIRS.format(sets="schemasets", t=0.8) + _GREEDY.format(sets="schemasets"), "fx_schema_key"))
 def near_dup_greedy_schemas(spark, sf):
     return si.near_dup_greedy(schema_sets(spark, sf), 0.8, first_batch=256)
 
 
-@query("families_documents")
+@query("families_documents", "WITH RECURSIVE " + (DOC_SETS + _PAIRS.format(sets="docsets", t=0.5) + _FAMILIES.format(sets="docsets", named="")
+       + " SELECT id AS doc_id, label AS root FROM cc").lstrip(", "))
 def families_documents(spark, sf):
     kept = doc_sets(spark, sf).select(F.col("id").alias("schema_id"), F.lit(None).cast("string").alias("fn"), "toks")
     return sp.families(kept, 0.5).select(F.col("schema_id").alias("doc_id"), "root")
 
 
-@query("families_schemas")
+@query("families_schemas", recursive(POOL_SETS + _PAIRS.format(sets="poolsets", t=0.5) + _FAMILIES.format(sets="poolsets", named="""UNION ALL
+     SELECT a.id, b.id FROM poolsets a JOIN poolsets b ON a.fn = b.fn AND a.id < b.id""") + """,
+ f AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS n FROM (SELECT DISTINCT label FROM cc) x)
+SELECT cc.id AS schema_id, 'F' || lpad(cast(n AS varchar), greatest(5, length(cast(n AS varchar)))::int, '0') AS family, cc.label AS root
+FROM cc JOIN f USING (label)""", "fx_schema_key fx_pool"))
 def families_schemas(spark, sf):
     """Families over property sets and function names of the eligible documents."""
     s = schema_sets(spark, sf).select(F.col("id").alias("schema_id"), "toks")

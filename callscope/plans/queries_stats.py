@@ -406,7 +406,14 @@ def calib_coverage_at_risk(spark, sf):
     return rounded(cal.coverage_at_risk(cal.risk_coverage(conf(spark, sf)), 0.4))
 
 
-@query("calib_temperature")
+@query("calib_temperature", fx(""", d AS (SELECT z0::double AS z0, z1::double AS z1, z2::double AS z2, gold, count(*) AS w FROM fx_conf GROUP BY ALL),
+ r(pass, a, b) AS (SELECT 0, ln(0.05), ln(20.0) UNION ALL
+  SELECT pass + 1, g[greatest(best - 1, 1)], g[least(best + 1, 33)] FROM (
+   SELECT pass, list(gv ORDER BY i) AS g, arg_min(i, {'l': round(loss, 12), 'i': i}) AS best FROM (
+    SELECT pass, i, any_value(gv) AS gv, sum(w * (ln(exp(z0 / exp(gv)) + exp(z1 / exp(gv)) + exp(z2 / exp(gv)))
+       - CASE gold WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END / exp(gv))) / sum(w) AS loss
+    FROM (SELECT r.pass, t.i, a + (b - a) * (t.i - 1) / 32.0 AS gv FROM r, range(1, 34) t(i) WHERE pass < 9) q, d GROUP BY pass, i) x GROUP BY pass) y)
+ SELECT round(exp((a + b) / 2), 6) AS temperature FROM r WHERE pass = 9""", "fx_conf").replace("WITH ", "WITH RECURSIVE ", 1))
 def calib_temperature(spark, sf):
     c = conf(spark, sf).selectExpr("array(cast(z0 as double), cast(z1 as double), cast(z2 as double)) AS z", "gold")
     return rounded(cal.fit_temperature(c, "z", "gold"))
