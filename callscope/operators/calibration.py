@@ -63,7 +63,8 @@ def fit_temperature(df: DataFrame, logits: str, gold: str, lo: float = 0.05, hi:
                     points: int = 33, passes: int = 9) -> DataFrame:
     """One-parameter scaling: the mean log loss over a grid of log T per pass, then a narrower grid.
 
-    Each pass is one aggregate over the data and returns ``points`` numbers.
+    Each pass is one aggregate over the data and returns ``points`` numbers. ``at_bound`` marks a loss that still falls at
+    an end of the range searched.
     """
     data = df.select(F.col(logits).alias("z"), F.col(gold).alias("g"))
     data = data.groupBy("z", "g").agg(F.count(F.lit(1)).alias("w")).persist()
@@ -82,4 +83,4 @@ def fit_temperature(df: DataFrame, logits: str, gold: str, lo: float = 0.05, hi:
             a, b = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
     finally:
         data.unpersist()
-    return df.sparkSession.createDataFrame([(math.exp((a + b) / 2),)], "temperature double")
+    return df.sparkSession.createDataFrame([(t := math.exp((a + b) / 2), not lo * 1.01 < t < hi / 1.01)], "temperature double, at_bound boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.jsontext import normalized_forms, text_forms
 from callscope.functions.jsontree import ARR, OBJ, SEP, once, strict_variant, tree_nodes, with_nodes
+from callscope.operators.lookup import left_lookup
 from callscope.operators.schematree import schema_nodes, schema_tree, sql_list, with_schema_tree
 
 # fixed values: keyword groups of the audit
@@ -241,7 +242,7 @@ def mark_exact_duplicates(df: DataFrame, order: list[str] = ("schema_id",), sha:
     """
     first = (df.where("eligible").groupBy(sha)
              .agg(F.min(F.struct(*order, F.col(key).alias("_first"))).alias("_f")).select(sha, F.col("_f._first").alias("_first")))
-    j = df.join(first, sha, "left")
+    j = left_lookup(df, first, sha, key)
     dup = F.col("eligible") & (F.col("_first") != F.col(key))
     return (j.withColumn("exclusion_reasons", F.when(dup, F.array_append(
                 "exclusion_reasons", F.concat(F.lit("exact_duplicate_of:"), "_first"))).otherwise(F.col("exclusion_reasons")))

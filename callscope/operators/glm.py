@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def token_glm(results: DataFrame, arms: list[str], cluster: str = "intent_id", tokens: str = "prompt_tokens",
-              metric: str = "e2e_success", steps: int = 25) -> DataFrame:
+              metric: str = "e2e_success", steps: int = 100) -> DataFrame:
     """success ~ 1 + ln(tokens) + arm (first arm is the reference), logit link.
 
     Newton steps run on the table of distinct covariate rows; the robust middle matrix is a sum of
-    score outer products over clusters. Only k x k matrices reach the driver.
+    score outer products over clusters. Only k x k matrices reach the driver. ``converged`` says whether the steps
+    became small; a separable sample has no finite fit and is marked so.
     """
     names = ["const", "log_input_tokens"] + [f"arm[{a}]" for a in arms[1:]]
     k = len(names)
@@ -39,12 +40,13 @@ def token_glm(results: DataFrame, arms: list[str], cluster: str = "intent_id", t
                 info[i, j] = info[j, i] = next(it)
         return info, np.array(list(it))
 
-    beta = [0.0] * k
+    beta, converged = [0.0] * k, False
     for _ in range(steps):
         info, grad = moments(beta)
         step = np.linalg.pinv(info) @ grad
         beta = [float(b + s) for b, s in zip(beta, step)]
         if max(abs(step)) < 1e-10:
+            converged = True
             break
     info, _ = moments(beta)
     rank = int(np.linalg.matrix_rank(info))
@@ -63,5 +65,5 @@ def token_glm(results: DataFrame, arms: list[str], cluster: str = "intent_id", t
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     cells.unpersist()
     out = [(names[i], beta[i], float(se[i]),
-            math.erfc(abs(beta[i] / se[i]) / math.sqrt(2)) if se[i] > 0 else None, rank < k) for i in range(k)]
-    return results.sparkSession.createDataFrame(out, "term string, coef double, se double, p double, rank_deficient boolean")
+            math.erfc(abs(beta[i] / se[i]) / math.sqrt(2)) if se[i] > 0 else None, rank < k, converged) for i in range(k)]
+    return results.sparkSession.createDataFrame(out, "term string, coef double, se double, p double, rank_deficient boolean, converged boolean")

@@ -12,7 +12,7 @@ def _digest(edges: DataFrame):
     return r["n"], r["h"]
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label) with label = smallest id of the component. edges: a, b.
 
     Every step is a minimum per vertex and a join back, so a hub vertex is combined map-side and
@@ -20,9 +20,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     """
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _digest(e)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,7 +33,5 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     root = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
     return nodes.select("id").join(root, "id", "left").select("id", F.coalesce("label", "id").alias("label"))

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.operators.ranking import exact_quantiles
+from callscope.operators.ranking import exact_quantiles, running_totals
 
 OUTCOMES = ("tool_correct", "arg_exact_match", "schema_valid", "json_valid", "semantic_correct", "e2e_success",
             "e2e_strict")
@@ -63,15 +63,16 @@ def cluster_bootstrap(sums: DataFrame, group: list[str], cluster: str, total: st
                       seed: int = 0, out: tuple[str, str] = ("ci_low", "ci_high")) -> DataFrame:
     """Percentile interval of a mean, resampling clusters with replacement.
 
-    ``sums`` already holds one (total, n) row per (group, cluster), so a draw costs clusters, not rows.
+    ``sums`` already holds one (total, n) row per (group, cluster), so a draw costs clusters, not rows. Draws are dealt out
+    before their slots are made: a task holds some draws of a group, never all of them.
     The draw for slot s of replicate b is md5("seed:b:s") modulo the number of clusters.
     """
     g = group or ["_all"]
     src = sums if group else sums.withColumn("_all", F.lit(1))
-    w = Window.partitionBy(*g).orderBy(cluster)
-    idx = src.select(*g, F.col(total).alias("_s"), F.col(n).alias("_m"), (F.row_number().over(w) - 1).alias("_i"))
+    idx = running_totals(src.select(*g, F.col(cluster).alias("_c"), F.col(total).alias("_s"), F.col(n).alias("_m")), g, ["_c"],
+                         {"_i": "cast(1 as bigint)"}).withColumn("_i", F.col("_i") - 1)
     size = idx.groupBy(*g).agg(F.count(F.lit(1)).alias("_r"))
-    slots = (size.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    slots = (size.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*g, "_b")
              .withColumn("_slot", F.explode(F.expr("sequence(0, cast(_r as int) - 1)")))
              .withColumn("_i", F.expr(f"cast(conv(substr(md5(concat('{seed}:', _b, ':', _slot)), 1, 8), 16, 10) as bigint) % _r")))
     est = (slots.join(idx, g + ["_i"]).groupBy(*g, "_b")

@@ -413,7 +413,7 @@ def calib_coverage_at_risk(spark, sf):
     SELECT pass, i, any_value(gv) AS gv, sum(w * (ln(exp(z0 / exp(gv)) + exp(z1 / exp(gv)) + exp(z2 / exp(gv)))
        - CASE gold WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END / exp(gv))) / sum(w) AS loss
     FROM (SELECT r.pass, t.i, a + (b - a) * (t.i - 1) / 32.0 AS gv FROM r, range(1, 34) t(i) WHERE pass < 9) q, d GROUP BY pass, i) x GROUP BY pass) y)
- SELECT round(exp((a + b) / 2), 6) AS temperature FROM r WHERE pass = 9""", "fx_conf").replace("WITH ", "WITH RECURSIVE ", 1))
+ SELECT round(exp((a + b) / 2), 6) AS temperature, exp((a + b) / 2) NOT BETWEEN 0.0505 AND 20 / 1.01 AS at_bound FROM r WHERE pass = 9""", "fx_conf").replace("WITH ", "WITH RECURSIVE ", 1))
 def calib_temperature(spark, sf):
     c = conf(spark, sf).selectExpr("array(cast(z0 as double), cast(z1 as double), cast(z2 as double)) AS z", "gold")
     return rounded(cal.fit_temperature(c, "z", "gold"))
