@@ -73,9 +73,9 @@ WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, ''
 u AS (SELECT said, min(conv_id) AS conv_id FROM t GROUP BY said),
 p AS (SELECT DISTINCT list_slice(said, 1, k) AS said FROM (SELECT said, unnest(range(1, len(said))) AS k FROM u)),
 m AS (SELECT u.* FROM u ANTI JOIN p ON u.said = p.said),
-r AS (SELECT conv_id, unnest(said) AS x, unnest(range(1, len(said) + 1)) AS at FROM m)
-SELECT conv_id, CAST(floor((at - 1) / 512) AS BIGINT) AS part, CAST(count(*) AS INT) AS n_turns,
+r AS (SELECT conv_id, unnest(said) AS x, unnest(range(1, len(said) + 1)) AS place FROM m)
+SELECT conv_id, CAST(floor((place - 1) / 512) AS BIGINT) AS part, CAST(count(*) AS INT) AS n_turns,
        string_agg('<|im_start|>' || regexp_replace(x.r, '[^A-Za-z0-9_-]', '', 'g') || chr(10)
-                  || regexp_replace(x.t, '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY at) AS text
-FROM r GROUP BY ALL
+                  || regexp_replace(x.t, '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM r GROUP BY 1, 2
 """
