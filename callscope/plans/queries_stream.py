@@ -26,9 +26,8 @@ def batch(spark, sf):
 
 
 def feed(spark, sf):
-    """The events file as a stream, with the same derived columns."""
-    schema = table(spark, sf, "events").schema
-    e = jobs.event_stream(spark, sf, "events", schema)
+    """The events as a stream of time slices, with the same derived columns."""
+    e = jobs.staged_stream(table(spark, sf, "events"), "ts", "user_id")
     return e.selectExpr("user_id", "event_id", "cast(ts as timestamp) AS ts", "cast(round(value * 100) as bigint) AS counter", "CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS pressure",
                         "concat(user_id, ':', regexp_extract(props, '([0-9]+)', 1)) AS request_key", "user_id % 10 AS bucket")
 
@@ -135,8 +134,7 @@ def telemetry_windows(spark, sf):
 
 @query("stream_results", "SELECT user_id % 10 AS bucket, count(DISTINCT (user_id, regexp_extract(props, '([0-9]+)', 1))) AS n FROM events GROUP BY 1")
 def stream_results(spark, sf):
-    d = jobs.stream_results(feed(spark, sf).select("request_key", "ts", "bucket"), delay="3650 days")
-    return jobs.arm_counts(jobs.run_available(d, "append"), "bucket")
+    return jobs.arm_counts(jobs.drain_unique(feed(spark, sf).select("request_key", "ts", "bucket")), "bucket")
 
 
 @query("stream_progress", """WITH p AS (SELECT event_id, event_type AS family, event_id % 10 <> 0 AS sent FROM events)

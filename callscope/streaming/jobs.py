@@ -35,9 +35,24 @@ def run_available(stream: DataFrame, mode: str, key: list[str] | None = None) ->
     return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*key, "r.*")
 
 
-def stream_results(feed: DataFrame, key: str = "request_key", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Feed without repeated keys inside the watermark delay."""
-    return feed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def drain_unique(feed: DataFrame, key: str = "request_key") -> DataFrame:
+    """Drain a feed into a table that holds each key once, however late a repeat comes.
+
+    What is stored already is the memory: a batch drops its own repeats and joins the other batches' keys away. A batch
+    that is run again overwrites its own folder.
+    """
+    spark = feed.sparkSession
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, batch: int) -> None:
+        new = df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("_r")).select("_r.*")
+        if batch:
+            stored = spark.read.parquet(f"{home}/out").where(F.col("part") != batch).select(key)
+            new = new.join(stored, key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{home}/out/part={batch}")
+
+    feed.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").drop("part")
 
 
 def arm_counts(feed: DataFrame, by: str) -> DataFrame:
@@ -123,6 +138,18 @@ def stream_pauses(samples: DataFrame, k: int = 3, limit_seconds: float = 900) ->
     return samples.groupBy("user_id").applyInPandasWithState(step, PAUSE_OUT, PAUSE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def event_stream(spark: SparkSession, sf_dir: str, table: str, schema) -> DataFrame:
-    """A given table read as a file stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+def staged_stream(rows: DataFrame, order: str, key: str, slices: int = 8) -> DataFrame:
+    """A table replayed as a stream of many micro-batches, one file each.
+
+    Slices follow the order column, and inside a slice a key's rows share a file, so every key's rows arrive in order and
+    its state has to last from batch to batch.
+    """
+    spark = rows.sparkSession
+    home = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)]).alias("c")).first()["c"] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(edges, edges[1:]):
+        some = rows if lo is None else rows.where(at > lo)
+        (some if hi is None else some.where(at <= hi)).repartition(2, key).write.mode("append").parquet(home)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(home)
