@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from callscope.functions.jsontree import leaf_table
 from callscope.operators import scoring as sc
 from callscope.operators.schematree import schema_rules
-from callscope.plans.fixtures import fixture, with_fx
+from callscope.plans.fixtures import fixture, spread, with_fx
 from callscope.plans.flagship import catalogs, flagship, outputs, scored, tasks, tool_inputs
 from callscope.plans.queries_stats import _plan_sql
 from callscope.plans.registry import query, rounded
@@ -76,6 +76,19 @@ def score_fields(spark, sf):
             .select("request_key", "f.path", "f.present", "f.semantic", "f.exact"))
 
 
+@query("score_variants", fx(""", p AS (SELECT request_key, h, tool_name, unnest(['k', 'cents', 'kind', 'tags[0]', 'tags[1]']) AS path
+   FROM fx_expected WHERE tool_correct)
+SELECT request_key, path, NOT (path = 'k' AND (h = 13 OR h = 14 AND tool_name = 'click')) AS semantic,
+  NOT (path = 'k' AND (h IN (12, 13) OR h = 14 AND tool_name = 'click') OR path = 'kind' AND h = 11) AS exact FROM p"""))
+def score_variants(spark, sf):
+    """The next number is accepted in place of k."""
+    t = (spread(fixture(spark, sf, "fx_task_rows").select("task_id", "tool_name", "gold_args", "k"))
+         .withColumn("unordered_paths", F.array(F.lit("tags"))).withColumn("acceptable_variants", F.expr("concat('{\"k\":[', k + 1, ']}')")).drop("k"))
+    rules, names = tool_inputs(spark, sf)
+    s = sc.score(outputs(spark, sf), sc.prepare_tasks(t), rules, catalogs(spark, sf), names)
+    return s.where("tool_correct").select("request_key", F.explode("fields").alias("f")).select("request_key", "f.path", "f.semantic", "f.exact")
+
+
 @query("score_extra_and_hallucinated", fx("""SELECT request_key, CASE WHEN tool_correct AND h = 18 THEN 'color' ELSE '' END AS extra,
   CASE WHEN tool_correct AND h = 18 THEN 'color' ELSE '' END AS hallucinated, arg_exact_match FROM fx_expected WHERE json_valid"""))
 def score_extra(spark, sf):

@@ -235,11 +235,14 @@ def corpus_keys(spark, sf):
 KEYS = f"""SELECT schema_id, subset, eff, reasons = '' AS eligible, CASE WHEN subset IN {NAMED} THEN eff % 500 END AS fn, {PROPS} AS toks FROM fx_schema_reasons"""
 
 
-@query("leakage_filter", fx(TARGETS + f""", k AS ({KEYS}), t AS (SELECT k.* FROM k JOIN tg USING (schema_id)),
+LEAKS = f""", k AS ({KEYS}), t AS (SELECT k.* FROM k JOIN tg USING (schema_id)),
  near AS (SELECT DISTINCT k.schema_id FROM k, t WHERE len(list_intersect(k.toks, t.toks)) / len(list_distinct(k.toks || t.toks)) >= 0.5)
 SELECT schema_id, CASE WHEN NOT eligible THEN 'not_eligible' WHEN schema_id IN (SELECT schema_id FROM t) THEN 'is_test_tool'
   WHEN eff IN (SELECT eff FROM t) THEN 'same_schema_as_test_tool' WHEN fn IN (SELECT fn FROM t WHERE fn IS NOT NULL) THEN 'same_function_as_test_tool'
-  WHEN schema_id IN (SELECT schema_id FROM near) THEN 'near_duplicate_of_test_tool' ELSE 'kept' END AS reason FROM k""", "fx_pool"))
+  WHEN schema_id IN (SELECT schema_id FROM near) THEN 'near_duplicate_of_test_tool' ELSE 'kept' END AS reason FROM k"""
+
+
+@query("leakage_filter", fx(TARGETS + LEAKS, "fx_pool"))
 def leakage_filter(spark, sf):
     c = corpus_keys(spark, sf)
     t = c.join(pool(spark, sf).join(targets(spark, sf).select("tool_id"), "tool_id").select("schema_id"), "schema_id", "left_semi")
@@ -269,14 +272,15 @@ def split_violations(spark, sf):
     return sp.split_violations(rows, t)
 
 
-@query("pool_summary", fx(SPLIT + """ SELECT 'split' AS kind, split, '' AS item, count(*) AS n FROM fs GROUP BY split
+@query("pool_summary", fx(TARGETS + LEAKS.replace("\nSELECT schema_id, CASE WHEN NOT", ", lk AS (SELECT schema_id, CASE WHEN NOT") + ")" + SPLIT + """ SELECT 'leakage_reason' AS kind, '' AS split, reason AS item, count(*) AS n FROM lk GROUP BY reason
+ UNION ALL SELECT 'split' AS kind, split, '' AS item, count(*) AS n FROM fs GROUP BY split
  UNION ALL SELECT 'split_stratum', split, stratum, count(*) FROM fs GROUP BY split, stratum
  UNION ALL SELECT 'train_keyword', split, unnest(['type', 'properties', 'required'] || CASE WHEN shape = 'enum' THEN ['enum'] ELSE [] END
    || CASE WHEN n_props > 1 THEN ['minLength'] ELSE [] END || CASE WHEN shape IN ('objects', 'tuple') THEN ['items'] ELSE [] END) AS item, count(*)
-   FROM fs WHERE split = 'train' GROUP BY split, item"""))
+   FROM fs WHERE split = 'train' GROUP BY split, item""", "fx_pool"))
 def pool_summary(spark, sf):
     k = co.keyword_audit(spread(fixture(spark, sf, "fx_schemas").select("schema_id", "body"))).select("schema_id", F.col("assertion_keywords").alias("keywords"))
-    return sp.trainpool_summary(split_rows(spark, sf).join(k, "schema_id"))
+    return sp.trainpool_summary(split_rows(spark, sf).join(k, "schema_id"), leakage_filter(spark, sf))
 
 
 # ---------------------------------------------------------------- samples

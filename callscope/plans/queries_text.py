@@ -111,6 +111,16 @@ def tool_documents(spark, sf):
     return tx.tool_documents(x, "all").selectExpr("tool_id", "array_join(array_sort(toks), ' ') AS words")
 
 
+@query("tool_documents_card", fx("""SELECT tool_id, list_aggregate(list_sort(['do', first_prop, cast(p_partkey AS string), 'handles', 'item', cast(s.eff AS string)]), 'string_agg', ' ') AS words
+ FROM (SELECT tool_id, schema_id, p_partkey FROM fx_pool) p JOIN fx_schema_key s USING (schema_id, p_partkey)""", "fx_pool fx_schema_key"))
+def tool_documents_card(spark, sf):
+    """Search documents of name and description alone."""
+    s = fixture(spark, sf, "fx_schemas").select("schema_id", "eff")
+    t = spread(fixture(spark, sf, "fx_pool").select("tool_id", "tool_name", "schema_id").join(s, "schema_id"))
+    d = tx.tool_documents(t.withColumn("description", F.expr("concat('Handles item ', eff)")), "card")
+    return d.selectExpr("tool_id", "array_join(array_sort(toks), ' ') AS words")
+
+
 PROMPT = """CASE p_partkey % 6 WHEN 0 THEN 'Use ' || tool_name WHEN 1 THEN 'please ' || replace(tool_name, '_', ' ') WHEN 2 THEN 'see ' || schema_id
   WHEN 3 THEN 'call ' || tool_id || ' now' WHEN 4 THEN 'a GitHub raw thing' ELSE 'It handles item ' || cast(p_partkey AS string) || ' with care and patience' END"""
 
