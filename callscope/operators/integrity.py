@@ -134,8 +134,9 @@ def fingerprint(*cols: str):
 
 
 # ---------------------------------------------------------------- ledger
-def ledger_check(ledger: DataFrame, caps: dict[str, int], carried: DataFrame | None = None) -> DataFrame:
-    """(problem, seq, key): repeated keys, rows over the cap of their category, changed carried-over prefix.
+def ledger_check(ledger: DataFrame, caps: dict[str, int], carried: DataFrame | None = None, expected: dict[str, int] | None = None) -> DataFrame:
+    """(problem, seq, key): repeated keys, rows over the cap of their category, changed carried-over prefix, and categories
+    (as key, without seq) of which the prefix holds another number of rows than expected.
 
     ledger: seq, category, key. The running count per category never gathers a category in one task.
     """
@@ -147,6 +148,11 @@ def ledger_check(ledger: DataFrame, caps: dict[str, int], carried: DataFrame | N
     if carried is not None:
         j = carried.select("seq", F.col("key").alias("_k"), F.col("category").alias("_c")).join(ledger, "seq", "left")
         out = out.unionByName(j.where("NOT (key <=> _k AND category <=> _c)").select(F.lit("carried_prefix_changed").alias("problem"), "seq", F.col("_k").alias("key")))
+        if expected is not None:
+            have = ledger.join(carried.select("seq"), "seq", "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
+            want = ledger.sparkSession.createDataFrame(list(expected.items()), "category string, _want bigint")
+            off = want.join(have, "category", "full").where("coalesce(_n, 0) <> coalesce(_want, 0)")
+            out = out.unionByName(off.select(F.lit("historical_count_changed").alias("problem"), F.lit(None).cast("bigint").alias("seq"), F.col("category").alias("key")))
     return out
 
 

@@ -136,11 +136,13 @@ CAPS = {"readiness": 60, "benchmark": 700}
 
 @query("ledger_check", fx(""", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS k, row_number() OVER (PARTITION BY category ORDER BY seq) AS c FROM fx_ledger)
 SELECT 'repeated_key' AS problem, seq, key FROM n WHERE k > 1 UNION ALL SELECT 'over_cap', seq, key FROM n WHERE c > CASE category WHEN 'readiness' THEN 60 ELSE 700 END
- UNION ALL SELECT 'carried_prefix_changed', seq, key || '!' FROM n WHERE seq < 11 AND seq % 5 = 0""", "fx_ledger"))
+ UNION ALL SELECT 'carried_prefix_changed', seq, key || '!' FROM n WHERE seq < 11 AND seq % 5 = 0
+ UNION ALL SELECT 'historical_count_changed', NULL, w.category FROM (VALUES ('readiness', 4), ('benchmark', 7)) w(category, want)
+   WHERE want <> (SELECT count(*) FROM n WHERE n.category = w.category AND seq < 11)""", "fx_ledger"))
 def ledger_check(spark, sf):
     led = fixture(spark, sf, "fx_ledger")
     carried = led.where("seq < 11").withColumn("key", F.expr("CASE WHEN seq % 5 = 0 THEN concat(key, '!') ELSE key END"))
-    return ig.ledger_check(led, CAPS, carried)
+    return ig.ledger_check(led, CAPS, carried, {"readiness": 4, "benchmark": 7})
 
 
 @query("ledger_spent", fx("SELECT category, count(*) AS spent, CASE category WHEN 'readiness' THEN 60 ELSE 700 END AS cap FROM fx_ledger GROUP BY 1", "fx_ledger"))
