@@ -72,9 +72,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ids are cut into ranges by their quantiles; inside a range the next row is a lead over the range's sorted rows. The
     first document of each range is repeated behind the range before, so a lead never leaves its range and the table is
-    shuffled once. Rows of equal id follow by text; null ids come first.
+    shuffled once, a range to a partition. Rows of equal id follow by text; null ids come first.
     """
-    n = parts(docs.sparkSession) * 2
+    n = parts(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] or []
     bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))]).cast("array<bigint>")
     rows = docs.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0)))
@@ -87,7 +87,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     found = rows.join(F.broadcast(linked), "_range").where(F.when(F.col("_null"), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.col("_first")))
     least = found.groupBy("_before").agg(F.min_by("text", F.coalesce("text", F.lit(""))).alias("text"))
     behind = least.select(F.col("_before").alias("_range"), F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("_behind"))
-    every = rows.select("_range", "doc_id", "text", F.lit(False).alias("_behind")).unionByName(behind)
+    every = rows.select("_range", "doc_id", "text", F.lit(False).alias("_behind")).unionByName(behind).repartitionById(n, "_range")
     w = Window.partitionBy("_range").orderBy("_behind", *order)
     return every.withColumn("next_text", F.lead("text").over(w))
 
