@@ -16,17 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.shared import ascii_lower, batch, shingle_hashes, words
+from callscope.llm.shared import ascii_lower, batch, parts, shingle_hashes, words
 from callscope.operators.graph import components
 from callscope.operators.ranking import running_totals
 from callscope.session import cut_lineage
 
 #: Members that one block of a family may hold; a document counts as ``LIGHT`` at least, so its rows are bounded too.
-BLOCK_MEMBERS = 200_000
+BLOCK_MEMBERS = 600_000
 LIGHT = 400
+#: Signatures that one task sorts.
+DEAL = 2_000_000
 #: Columns of one fragment's matrix.
 FRAGMENT = 4096
 
@@ -69,20 +71,68 @@ def _signatures(sets: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _describe(num: int, den: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64()))])
+def _signed(num: int, den: int, deals: int):
+    """Signatures of each set with the set's node, packed by the deal that a signature falls into.
+
+    A node is sent once per task: a group of copies costs one set from every task that reads some.
+    """
+    schema = pa.schema([("deal", pa.int32()), ("sig", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                s = b.slice(at, 1024)
-                flat, offsets = s.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), s.column(2).offsets.to_numpy()
-                offsets = offsets - offsets[0]
-                sig = [_signatures(np.sort(flat[lo:hi]), num, den) if lo < hi else [] for lo, hi in zip(offsets.tolist(), offsets[1:].tolist())]
-                yield batch(schema, id=s.column(0), n=np.diff(offsets), node=s.column(1), sig=sig)
+            for lo in range(0, b.num_rows, 4096):
+                s = b.slice(lo, 4096)
+                flat, offsets = s.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), s.column(1).offsets.to_numpy()
+                offsets, nodes, signs = offsets - offsets[0], [], []
+                for node, first, end in zip(s.column(0).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                    if first < end and node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        signs.append(_signatures(np.sort(flat[first:end]), num, den))
+                if not nodes:
+                    continue
+                sig, owner = np.concatenate(signs), np.repeat(np.arange(len(nodes)), [len(x) for x in signs])
+                deal = (sig.view(np.uint64) >> np.uint64(20)) % np.uint64(deals)
+                order = np.argsort(deal, kind="stable")
+                cuts = np.searchsorted(deal[order], np.arange(deals + 1).astype(np.uint64))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    some = order[cuts[k]:cuts[k + 1]]
+                    own, at = np.unique(owner[some], return_inverse=True)
+                    yield batch(schema, deal=[k], sig=[sig[some].tobytes()], at=[at.astype("<u2").tobytes()],
+                                nodes=[np.array(nodes, np.int64)[own].tobytes()])
     return run
 
 
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties of nodes with an equal signature, one per node: to the least node that its deal's ties reach."""
+    sig, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        for s, at, nodes in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            sig.append(np.frombuffer(s, np.int64))
+            node.append(np.frombuffer(nodes, np.int64)[np.frombuffer(at, "<u2")])
+    s, n = np.concatenate(sig), np.concatenate(node)
+    order = np.lexsort((n, s))
+    s, n = s[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    low = np.repeat(n[begin], np.diff([*begin, len(n)]))
+    ids, ends = np.unique(np.stack([n, low], axis=1)[n != low], return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    reach = np.arange(len(ids))
+    while True:
+        least, new = np.minimum(reach[a], reach[b]), reach.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == reach).all():
+            break
+        reach = new
+    tied = np.flatnonzero(reach != np.arange(len(ids)))
+    for lo in range(0, len(tied), 100_000):
+        some = tied[lo:lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[reach[some]])], names=["a", "b"])
+
+
 def _blocks(num: int, den: int):
     """Links inside one pair of blocks: partial overlaps per fragment of the order, summed, then a spanning forest."""
     def run(t: pa.Table) -> pa.Table:
@@ -107,8 +157,7 @@ def _blocks(num: int, den: int):
             m = np.zeros((len(ids), min(FRAGMENT, width - lo)), np.float32)
             m[owner[a:b], column[a:b] - lo] = 1
             both += m @ m.T
-        both = both.astype(np.int64)
-        linked = den * both >= num * (size[:, None] + size[None, :] - both)
+        linked = (den + num) * both.astype(np.float64) >= num * (size[:, None] + size[None, :])
         if i != j:
             linked &= side[:, None] != side[None, :]
         # breadth first from each row: one link per row reached
@@ -140,19 +189,22 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     node = F.aggregate("grams", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.xxhash64(x, F.lit(size))))
     plain = docs.select(docs[id].cast("bigint").alias("id"), docs[text].alias("text"))
     rows = plain.select("id", grams.alias("grams")).select("id", node.alias("node"), "grams")
-    sets = cut_lineage(rows.mapInArrow(_describe(num, den), "id bigint, n bigint, node bigint, sig array<bigint>"))
-    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-
-    # candidates: the sets of an equal fragment, each tied to the smallest of them; a window spills, it holds no group
-    signed = reps.select("node", F.explode("sig").alias("sig"))
-    ties = (signed.withColumn("low", F.min("node").over(Window.partitionBy("sig"))).where("node <> low")
-            .select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    sets = cut_lineage(rows.select("id", "node", F.size("grams").cast("bigint").alias("n")))
+    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+
+    # candidates: the sets of an equal fragment, each tied to the smallest of them. A set has about as many signatures as
+    # its levels have fragments, so the deals are sized by the members of all sets.
+    members = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    each = sum(f[1] for f in fragments(1 << 16, num, den)) / (1 << 16)
+    deals = max(parts(docs.sparkSession), math.ceil(members * each / DEAL))
+    signed = rows.where("id IS NOT NULL").select("node", "grams").mapInArrow(_signed(num, den, deals), "deal int, sig binary, at binary, nodes binary")
+    ties = signed.repartitionById(deals, "deal").mapInArrow(_ties, "a bigint, b bigint").distinct()
     ties = cut_lineage(ties)
     ends = ties.select(F.col("a").alias("id")).union(ties.select(F.col("b").alias("id"))).distinct()
     family = cut_lineage(components(ends, ties).select(F.col("id").alias("node"), F.col("label").alias("family")))
 
     # blocks of a family by size, so that blocks whose sizes can't match are never paired
-    sized = family.join(reps.drop("sig"), "node").withColumn("w", F.greatest("n", F.lit(LIGHT)))
+    sized = family.join(reps, "node").withColumn("w", F.greatest("n", F.lit(LIGHT)))
     dealt = running_totals(sized, ["family"], ["n", "node"], {"upto": "w"})
     member = cut_lineage(dealt.select("id", "node", "family", "n", F.floor((F.col("upto") - 1) / BLOCK_MEMBERS).alias("block")))
     block = member.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -161,9 +213,11 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
                    & (F.col("x.most") * den >= F.col("y.least") * num)).select(
         F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    texts = plain.join(member.select("id").distinct(), "id", "left_semi")  # shingles are made again for members only
-    held = texts.select(grams.alias("grams")).select(node.alias("node"), "grams").groupBy("node").agg(F.first("grams").alias("grams"))
-    links = (held.join(member, "node").join(sides, ["family", "block"]).select("family", "i", "j", "block", "node", "grams")
+    # shingles are made again, for members only; repeated rows of an id are one where the join has brought them together
+    texts = plain.join(member.drop("n"), "id").distinct()
+    held = (texts.select("node", "family", "block", grams.alias("grams")).withColumnRenamed("node", "known")
+            .select("known", "family", "block", node.alias("node"), "grams").where("node = known").drop("known"))
+    links = (held.join(sides, ["family", "block"]).select("family", "i", "j", "block", "node", "grams")
              .groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"))
     links = cut_lineage(links.distinct())
 
@@ -171,6 +225,6 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     whole = components(linked, links).select(F.col("id").alias("node"), F.col("label").alias("class"))
     known = cut_lineage(reps.select("node", "id").join(whole, "node", "left").select("node", "id", F.coalesce("class", "node").alias("class")))
     first = known.groupBy("class").agg(F.min("id").alias("component_id"))
-    out = sets.drop("sig").join(known.join(first, "class").select("node", "component_id"), "node", "left")
+    out = sets.join(known.join(first, "class").select("node", "component_id"), "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
