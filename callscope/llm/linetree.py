@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.shared import batch, text_list, word_hashes
+from callscope.llm.shared import batch, salted_join, slices, text_list, word_hashes
 from callscope.session import cut_lineage
 
 #: Leading tokens that name a leaf.
@@ -86,8 +86,7 @@ def _described(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, 1, ROWS):
                 keys = [line_keys(t) for t in text_list(s.column(1))]
                 yield batch(schema, th=s.column(0), signs=minimum_hashes(s.column(1)), leaves=[k[0] for k in keys], masks=[k[1] for k in keys])
 
@@ -99,7 +98,7 @@ def _weights(described: DataFrame) -> DataFrame:
     """(th, w): one over the texts that share a text's minimum hashes, by the ``ALIKE``-th most shared of them."""
     sign = described.select("th", F.posexplode("signs").alias("j", "sign"))
     shared = sign.groupBy("j", "sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = sign.join(shared, ["j", "sign"]).groupBy("th").agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))  # SIGNS at most
+    counts = salted_join(sign, shared, ["j", "sign"], "th").groupBy("th").agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))  # SIGNS at most
     alike = counts.select("th", (1.0 / F.coalesce(F.get("n", F.lit(ALIKE - 1)), F.lit(1))).alias("w"))
     return described.select("th").join(alike, "th", "left").select("th", F.coalesce("w", F.lit(1.0)).alias("w"))
 
@@ -132,7 +131,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
 
     # leaves first: one that fewer documents reach holds no recurring template
     alive = lines.select("th", "leaf", "w").distinct().groupBy("leaf").agg(F.sum("w").alias("s")).where(F.col("s") >= sightings).select("leaf")
-    lines = cut_lineage(lines.join(alive, "leaf"))
+    lines = cut_lineage(salted_join(lines, alive, ["leaf"], "th"))
     known = lines.groupBy("leaf", "mask").agg(F.sum("w").alias("s"), F.min("th").alias("th"))
     told = cut_lineage(_tokens(texts, known.select("th", "mask")).join(known.drop("th"), ["leaf", "mask"]))
 
@@ -145,10 +144,10 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
     template = F.when(F.col("share") >= CONSTANT, F.xxhash64("leaf", F.col("t.token"))).otherwise(F.xxhash64("leaf", "mask", F.lit("itself")))
     named = cut_lineage(general.select("leaf", "mask", template.alias("template")))
 
-    seen = lines.join(named, ["leaf", "mask"])
+    seen = salted_join(lines, named, ["leaf", "mask"], "th")
     drop = (seen.select("th", "template", "w").distinct().groupBy("template").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
             .where((F.col("s") >= sightings) & (F.col("s") >= F.col("n") * independent)).select("template"))
-    gone = seen.join(drop, "template").groupBy("th").agg(F.collect_set("mask").alias("gone"))  # lines of one text
+    gone = salted_join(seen, drop, ["template"], "th").groupBy("th").agg(F.collect_set("mask").alias("gone"))  # lines of one text
     at = F.filter(F.sequence(F.lit(0), F.size("masks") - 1), lambda i: F.array_contains("gone", F.get("masks", i)))
     return described.join(gone, "th").select("th", at.alias("drop"))
 

@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread: str, salts: int = 8) -> DataFrame:
+    """Inner join in which a key with a third of the large side's rows goes to ``salts`` tasks, dealt by ``spread``."""
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts))).join(each, [*on, "_salt"]).drop("_salt")
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once where ``then`` uses it often: a lambda computes again what it names by an expression."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -82,6 +89,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.add.reduceat(value, starts - starts[0]), doc[starts], n
 
 
+def slices(b: pa.RecordBatch, column: int, rows: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of at most ``rows`` rows and ``size`` bytes of one text column, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
