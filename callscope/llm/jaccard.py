@@ -27,8 +27,8 @@ from callscope.session import cut_lineage
 #: Members that one block of a family may hold; a document counts as ``LIGHT`` at least, so its rows are bounded too.
 BLOCK_MEMBERS = 600_000
 LIGHT = 400
-#: Signatures that one task sorts.
-DEAL = 2_000_000
+#: Signatures that one task sorts, about, at so many characters a word.
+DEAL, CHARS_PER_WORD = 2_000_000, 6
 #: Columns of one fragment's matrix.
 FRAGMENT = 4096
 
@@ -38,15 +38,15 @@ def fragments(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
     Level l holds sizes from (den/num)^l. Sizes that can match lie in the same or the next level, so a set uses its own
     level and the one above. Two matching sets that meet there differ in at most floor((den - num) / (den + num) *
-    (n1 + n2)) members; with more fragments than that, one at least is equal. Some more are cut, because equal fragments
-    count only if they are not empty: a set with no more filled fragments than differences also names its empty ones.
+    (n1 + n2)) members, and in at most floor(n * (den - num) / num), whichever of them has n. With more fragments than
+    that, one at least is equal; three in ten more are cut, so that small fragments can be left out.
     """
     ratio = den / num
     level = int(math.log(n) / math.log(ratio) + 1e-9)
     out = []
     for at in (level, level + 1):
         apart = (den - num) * 2 * math.ceil(ratio ** (at + 1) + 1e-6) // (den + num)
-        out.append((at, apart + 1 + (1 + apart // 12 if apart else 0), apart))
+        out.append((at, apart + 1 + (1 + apart * 3 // 10 if apart else 0), min(apart, n * (den - num) // num)))
     return out
 
 
@@ -59,37 +59,54 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _signatures(sets: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One value per fragment and level: a sum over its members, mixed with level and fragment."""
+    """One value per fragment and level: a sum over its members, mixed with level and fragment.
+
+    A set names its fragments of k members or more, with the largest k that leaves more fragments than it can differ in.
+    Of two matching sets, the one with the larger k has an equal fragment among those it names, and the other names it
+    too. Empty fragments are named where even k = 1 leaves too few.
+    """
     out = []
     for level, count, apart in fragments(len(sets), num, den):
         of = ((sets >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out.append(_mix(np.add.reduceat(_mix(sets, 1), cuts), 2) ^ _mix(of[cuts] + np.uint64(level << 40), 3))
+        sums, size = np.add.reduceat(_mix(sets, 1), cuts), np.diff([*cuts, len(sets)])
+        least = int(np.sort(size)[::-1][apart]) if len(cuts) > apart else 1
+        big = cuts[size >= least]
+        out.append(_mix(sums[size >= least], 2) ^ _mix(of[big] + np.uint64(level << 40), 3))
         if len(cuts) <= apart:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), of)
             out.append(_mix(empty + np.uint64(level << 40), 4))
     return np.concatenate(out).view(np.int64)
 
 
+_SETS = "array<struct<id:bigint,th:bigint,node:bigint,n:bigint>>"
+
+
 def _signed(num: int, den: int, deals: int):
-    """Signatures of each set with the set's node, packed by the deal that a signature falls into.
+    """The sets of some rows, in rows of deal -1, and their signatures, packed by the deal that a signature falls into.
 
-    A node is sent once per task: a group of copies costs one set from every task that reads some.
+    A node is a hash of a whole set. Its signatures are sent once per task: a group of copies costs one set from every
+    task that reads some.
     """
-    schema = pa.schema([("deal", pa.int32()), ("sig", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary())])
+    member = pa.struct([(c, pa.int64()) for c in ("id", "th", "node", "n")])
+    schema = pa.schema([("deal", pa.int32()), ("sig", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("sets", pa.list_(member))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
-                flat, offsets = s.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), s.column(1).offsets.to_numpy()
-                offsets, nodes, signs = offsets - offsets[0], [], []
-                for node, first, end in zip(s.column(0).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
-                    if first < end and node not in seen:
+                flat, offsets = s.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), s.column(2).offsets.to_numpy()
+                offsets, nodes, signs, sets = (offsets - offsets[0]).tolist(), [], [], []
+                for key, th, first, end in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), offsets, offsets[1:]):
+                    x = flat[first:end]
+                    node = int(np.bitwise_xor.reduce(_mix(x, 9)).view(np.int64)) if first < end else 0
+                    sets.append({"id": key, "th": th, "node": node, "n": end - first})
+                    if first < end and key is not None and node not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        signs.append(_signatures(np.sort(flat[first:end]), num, den))
+                        signs.append(_signatures(np.sort(x), num, den))
+                yield batch(schema, deal=[-1], sig=[None], at=[None], nodes=[None], sets=[sets])
                 if not nodes:
                     continue
                 sig, owner = np.concatenate(signs), np.repeat(np.arange(len(nodes)), [len(x) for x in signs])
@@ -100,7 +117,7 @@ def _signed(num: int, den: int, deals: int):
                     some = order[cuts[k]:cuts[k + 1]]
                     own, at = np.unique(owner[some], return_inverse=True)
                     yield batch(schema, deal=[k], sig=[sig[some].tobytes()], at=[at.astype("<u2").tobytes()],
-                                nodes=[np.array(nodes, np.int64)[own].tobytes()])
+                                nodes=[np.array(nodes, np.int64)[own].tobytes()], sets=[None])
     return run
 
 
@@ -186,19 +203,20 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     set, they share its component, else theirs is null.
     """
     grams = shingle_hashes(words(ascii_lower(F.col("text"))), size)
-    node = F.aggregate("grams", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.xxhash64(x, F.lit(size))))
-    plain = docs.select(docs[id].cast("bigint").alias("id"), docs[text].alias("text"))
-    rows = plain.select("id", grams.alias("grams")).select("id", node.alias("node"), "grams")
-    sets = cut_lineage(rows.select("id", "node", F.size("grams").cast("bigint").alias("n")))
-    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-
-    # candidates: the sets of an equal fragment, each tied to the smallest of them. A set has about as many signatures as
-    # its levels have fragments, so the deals are sized by the members of all sets.
-    members = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    plain = docs.select(docs[id].cast("bigint").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
+    # a set of n words has about as many signatures as its levels have fragments: deals are sized by the length of all texts
+    chars = docs.agg(F.sum(F.length(docs[text])).alias("n")).first()["n"] or 0
     each = sum(f[1] for f in fragments(1 << 16, num, den)) / (1 << 16)
-    deals = max(parts(docs.sparkSession), math.ceil(members * each / DEAL))
-    signed = rows.where("id IS NOT NULL").select("node", "grams").mapInArrow(_signed(num, den, deals), "deal int, sig binary, at binary, nodes binary")
-    ties = signed.repartitionById(deals, "deal").mapInArrow(_ties, "a bigint, b bigint").distinct()
+    deals = max(parts(docs.sparkSession), math.ceil(chars / CHARS_PER_WORD * each / DEAL))
+    told = cut_lineage(plain.select("id", "th", grams.alias("grams")).mapInArrow(
+        _signed(num, den, deals), f"deal int, sig binary, at binary, nodes binary, sets {_SETS}"))
+    sets = told.where("deal < 0").select(F.inline("sets"))
+    least = F.min(F.struct("id", "th"))
+    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(least.alias("l"), F.first("n").alias("n")).select(
+        "node", F.col("l.id").alias("id"), F.col("l.th").alias("th"), "n")
+
+    # candidates: the sets of an equal fragment, each tied to the smallest of them
+    ties = told.where("deal >= 0").select("deal", "sig", "at", "nodes").repartitionById(deals, "deal").mapInArrow(_ties, "a bigint, b bigint").distinct()
     ties = cut_lineage(ties)
     ends = ties.select(F.col("a").alias("id")).union(ties.select(F.col("b").alias("id"))).distinct()
     family = cut_lineage(components(ends, ties).select(F.col("id").alias("node"), F.col("label").alias("family")))
@@ -206,17 +224,16 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     # blocks of a family by size, so that blocks whose sizes can't match are never paired
     sized = family.join(reps, "node").withColumn("w", F.greatest("n", F.lit(LIGHT)))
     dealt = running_totals(sized, ["family"], ["n", "node"], {"upto": "w"})
-    member = cut_lineage(dealt.select("id", "node", "family", "n", F.floor((F.col("upto") - 1) / BLOCK_MEMBERS).alias("block")))
+    member = cut_lineage(dealt.select("id", "th", "node", "family", "n", F.floor((F.col("upto") - 1) / BLOCK_MEMBERS).alias("block")))
     block = member.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = block.alias("x"), block.alias("y")
     pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block"))
                    & (F.col("x.most") * den >= F.col("y.least") * num)).select(
         F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    # shingles are made again, for members only; repeated rows of an id are one where the join has brought them together
-    texts = plain.join(member.drop("n"), "id").distinct()
-    held = (texts.select("node", "family", "block", grams.alias("grams")).withColumnRenamed("node", "known")
-            .select("known", "family", "block", node.alias("node"), "grams").where("node = known").drop("known"))
+    # shingles are made again, for members only; repeated rows are one where the join has brought them together
+    texts = plain.join(member.drop("n"), ["id", "th"]).distinct()
+    held = texts.select("node", "family", "block", grams.alias("grams"))
     links = (held.join(sides, ["family", "block"]).select("family", "i", "j", "block", "node", "grams")
              .groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"))
     links = cut_lineage(links.distinct())
@@ -225,6 +242,6 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     whole = components(linked, links).select(F.col("id").alias("node"), F.col("label").alias("class"))
     known = cut_lineage(reps.select("node", "id").join(whole, "node", "left").select("node", "id", F.coalesce("class", "node").alias("class")))
     first = known.groupBy("class").agg(F.min("id").alias("component_id"))
-    out = sets.join(known.join(first, "class").select("node", "component_id"), "node", "left")
+    out = sets.select("id", "node", "n").join(known.join(first, "class").select("node", "component_id"), "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
