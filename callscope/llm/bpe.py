@@ -12,13 +12,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from callscope.llm.shared import batch, text_list
+from callscope.llm.shared import batch, slices, text_list
 
 NONE = 1 << 60
 #: Words of more parts are merged from a heap: scanning an array is quadratic in the word.
 SHORT = 192
 #: Units kept per Python worker between batches; the table is emptied when it is full.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 150_000
 #: Rows of one Arrow slice: bounds what a worker holds at once.
 ROWS = 256
 
@@ -167,8 +167,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", id: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_pairs(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, 1, ROWS):
                 yield batch(schema, doc_id=s.column(0), ids=[bpe.encode(t) for t in text_list(s.column(1))])
 
     return docs.select(docs[id].cast("bigint"), docs[text]).mapInArrow(run, "doc_id bigint, ids binary")
@@ -181,8 +180,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_pairs(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, 1, ROWS):
                 yield batch(schema, doc_id=s.column(0), text=[bpe.decode(i or b"") for i in s.column(1).to_pylist()])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

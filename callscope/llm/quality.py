@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.shared import batch, text_bytes, word_hashes
+from callscope.llm.shared import batch, slices, text_bytes, word_hashes
 
 #: Labelled rows of each class that the classifier is fitted on, at most; the first by a hash of their id.
 PER_CLASS = 2048
@@ -124,8 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, 2, ROWS):
                 yield batch(schema, doc_id=s.column(0), y=s.column(1), x=[r.tobytes() for r in features(s.column(2))])
 
     rows = sorted(texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, x binary").collect(), key=lambda r: r["doc_id"])
@@ -157,8 +156,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, 1, ROWS):
                 x = features(s.column(1))
                 p = np.where(x[:, HASHED] > 0, np.clip(m.score(x), 0, 1), 0.0)
                 yield batch(schema, doc_id=s.column(0), score=p)
@@ -177,8 +175,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, at_text, ROWS):
                 x = features(s.column(at_text))
                 yield s.filter(pa.array((x[:, HASHED] > 0) & (m.score(x) >= threshold)))
 

@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.shared import batch, parts
+from callscope.llm.shared import batch, parts, slices
 
 #: Bits that one entry of the rank directory covers.
 BLOCK = 512
 #: A shard is closed with the document that reaches so many ids.
 SHARD_IDS = 1 << 20
 #: Units kept per Python worker between batches.
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 700_000
 ROWS = 4096
 
 SHARD = ("part int, shard int, before bigint, n_ids bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
@@ -257,8 +257,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
         units = library_units(vocabulary)
         end = np.array([end_id], units.width).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
+            for s in slices(b, 1, ROWS, 12 << 20):
                 keys = s.column(0).to_pylist()
                 part = [0 if k is None else int(np.searchsorted(cuts, k, "left")) for k in keys]
                 yield batch(schema, part=part, doc_id=keys, ids=[i + end for i in units.encode(s.column(1))])
