@@ -25,7 +25,7 @@ from callscope.operators.ranking import running_totals
 from callscope.session import cut_lineage
 
 #: Members that one block of a family may hold; a document counts as ``LIGHT`` at least, so its rows are bounded too.
-BLOCK_MEMBERS = 600_000
+BLOCK_MEMBERS = 300_000
 LIGHT = 400
 #: Signatures that one task sorts, about, at so many characters a word.
 DEAL, CHARS_PER_WORD = 2_000_000, 6
@@ -174,9 +174,11 @@ def _blocks(num: int, den: int):
             m = np.zeros((len(ids), min(FRAGMENT, width - lo)), np.float32)
             m[owner[a:b], column[a:b] - lo] = 1
             both += m @ m.T
-        linked = (den + num) * both.astype(np.float64) >= num * (size[:, None] + size[None, :])
-        if i != j:
-            linked &= side[:, None] != side[None, :]
+
+        def linked(u: int) -> np.ndarray:
+            row = (den + num) * both[u].astype(np.float64) >= num * (size[u] + size)
+            return row & (side != side[u]) if i != j else row
+
         # breadth first from each row: one link per row reached
         left, out = np.ones(len(ids), bool), []
         for root in range(len(ids)):
@@ -185,7 +187,7 @@ def _blocks(num: int, den: int):
             left[root], queue = False, [root]
             while queue:
                 u = queue.pop()
-                new = np.flatnonzero(linked[u] & left)
+                new = np.flatnonzero(linked(u) & left)
                 left[new] = False
                 out += [(u, v) for v in new.tolist()]
                 queue += new.tolist()
