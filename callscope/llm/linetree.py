@@ -4,8 +4,9 @@ Lines are sorted into leaves by their number of tokens and their leading tokens;
 leaf, a token that recurs at its position in enough documents is constant and any other variable, which generalises the
 lines to templates without an order among them. Templates that recur across independent documents are dropped.
 
-Copies of a document are no independent sightings of its lines: every text counts as one over the number of texts that
-share most of its minimum hashes. So a group of copies keeps its lines, and boilerplate of unlike documents goes.
+Copies of a document are no independent sightings of its lines: every text counts as one over the size of its group of
+near copies, at the resemblance at which the Jaccard join of the pipeline drops them. So a group of copies keeps its lines
+for that join, and what recurs in documents that it leaves goes here.
 """
 from __future__ import annotations
 
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.jaccard import near_components
 from callscope.llm.shared import batch, salted_join, slices, text_list, word_hashes
 from callscope.session import cut_lineage
 
@@ -27,7 +29,11 @@ DEPTH = 3
 SIGHTINGS, INDEPENDENT = 4.0, 0.5
 #: Share of constant tokens below which a line is not generalised.
 CONSTANT = 0.6
-#: Minimum hashes over shingles of ``SHINGLE`` words; two texts are copies of each other if they share ``ALIKE`` of them.
+#: Texts are near copies where the Jaccard join links them: NEAR_DEN * |both| >= NEAR_NUM * |either| over ``SHINGLE`` words.
+NEAR_NUM, NEAR_DEN = 4, 5
+#: Sums of weights are compared with a bar less this: thirds add up to a little less than one.
+ROUNDING = 1e-9
+#: Minimum hashes over shingles of ``SHINGLE`` words; an estimate that tests compare with.
 SIGNS, ALIKE, SHINGLE = 16, 8, 5
 ROWS = 512
 
@@ -81,26 +87,26 @@ def minimum_hashes(texts: pa.Array) -> list[list[int]]:
 
 
 def _described(texts: DataFrame) -> DataFrame:
-    """(th, signs, leaves, masks) of each distinct text; ``th`` is a hash of the text."""
-    schema = pa.schema([("th", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("signs", "leaves", "masks"))])
+    """(th, leaves, masks) of each distinct text; ``th`` is a hash of the text."""
+    schema = pa.schema([("th", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("leaves", "masks"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, 1, ROWS):
                 keys = [line_keys(t) for t in text_list(s.column(1))]
-                yield batch(schema, th=s.column(0), signs=minimum_hashes(s.column(1)), leaves=[k[0] for k in keys], masks=[k[1] for k in keys])
+                yield batch(schema, th=s.column(0), leaves=[k[0] for k in keys], masks=[k[1] for k in keys])
 
-    rows = texts.mapInArrow(run, "th bigint, signs array<bigint>, leaves array<bigint>, masks array<bigint>")
-    return cut_lineage(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("signs", "leaves", "masks")]))
+    rows = texts.mapInArrow(run, "th bigint, leaves array<bigint>, masks array<bigint>")
+    return cut_lineage(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("leaves", "masks")]))
 
 
-def _weights(described: DataFrame) -> DataFrame:
-    """(th, w): one over the texts that share a text's minimum hashes, by the ``ALIKE``-th most shared of them."""
-    sign = described.select("th", F.posexplode("signs").alias("j", "sign"))
-    shared = sign.groupBy("j", "sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = salted_join(sign, shared, ["j", "sign"], "th").groupBy("th").agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))  # SIGNS at most
-    alike = counts.select("th", (1.0 / F.coalesce(F.get("n", F.lit(ALIKE - 1)), F.lit(1))).alias("w"))
-    return described.select("th").join(alike, "th", "left").select("th", F.coalesce("w", F.lit(1.0)).alias("w"))
+def _weights(texts: DataFrame) -> DataFrame:
+    """(th, w) of each distinct text: one over the texts of its component of near copies."""
+    near = near_components(texts, size=SHINGLE, num=NEAR_NUM, den=NEAR_DEN, id="th")
+    each = cut_lineage(near.select(F.col("doc_id").alias("th"), F.col("component_id").alias("group")).distinct())
+    many = each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = salted_join(each, many, ["group"], "th").select("th", (1.0 / F.col("n")).alias("w"))
+    return each.select("th").join(copies, "th", "left").select("th", F.coalesce("w", F.lit(1.0)).alias("w"))
 
 
 def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -125,19 +131,19 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
     """(th, drop): numbers of the lines of each distinct text whose template recurs; ``th`` is xxhash64 of the text."""
     texts = docs.select(F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).where(docs[text].isNotNull())
     described = _described(texts)
-    w = cut_lineage(_weights(described))
+    w = cut_lineage(_weights(texts))
     lines = described.select("th", F.explode(F.array_distinct(F.arrays_zip(F.col("leaves").alias("leaf"), F.col("masks").alias("mask")))).alias("l"))
     lines = lines.select("th", F.col("l.leaf").alias("leaf"), F.col("l.mask").alias("mask")).where("mask IS NOT NULL").join(w, "th")
 
     # leaves first: one that fewer documents reach holds no recurring template
-    alive = lines.select("th", "leaf", "w").distinct().groupBy("leaf").agg(F.sum("w").alias("s")).where(F.col("s") >= sightings).select("leaf")
+    alive = lines.select("th", "leaf", "w").distinct().groupBy("leaf").agg(F.sum("w").alias("s")).where(F.col("s") >= sightings - ROUNDING).select("leaf")
     lines = cut_lineage(salted_join(lines, alive, ["leaf"], "th"))
     known = lines.groupBy("leaf", "mask").agg(F.sum("w").alias("s"), F.min("th").alias("th"))
     told = cut_lineage(_tokens(texts, known.select("th", "mask")).join(known.drop("th"), ["leaf", "mask"]))
 
     # a token is constant where it recurs at its position of the leaf
     each = told.select("leaf", "mask", "s", F.posexplode("tokens").alias("at", "token"))
-    firm = each.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.sum("s").alias("n")).where(F.col("n") >= sightings).select("leaf", "at", "token", F.lit(True).alias("firm"))
+    firm = each.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.sum("s").alias("n")).where(F.col("n") >= sightings - ROUNDING).select("leaf", "at", "token", F.lit(True).alias("firm"))
     general = each.join(firm, ["leaf", "at", "token"], "left").groupBy("leaf", "mask").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("firm"), F.col("token")).otherwise(F.lit(VARIABLE)).alias("token")))).alias("t"),
         F.avg(F.coalesce(F.col("firm"), F.lit(False)).cast("int")).alias("share"))
@@ -146,7 +152,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
 
     seen = salted_join(lines, named, ["leaf", "mask"], "th")
     drop = (seen.select("th", "template", "w").distinct().groupBy("template").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
-            .where((F.col("s") >= sightings) & (F.col("s") >= F.col("n") * independent)).select("template"))
+            .where((F.col("s") >= sightings - ROUNDING) & (F.col("s") >= F.col("n") * independent - ROUNDING)).select("template"))
     gone = salted_join(seen, drop, ["template"], "th").groupBy("th").agg(F.collect_set("mask").alias("gone"))  # lines of one text
     at = F.filter(F.sequence(F.lit(0), F.size("masks") - 1), lambda i: F.array_contains("gone", F.get("masks", i)))
     return described.join(gone, "th").select("th", at.alias("drop"))
