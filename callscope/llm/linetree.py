@@ -25,8 +25,10 @@ from callscope.session import cut_lineage
 
 #: Leading tokens that name a leaf.
 DEPTH = 3
-#: Independent sightings that make a template recur, and their least share of the texts that hold it.
-SIGHTINGS, INDEPENDENT = 4.0, 0.5
+#: Independent sightings that make a template recur. Their share of the texts that hold it does not matter.
+SIGHTINGS = 4.0
+#: A share that tests compare with.
+INDEPENDENT = 0.5
 #: Share of constant tokens below which a line is not generalised.
 CONSTANT = 0.6
 #: Texts are near copies where the Jaccard join links them: NEAR_DEN * |both| >= NEAR_NUM * |either| over ``SHINGLE`` words.
@@ -127,7 +129,7 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("leaf", "mask").agg(F.first("tokens").alias("tokens"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGHTINGS, independent: float = INDEPENDENT) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGHTINGS) -> DataFrame:
     """(th, drop): numbers of the lines of each distinct text whose template recurs; ``th`` is xxhash64 of the text."""
     texts = docs.select(F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).where(docs[text].isNotNull())
     described = _described(texts)
@@ -151,8 +153,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
     named = cut_lineage(general.select("leaf", "mask", template.alias("template")))
 
     seen = salted_join(lines, named, ["leaf", "mask"], "th")
-    drop = (seen.select("th", "template", "w").distinct().groupBy("template").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
-            .where((F.col("s") >= sightings - ROUNDING) & (F.col("s") >= F.col("n") * independent - ROUNDING)).select("template"))
+    drop = (seen.select("th", "template", "w").distinct().groupBy("template").agg(F.sum("w").alias("s"))
+            .where(F.col("s") >= sightings - ROUNDING).select("template"))
     gone = salted_join(seen, drop, ["template"], "th").groupBy("th").agg(F.collect_set("mask").alias("gone"))  # lines of one text
     at = F.filter(F.sequence(F.lit(0), F.size("masks") - 1), lambda i: F.array_contains("gone", F.get("masks", i)))
     return described.join(gone, "th").select("th", at.alias("drop"))

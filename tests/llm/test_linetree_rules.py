@@ -22,3 +22,12 @@ def test_short_documents_of_common_passages_are_sightings(spark):
     head, foot = [prose(rnd, 15) for _ in range(3)], [prose(rnd, 15) for _ in range(3)]
     got = cut(spark, [(9 * a + 3 * b + c, "\n".join([head[a], prose(rnd, 12), foot[b]])) for a in range(3) for b in range(3) for c in range(3)])
     assert all(n == 2 for _, n in got.values())
+
+
+def test_a_group_of_copies_shields_no_passage(spark):
+    rnd = random.Random(10)
+    passage, body = prose(rnd, 12), [prose(rnd, 50) for _ in range(6)]
+    given = [(k, "\n".join([prose(rnd, 60), passage, prose(rnd, 60)])) for k in range(10)]
+    given += [(100 + k, "\n".join([*body, passage, prose(rnd, 2)])) for k in range(30)]  # near copies
+    got = cut(spark, given)
+    assert all(passage not in t and n == 1 for t, n in got.values())
