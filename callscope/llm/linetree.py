@@ -2,7 +2,8 @@
 
 Lines are sorted into leaves by their number of tokens and their leading tokens; tokens with digits are variable. In a
 leaf, a token that recurs at its position in enough documents is constant and any other variable, which generalises the
-lines to templates without an order among them. Templates that recur across independent documents are dropped.
+lines to templates without an order among them. Templates that recur across independent documents are dropped. A line too
+long to be chance is dropped as it stands from two independent documents on.
 
 Copies of a document are no independent sightings of its lines: every text counts as one over the size of its group of
 near copies, at the resemblance at which the Jaccard join of the pipeline drops them. So a group of copies keeps its lines
@@ -27,6 +28,8 @@ from callscope.session import cut_lineage
 DEPTH = 3
 #: Independent sightings that make a template recur. Their share of the texts that hold it does not matter.
 SIGHTINGS = 4.0
+#: Tokens without digits from which a line is long, and the independent sightings that make it recur as it stands.
+LONG, LONG_SIGHTINGS = 20, 2.0
 #: A share that tests compare with.
 INDEPENDENT = 0.5
 #: Share of constant tokens below which a line is not generalised.
@@ -57,14 +60,15 @@ def masked_tokens(line: str) -> list[str]:
     return masked if masked.count(VARIABLE) <= (1 - CONSTANT) * len(tokens) else tokens
 
 
-def line_keys(text: str) -> tuple[list[int | None], list[int | None]]:
-    """Leaf and masked hash of each line; blank lines have none."""
-    leaves, masks = [], []
+def line_keys(text: str) -> tuple[list[int | None], list[int | None], list[bool]]:
+    """Leaf and masked hash of each line, and whether it is long; blank lines have no hashes."""
+    leaves, masks, longs = [], [], []
     for line in text.split("\n"):
         tokens = masked_tokens(line)
         leaves.append(_hash(f"{len(tokens)} " + " ".join(tokens[:DEPTH])) if tokens else None)
         masks.append(_hash(" ".join(tokens)) if tokens else None)
-    return leaves, masks
+        longs.append(len(tokens) - tokens.count(VARIABLE) >= LONG)
+    return leaves, masks, longs
 
 
 def minimum_hashes(texts: pa.Array) -> list[list[int]]:
@@ -89,17 +93,17 @@ def minimum_hashes(texts: pa.Array) -> list[list[int]]:
 
 
 def _described(texts: DataFrame) -> DataFrame:
-    """(th, leaves, masks) of each distinct text; ``th`` is a hash of the text."""
-    schema = pa.schema([("th", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("leaves", "masks"))])
+    """(th, leaves, masks, longs) of each distinct text; ``th`` is a hash of the text."""
+    schema = pa.schema([("th", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("leaves", "masks")), ("longs", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, 1, ROWS):
                 keys = [line_keys(t) for t in text_list(s.column(1))]
-                yield batch(schema, th=s.column(0), leaves=[k[0] for k in keys], masks=[k[1] for k in keys])
+                yield batch(schema, th=s.column(0), leaves=[k[0] for k in keys], masks=[k[1] for k in keys], longs=[k[2] for k in keys])
 
-    rows = texts.mapInArrow(run, "th bigint, leaves array<bigint>, masks array<bigint>")
-    return cut_lineage(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("leaves", "masks")]))
+    rows = texts.mapInArrow(run, "th bigint, leaves array<bigint>, masks array<bigint>, longs array<boolean>")
+    return cut_lineage(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("leaves", "masks", "longs")]))
 
 
 def _weights(texts: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             for th, text, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines, seen = text.split("\n"), {}
-                for leaf, mask, line in zip(*line_keys(text), lines, strict=True):
+                for leaf, mask, _, line in zip(*line_keys(text), lines, strict=True):
                     if mask in want and mask not in seen:
                         seen[mask] = (leaf, masked_tokens(line))
                 yield batch(schema, th=[th] * len(seen), leaf=[v[0] for v in seen.values()], mask=list(seen), tokens=[v[1] for v in seen.values()])
@@ -129,13 +133,17 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("leaf", "mask").agg(F.first("tokens").alias("tokens"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGHTINGS) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGHTINGS, long_sightings: float = LONG_SIGHTINGS) -> DataFrame:
     """(th, drop): numbers of the lines of each distinct text whose template recurs; ``th`` is xxhash64 of the text."""
     texts = docs.select(F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).where(docs[text].isNotNull())
     described = _described(texts)
     w = cut_lineage(_weights(texts))
-    lines = described.select("th", F.explode(F.array_distinct(F.arrays_zip(F.col("leaves").alias("leaf"), F.col("masks").alias("mask")))).alias("l"))
-    lines = lines.select("th", F.col("l.leaf").alias("leaf"), F.col("l.mask").alias("mask")).where("mask IS NOT NULL").join(w, "th")
+    lines = described.select("th", F.explode(F.array_distinct(F.arrays_zip(F.col("leaves").alias("leaf"), F.col("masks").alias("mask"), F.col("longs").alias("long")))).alias("l"))
+    lines = cut_lineage(lines.select("th", "l.leaf", "l.mask", "l.long").where("mask IS NOT NULL").join(w, "th"))
+
+    long = lines.where("long").select("th", "mask", "w")
+    whole = long.groupBy("mask").agg(F.sum("w").alias("s")).where(F.col("s") >= long_sightings - ROUNDING).select("mask")
+    repeated = salted_join(long, whole, ["mask"], "th").select("th", "mask")
 
     # leaves first: one that fewer documents reach holds no recurring template
     alive = lines.select("th", "leaf", "w").distinct().groupBy("leaf").agg(F.sum("w").alias("s")).where(F.col("s") >= sightings - ROUNDING).select("leaf")
@@ -155,7 +163,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
     seen = salted_join(lines, named, ["leaf", "mask"], "th")
     drop = (seen.select("th", "template", "w").distinct().groupBy("template").agg(F.sum("w").alias("s"))
             .where(F.col("s") >= sightings - ROUNDING).select("template"))
-    gone = salted_join(seen, drop, ["template"], "th").groupBy("th").agg(F.collect_set("mask").alias("gone"))  # lines of one text
+    gone = salted_join(seen, drop, ["template"], "th").select("th", "mask").union(repeated).groupBy("th").agg(F.collect_set("mask").alias("gone"))  # lines of one text
     at = F.filter(F.sequence(F.lit(0), F.size("masks") - 1), lambda i: F.array_contains("gone", F.get("masks", i)))
     return described.join(gone, "th").select("th", at.alias("drop"))
 

@@ -31,3 +31,13 @@ def test_a_group_of_copies_shields_no_passage(spark):
     given += [(100 + k, "\n".join([*body, passage, prose(rnd, 2)])) for k in range(30)]  # near copies
     got = cut(spark, given)
     assert all(passage not in t and n == 1 for t, n in got.values())
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    rnd = random.Random(11)
+    twice, thrice, short, body = prose(rnd, 55), prose(rnd, 20), prose(rnd, 19), [prose(rnd, 50) for _ in range(6)]
+    given = [(k, "\n".join([prose(rnd, 60), *[twice] * (k < 2), thrice, short, prose(rnd, 60)])) for k in range(3)]
+    given += [(100 + k, "\n".join([*body, prose(rnd, 2)])) for k in range(5)]  # near copies alone
+    got = cut(spark, given)
+    assert all(twice not in t and thrice not in t and short in t for i, (t, _) in got.items() if i < 3)
+    assert [got[i][1] for i in range(3)] == [2, 2, 1] and all(got[i][1] == 0 for i in range(100, 105))
