@@ -32,7 +32,7 @@ SIGHTINGS = 4.0
 LONG, LONG_SIGHTINGS = 20, 2.0
 #: A share that tests compare with.
 INDEPENDENT = 0.5
-#: Share of constant tokens below which a line is not generalised.
+#: Share of constant tokens, among those behind the leaf's own, below which a line is not generalised.
 CONSTANT = 0.6
 #: Texts are near copies where the Jaccard join links them: NEAR_DEN * |both| >= NEAR_NUM * |either| over ``SHINGLE`` words.
 NEAR_NUM, NEAR_DEN = 4, 5
@@ -156,7 +156,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGH
     firm = each.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.sum("s").alias("n")).where(F.col("n") >= sightings - ROUNDING).select("leaf", "at", "token", F.lit(True).alias("firm"))
     general = each.join(firm, ["leaf", "at", "token"], "left").groupBy("leaf", "mask").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("firm"), F.col("token")).otherwise(F.lit(VARIABLE)).alias("token")))).alias("t"),
-        F.avg(F.coalesce(F.col("firm"), F.lit(False)).cast("int")).alias("share"))
+        F.avg(F.when(F.col("at") >= DEPTH, F.coalesce(F.col("firm"), F.lit(False)).cast("int"))).alias("share"))  # null: the leaf's tokens alone
     template = F.when(F.col("share") >= CONSTANT, F.xxhash64("leaf", F.col("t.token"))).otherwise(F.xxhash64("leaf", "mask", F.lit("itself")))
     named = cut_lineage(general.select("leaf", "mask", template.alias("template")))
 

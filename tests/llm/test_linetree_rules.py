@@ -41,3 +41,11 @@ def test_long_lines_recur_from_two_documents_on(spark):
     got = cut(spark, given)
     assert all(twice not in t and thrice not in t and short in t for i, (t, _) in got.items() if i < 3)
     assert [got[i][1] for i in range(3)] == [2, 2, 1] and all(got[i][1] == 0 for i in range(100, 105))
+
+
+def test_leading_tokens_of_a_leaf_are_no_evidence(spark):
+    rnd = random.Random(12)
+    given = [(k, "\n".join([prose(rnd, 60), f"It was the {prose(rnd, 1)}", f"In the end {prose(rnd, 2)}", f"Share this with {prose(rnd, 1)} and all friends"]))
+             for k in range(12)]
+    got = cut(spark, given)
+    assert all("It was the" in t and "In the end" in t and "Share this" not in t and n == 1 for t, n in got.values())
