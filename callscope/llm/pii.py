@@ -13,18 +13,51 @@ from callscope.llm.shared import let
 
 ROUNDS = 10
 
+#: Signs of an IBAN by country.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+#: Digits of a national phone number by country code, where all have equally many.
+PHONE_DIGITS = {8: "45 47 65", 9: "27 31 33 34 41 48 61 351 420", 10: "1 7 44 52 57 90 91"}
+
+_GROUPS = r"[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})"
+#: A digit of a phone number and whatever of it may follow: written out where they are counted, as a look-behind needs it.
+_DIGIT, _REST = r"[ .()-]{0,3}[0-9]", r"[0-9 .()-]{0,40}"
+#: What begins behind a number and isn't a part of it.
+_NEXT = "[ -](?:" + "|".join([
+    r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])",
+    r"[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4}(?![\w-])", r"[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![\w-])",
+    r"[0-9](?:[ -]?[0-9]){12}", r"[A-Za-z0-9._%+-]++@"]) + ")"
+#: Further groups of a phone number: none once there are digits enough and something else begins.
+_MORE = rf"(?:(?!(?=[ -])(?<=\+{_DIGIT * 8}{_REST}){_NEXT})[ .-]?[0-9]{{2,4}}){{1,4}}(?![\w])"
+
+
+def _ibans(signs: int, countries: str) -> str:
+    fours, left = divmod(signs - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{left}}}" if left else "")
+
+
+def _phones(digits: int, codes: str) -> str:
+    any_of = f"(?:{codes.replace(' ', '|')})"
+    return rf"{any_of}{_GROUPS}{_MORE}(?<=\+{any_of}{_DIGIT * digits})"
+
+
 #: What is looked for, at one place in this order. The first sign of each decides, and no match begins inside a word.
+#: Lengths are held here where they are known, so that a match takes nothing of what follows it.
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",  # mail address
-    r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",  # IBAN
-    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])",  # phone with a country code
+    rf"(?<![\w])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_ibans(n, c) for n, c in IBAN_SIGNS.items())})(?![\w])",  # IBAN
+    r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",
+    rf"\+(?:{'|'.join(_phones(n, c) for n, c in PHONE_DIGITS.items())})",  # phone with a country code
+    rf"\+[0-9]{{1,3}}{_GROUPS}{_MORE}(?:(?<=\+[17]{_DIGIT * 6}{_REST})(?<!\+[17]{_DIGIT * 14}{_REST})|(?<=\+[02-9]{_DIGIT * 7}{_REST})(?<!\+[02-9]{_DIGIT * 15}{_REST}))",
     r"(?<![\w+])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![\w-])",  # phone
     r"(?<![\w.+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
     r"(?<![\w./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])",  # date
     r"(?<![\w./-])[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}(?![\w-])",
     r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",  # IPv4 address
     r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",  # social security number
-    r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",  # payment card
+    rf"(?<![\w.-])[0-9](?:[ -]?[0-9]){{12}}(?:(?!{_NEXT})[ -]?[0-9]){{0,6}}(?![\w-])",  # payment card
 ])
 
 
@@ -200,6 +233,35 @@ def pseudonym(hit: Column, key: str) -> Column:
             .when(hit.rlike("^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), _phone(hit, key)).otherwise(_card(hit, key)))
 
 
+def _reach(hit: Column) -> Column:
+    """Signs of the longest prefix of a match that ends with a group and validates; null where none does."""
+    bare = lambda n: F.regexp_replace(F.substring(hit, F.lit(1), n), "[ -]", "")
+    ends = F.filter(F.sequence(F.lit(13), F.lit(45)), lambda n: (n <= F.length(hit)) & F.substring(hit, n, F.lit(2)).rlike("^[A-Z0-9](?![A-Z0-9])"))
+    card = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+    iban = lambda d: F.length(d).between(15, 34) & (mod97(F.concat(F.substring(d, F.lit(5), F.length(d)), F.substring(d, 1, 4))) == 1)
+    return (F.when(hit.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), F.array_max(F.filter(ends, lambda n: card(bare(n)))))
+            .when(hit.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), F.array_max(F.filter(ends, lambda n: iban(bare(n)))))
+            .otherwise(F.length(hit)))
+
+
+def _piece(text: Column, found: Column) -> Column:
+    return F.struct(text.alias("s"), found.alias("found"))
+
+
+def _pieces(rest: Column) -> Column:
+    """What a match leaves behind its valid prefix, searched again."""
+    again = F.flatten(F.zip_with(F.split(rest, PATTERN), F.regexp_extract_all(rest, F.lit(PATTERN), F.lit(0)), lambda p, h: F.array(
+        _piece(p, F.lit(False)), _piece(F.coalesce(h, F.lit("")), F.coalesce(_reach(h) == F.length(h), F.lit(False))))))
+    return F.when(F.length(rest) < 7, F.array(_piece(rest, F.lit(False)))).otherwise(again)
+
+
+def _cut(hit: Column) -> Column:
+    """The longest valid prefix of a match, or else its first group as it is, and the pieces of the rest."""
+    end = F.coalesce(_reach(hit), -F.length(F.regexp_extract(hit, "^[^ ]+", 0)))
+    return let(end, lambda n: F.concat(F.array(_piece(F.substring(hit, F.lit(1), F.abs(n)), n > 0)),
+                                       let(F.substring(hit, F.abs(n) + 1, F.length(hit)), _pieces)))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, text, n_private): every whole text with validated personal data replaced, and how many places were.
 
@@ -209,8 +271,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", id: str = "doc_i
     t = F.col("text")
     found = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].alias("text")).withColumn(
         "hits", F.when(t.rlike(PATTERN), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    new = found.withColumn("names", F.transform("hits", lambda h: pseudonym(h, key)))
-    laid = F.concat_ws("", F.flatten(F.zip_with(F.split(t, PATTERN), F.zip_with("hits", "names", lambda h, n: F.coalesce(n, h)),
-                                               lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    cut = found.withColumn("pieces", F.flatten(F.zip_with(F.split(t, PATTERN), F.transform("hits", _cut), lambda p, c: F.concat(
+        F.array(_piece(p, F.lit(False))), F.coalesce(c, F.array().cast("array<struct<s:string,found:boolean>>"))))))
+    new = cut.withColumn("names", F.transform("pieces", lambda p: F.when(p["found"], let(p["s"], lambda s: pseudonym(s, key)))))
+    laid = F.array_join(F.zip_with("pieces", "names", lambda p, n: F.coalesce(n, p["s"])), "")
     return new.select("doc_id", F.when(F.size("hits") > 0, laid).otherwise(t).alias("text"),
                       F.when(t.isNull(), 0).otherwise(F.size(F.filter("names", lambda n: n.isNotNull()))).cast("bigint").alias("n_private"))
