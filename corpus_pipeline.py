@@ -27,17 +27,17 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a resemblance of 0.8 or more over five-word shingles: the one of the least id.
+    """One row of each group linked at a resemblance of 0.8 or more over five-word shingles: of the least id, then the longest.
 
-    Of rows that repeat an id the longest text stays, so that the choice doesn't depend on their order. Rows without an id
-    have no other name to be known by: equal ones are one.
+    Rows are known by a hash of id and text, so that every text is judged for itself where an id repeats, and rows without
+    an id take part; they come last in the choice. Equal rows are one, blank texts are linked with nothing.
     """
-    classes = jaccard.near_components(docs, size=5, num=4, den=5)
-    later = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti")
-    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    least = F.struct(-F.length(F.coalesce("text", F.lit(""))), *docs.columns)
-    return kept.groupBy(named.alias("_name")).agg(F.min(least).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    named = docs.withColumn("_name", F.xxhash64("doc_id", "text"))
+    classes = jaccard.near_components(named, size=5, num=4, den=5, id="_name").select(F.col("doc_id").alias("_name"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.length(F.coalesce("text", F.lit(""))), "_name").alias("order")
+    first = named.select("_name", order).distinct().join(classes, "_name").groupBy("component_id").agg(F.min("order").alias("order"))
+    rows = named.groupBy("_name").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rows.join(first.select("order._name"), "_name", "left_semi").select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
