@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm import bpe, jaccard, linetree, mix, quality
-from callscope.llm.shared import public_vocabulary
+from callscope.llm.shared import BLANKS, public_vocabulary
 from callscope.session import shared_dir
 
 
@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines whose template recurs across documents; a document of such lines alone goes."""
-    cut = linetree.drop_lines(docs).where("n_dropped = 0 OR trim(text) <> ''")
+    cut = linetree.drop_lines(docs).where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
