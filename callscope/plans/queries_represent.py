@@ -129,6 +129,29 @@ def size_summary(spark, sf):
     return rp.size_summary(rp.size_metrics(texts(spark, sf), "n_tokens")).where("arm = 'raw'").select("arm", "stratum", "mean_tokens", "median_compression_pct")
 
 
+# Both arms: the info arm is printed with two blanks per level, its length is counted from the nodes as for printed schemas.
+BOTH = ", " + JOINED + f""", card AS (SELECT tool_id, stratum, {CARD % INFO} AS body FROM t),
+ node AS (SELECT tool_id, stratum, length(c.body) AS n, j.type AS kind, j.value::varchar AS value, len(regexp_extract_all(j.fullkey[2:], '[.]|\\[')) AS lvl, j.fullkey
+   FROM card c, json_tree(c.body) j),
+ x AS (SELECT tool_id, stratum, 'raw' AS arm, length({CARD % 'body'}) AS chars FROM t UNION ALL
+   SELECT tool_id, any_value(stratum), 'info', (any_value(n) + sum(CASE WHEN lvl > 0 THEN 1 + 2 * lvl ELSE 0 END) + count_if(lvl > 0 AND NOT ends_with(fullkey, ']'))
+     + sum(CASE WHEN kind IN ('OBJECT', 'ARRAY') AND value NOT IN ('{{}}', '[]') THEN 1 + 2 * lvl ELSE 0 END))::bigint FROM node GROUP BY tool_id),
+ y AS (SELECT *, chars // 3 AS tokens FROM x),
+ z AS (SELECT y.*, r.tokens - y.tokens AS token_reduction, round_even(100.0::double * (r.tokens - y.tokens) / r.tokens, 2) AS compression_pct
+   FROM y JOIN y r ON r.tool_id = y.tool_id AND r.arm = 'raw')"""
+
+
+@query("size_metrics_arms", fx(BOTH + " SELECT tool_id, arm, chars, tokens, token_reduction, compression_pct FROM z", "fx_pool fx_schemas"))
+def size_metrics_arms(spark, sf):
+    return rp.size_metrics(texts(spark, sf), "n_tokens").select("tool_id", "arm", "chars", "tokens", "token_reduction", "compression_pct")
+
+
+@query("size_summary_arms", fx(BOTH + """, w AS (SELECT *, unnest(['all', stratum]) AS s FROM z)
+SELECT arm, s AS stratum, round_even(avg(tokens), 1) AS mean_tokens, median(compression_pct) AS median_compression_pct FROM w GROUP BY 1, 2""", "fx_pool fx_schemas"))
+def size_summary_arms(spark, sf):
+    return rp.size_summary(rp.size_metrics(texts(spark, sf), "n_tokens")).select("arm", "stratum", "mean_tokens", "median_compression_pct")
+
+
 @query("size_catalog_summary", fx("SELECT size, arm, round_even(avg(prompt_tokens), 1) AS mean, max(prompt_tokens) AS max FROM fx_expected GROUP BY 1, 2", "fx_expected"))
 def size_catalog_summary(spark, sf):
     return rp.catalog_size_summary(fixture(spark, sf, "fx_expected").withColumnRenamed("prompt_tokens", "system_prompt_tokens"))
