@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, chat, fingerprint, jaccard, linetree, mix, pii, quality, tokenfile, topk
+from callscope.llm import bpe, chat, contamination, convtrie, fingerprint, jaccard, lexical, linetree, mix, pii, quality, tokenfile, topk
 from callscope.llm.shared import public_vocabulary, table
-from callscope.session import shared_dir
+from callscope.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_pairs")
 def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
+
+
+@query("op11_lexical", lexical.ORACLE)
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op12_contamination", contamination.ORACLE)
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_prefix_trie", convtrie.ORACLE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, members = convtrie.rebuilt(cut_lineage(convtrie.ordered(table(spark, sf_dir, "conversations"))))
+    return convtrie.trie_nodes(cut_lineage(rows), members)

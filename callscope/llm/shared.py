@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.ranking import running_totals
+from callscope.session import cut_lineage
+
 #: ASCII white space: space and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -109,3 +112,36 @@ def public_vocabulary(name: str) -> str:
     """Path of a vocabulary file that is installed beside the tokenizer libraries."""
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+#: Bytes of ``[0-9A-Za-z]`` lower-cased and those of all other characters beyond ASCII; the rest separates terms.
+_TERM_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
+
+
+def term_pieces(text: str, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """Terms of a text in UTF-8, in lists of about ``size`` bytes: A-Z lower-cased, cut at ASCII signs, blanks and controls."""
+    data = text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def term_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-last character of each term of a text."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.frombuffer(raw.tobytes().translate(_TERM_BYTES), np.uint8) != 32
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    upto = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return upto[np.flatnonzero(edge == 1)], upto[np.flatnonzero(edge == -1)]
+
+
+def bounded_batches(rows: DataFrame, order: list[str], weight: Column, bound: int) -> list[DataFrame]:
+    """Rows in batches whose weights sum to at most ``bound`` and one row's own, so that each may be broadcast."""
+    dealt = cut_lineage(running_totals(rows.withColumn("_one", F.lit(1)).withColumn("_weight", weight.cast("bigint")), ["_one"], order, {"_upto": "_weight"}))
+    number = F.floor((F.col("_upto") - F.col("_weight")) / bound)
+    numbers = sorted(int(r["n"]) for r in dealt.select(number.alias("n")).distinct().collect())  # one row a batch
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return [dealt.where(number == k).select(*names) for k in numbers]
