@@ -85,118 +85,3 @@ def schema_nodes(schemas: DataFrame, profile: str = "keyword", key: str = "schem
         df = df.where("n.feat")
     return df.select(key, "node_id", "n.ptr", "n.parent", "n.via", "n.name", "n.depth", "n.keys", "n.ipos", "n.scope",
                      F.col("n.v").alias("node"))
-
-
-# fixed values: assertion keywords the rule table evaluates
-CHECKED = ("type", "enum", "const", "required", "properties", "additionalProperties", "minProperties", "maxProperties",
-           "items", "minItems", "maxItems", "uniqueItems", "minimum", "maximum", "exclusiveMinimum",
-           "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "allOf", "anyOf", "oneOf", "not",
-           "if", "then", "else")
-# fixed values: assertion keywords reported as unchecked instead of being taken as satisfied
-UNCHECKED = ("patternProperties", "propertyNames", "dependencies", "dependentRequired", "dependentSchemas",
-             "prefixItems", "additionalItems", "contains", "unevaluatedProperties", "unevaluatedItems", "$ref")
-
-
-def canon_sql(kind: str, txt: str, num: str, js: str) -> str:
-    """SQL: comparable text of a JSON value; 1 and 1.0 agree, true and 1 do not."""
-    return (f"CASE {kind} WHEN 'STR' THEN concat('s:', {txt}) WHEN 'BOO' THEN concat('b:', {txt}) "
-            f"WHEN 'VOI' THEN 'z' WHEN 'OBJ' THEN concat('j:', {js}) WHEN 'ARR' THEN concat('j:', {js}) "
-            f"ELSE concat('n:', cast({num} as string)) END")
-
-
-def _canon_v(v: str) -> str:
-    return canon_sql(f"left(schema_of_variant({v}), 3)", f"cast({v} as string)",
-                     f"try_cast(if(left(schema_of_variant({v}), 3) IN ('BIG', 'DEC', 'DOU'), {v}, null) as double)",
-                     f"to_json({v})")
-
-
-def schema_rules(schemas: DataFrame, key: str = "tool_name", body: str = "body") -> DataFrame:
-    """One row per schema: its rules and combinator groups, ready for an in-row check of a call.
-
-    Input documents must already be self-contained (normalised).
-    """
-    g = lambda k, t: f"try_variant_get(n.v, '$[\"{k}\"]', '{t}')"
-    num = lambda k: f"CASE WHEN left(schema_of_variant({g(k, 'variant')}), 3) IN ('BIG','DEC','DOU') THEN {g(k, 'double')} END"
-    is_bool = lambda k, b: f"(schema_of_variant({g(k, 'variant')}) = 'BOOLEAN' AND {g(k, 'boolean')} = {b})"
-    rule = f"""named_struct('pos', n.ipos, 'scope', n.scope, 'types',
-        CASE WHEN schema_of_variant({g('type', 'variant')}) = 'STRING' THEN array({g('type', 'string')})
-             ELSE {g('type', 'array<string>')} END,
-      'required', {g('required', 'array<string>')},
-      'declared', ifnull(map_keys({g('properties', OBJ)}), cast(array() as array<string>)),
-      'closed', coalesce({is_bool('additionalProperties', 'false')}, false)
-                AND NOT array_contains(n.keys, 'patternProperties'),
-      'enum', transform({g('enum', ARR)}, e -> {_canon_v('e')}),
-      'const', CASE WHEN array_contains(n.keys, 'const') THEN {_canon_v(g('const', 'variant'))} END,
-      'minimum', {num('minimum')}, 'maximum', {num('maximum')},
-      'xmin', {num('exclusiveMinimum')}, 'xmax', {num('exclusiveMaximum')}, 'multiple', {num('multipleOf')},
-      'minlen', {num('minLength')}, 'maxlen', {num('maxLength')}, 'pattern', {g('pattern', 'string')},
-      'minitems', {num('minItems')}, 'maxitems', {num('maxItems')},
-      'uniq', coalesce({is_bool('uniqueItems', 'true')}, false),
-      'minprops', {num('minProperties')}, 'maxprops', {num('maxProperties')})"""
-    group = f"""flatten(transform(tree, n -> CASE WHEN n.ipos IS NULL OR n.keys IS NULL THEN array() ELSE concat(
-      transform(filter(array('anyOf', 'oneOf'), k -> array_contains(n.keys, k)), k -> named_struct(
-        'kind', k, 'pos', n.ipos, 'scope', n.scope, 'level', cardinality(split(n.ptr, '{SEP}')),
-        'branches', transform(filter(tree, c -> c.parent = n.ptr AND c.via = k), c -> c.scope))),
-      transform(filter(array('not'), k -> array_contains(n.keys, k)), k -> named_struct(
-        'kind', k, 'pos', n.ipos, 'scope', n.scope, 'level', cardinality(split(n.ptr, '{SEP}')),
-        'branches', array(concat(n.scope, '/', n.ptr, '~not')))),
-      transform(filter(array('if'), k -> array_contains(n.keys, k)), k -> named_struct(
-        'kind', k, 'pos', n.ipos, 'scope', n.scope, 'level', cardinality(split(n.ptr, '{SEP}')),
-        'branches', transform(array('if', 'then', 'else'), b -> concat(n.scope, '/', n.ptr, '~', b))))) END))"""
-    t = with_schema_tree(schemas.select(key, body), body)
-    return t.select(
-        key,
-        F.expr(f"transform(filter(tree, n -> n.ipos IS NOT NULL AND n.keys IS NOT NULL), n -> {rule})").alias("rules"),
-        F.expr(f"array_sort({group}, (a, b) -> b.level - a.level)").alias("groups"),
-        F.expr("array_sort(array_distinct(flatten(transform(filter(tree, n -> n.feat IS NOT NULL AND n.keys IS NOT NULL), "
-               f"n -> array_intersect(n.keys, array({sql_list(UNCHECKED)}))))))").alias("unchecked"))
-
-
-def rule_errors_sql(nodes: str = "arg_nodes", rules: str = "rules", groups: str = "groups") -> str:
-    """SQL: array<struct<validator, path>> of broken rules for one call, combinators resolved deepest first."""
-    t = {"integer": "(n.kind = 'BIG' OR (n.num IS NOT NULL AND n.num = floor(n.num)))",
-         "number": "n.num IS NOT NULL", "string": "n.kind = 'STR'", "boolean": "n.kind = 'BOO'",
-         "null": "n.kind = 'VOI'", "object": "n.kind = 'OBJ'", "array": "n.kind = 'ARR'"}
-    typed = "CASE y " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + " ELSE false END"
-    p = "substr(replace(n.ptr, '\\u0001', '/'), 2)"
-    canon = canon_sql("n.kind", "n.txt", "n.num", "n.json")
-    one = [
-        ("type", f"r.types IS NOT NULL AND NOT exists(r.types, y -> {typed})"),
-        ("enum", f"r.enum IS NOT NULL AND NOT array_contains(r.enum, {canon})"),
-        ("const", f"r.const IS NOT NULL AND r.const <> {canon}"),
-        ("additionalProperties", "r.closed AND n.kind = 'OBJ' AND size(array_except(n.keys, r.declared)) > 0"),
-        ("minimum", "n.num < r.minimum"), ("maximum", "n.num > r.maximum"),
-        ("exclusiveMinimum", "n.num <= r.xmin"), ("exclusiveMaximum", "n.num >= r.xmax"),
-        ("multipleOf", "abs(n.num / r.multiple - round(n.num / r.multiple)) > 1e-9"),
-        ("minLength", "n.kind = 'STR' AND char_length(n.txt) < r.minlen"),
-        ("maxLength", "n.kind = 'STR' AND char_length(n.txt) > r.maxlen"),
-        ("pattern", "n.kind = 'STR' AND r.pattern IS NOT NULL AND NOT n.txt RLIKE r.pattern"),
-        ("minItems", "n.kind = 'ARR' AND n.n < r.minitems"), ("maxItems", "n.kind = 'ARR' AND n.n > r.maxitems"),
-        ("uniqueItems", "r.uniq AND n.kind = 'ARR' AND n.n > size(array_distinct(transform("
-                        f"try_cast(parse_json(n.json) as {ARR}), e -> to_json(e))))"),
-        ("minProperties", "n.kind = 'OBJ' AND n.n < r.minprops"),
-        ("maxProperties", "n.kind = 'OBJ' AND n.n > r.maxprops"),
-    ]
-    cases = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in one)
-    names = (f"concat(CASE WHEN n.kind = 'OBJ' AND r.required IS NOT NULL THEN transform(array_except(r.required, n.keys), "
-             f"q -> 'required') ELSE cast(array() as array<string>) END, filter(array({cases}), q -> q IS NOT NULL))")
-    E = "array<struct<validator:string,path:string,scope:string>>"
-    raw = (f"cast(flatten(transform({rules}, r -> flatten(transform(filter({nodes}, n -> "
-           f"n.pos = r.pos), n -> transform({names}, q -> "
-           f"named_struct('validator', q, 'path', {p}, 'scope', r.scope)))))) as {E})")
-    under = lambda e: f"({p} = '' OR {e}.path = {p} OR startswith({e}.path, concat({p}, '/')))"
-    bad = f"filter(g.branches, b -> exists(acc, e -> e.scope = b AND {under('e')}))"
-    moved = lambda i: (f"transform(filter(acc, e -> e.scope = g.branches[{i}] AND {under('e')}), e -> "
-                       "named_struct('validator', e.validator, 'path', e.path, 'scope', g.scope))")
-    hit = f"array(named_struct('validator', g.kind, 'path', {p}, 'scope', g.scope))"
-    fold = f"""aggregate({groups}, {raw}, (acc, g) -> cast(concat(
-        filter(acc, e -> NOT array_contains(g.branches, e.scope)),
-        flatten(transform(filter({nodes}, n -> n.pos = g.pos), n -> CASE
-          WHEN g.kind = 'anyOf' AND size({bad}) = size(g.branches) THEN {hit}
-          WHEN g.kind = 'oneOf' AND size(g.branches) - size({bad}) <> 1 THEN {hit}
-          WHEN g.kind = 'not' AND size({bad}) = 0 THEN {hit}
-          WHEN g.kind = 'if' AND NOT array_contains({bad}, g.branches[0]) THEN {moved(1)}
-          WHEN g.kind = 'if' THEN {moved(2)}
-          ELSE array() END))) as {E}))"""
-    return (f"transform(filter({fold}, e -> e.scope = ''), "
-            f"e -> named_struct('validator', e.validator, 'path', e.path))")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callscope.functions.jsontext import salvage_json
 from callscope.functions.jsontree import ARR, OBJ, SEP, leaves_of, once, strict_variant, tree_nodes
 from callscope.functions.text import NUMERIC_TEXT, clean_sql, norm_sql
-from callscope.operators.schematree import rule_errors_sql
+from callscope.operators.schemarules import rule_errors_sql
 
 # fixed values: accepted member names of a call, by priority
 TOOL_KEYS = ("tool", "name", "function", "tool_name")
@@ -300,7 +300,7 @@ def score(results: DataFrame, tasks: DataFrame, rules: DataFrame, catalogs: Data
     """Full evaluation of results.
 
     results: request_key, task_id, catalog_key, raw_content (+ any columns); tasks: task_id, tool_name,
-    gold_nodes, variants, unordered_paths; rules: tool_name, rules, groups; catalogs: catalog_key,
+    gold_nodes, variants, unordered_paths; rules: tool_name, rules; catalogs: catalog_key,
     catalog_tools; properties: tool_name, known_names.
 
     Every row of results comes out. A task that isn't known (``unknown_task``) is labelled so and succeeds in nothing; a
@@ -351,14 +351,14 @@ def route(outputs: DataFrame, rules: DataFrame, raw: str = "raw_content") -> Dat
           .withColumn("_member", F.expr("coalesce(array_contains(catalog_tools, _tool), false)"))
           .withColumn("_a", once("CASE WHEN _member THEN try_variant_get(_c, '$.arguments', 'variant') END"))
           .withColumn("arg_nodes", once(f"CASE WHEN _a IS NOT NULL THEN {tree_nodes('_a')} END")))
-    r = rules.select(F.col(rules.columns[0]).alias("_tool"), "rules", "groups")
+    r = rules.select(F.col(rules.columns[0]).alias("_tool"), "rules")
     df = df.join(r, "_tool", "left").withColumn("_errs", once(f"CASE WHEN rules IS NOT NULL THEN size({rule_errors_sql()}) END"))
     return (df.withColumn("route_reason", F.expr("""CASE WHEN truncated THEN 'truncated'
                 WHEN _c IS NULL THEN 'strict_json' WHEN NOT coalesce(_shape, false) THEN 'envelope'
                 WHEN NOT _member THEN 'tool_not_in_catalog' WHEN rules IS NULL THEN 'no_rules'
                 WHEN _errs > 0 THEN 'raw_schema' WHEN _errs = 0 THEN 'valid' ELSE 'envelope' END"""))
             .withColumn("retry", F.expr("route_reason <> 'valid'"))
-            .drop("_c", "_a", "_keys", "_shape", "_member", "_errs", "rules", "groups")
+            .drop("_c", "_a", "_keys", "_shape", "_member", "_errs", "rules")
             .withColumnRenamed("_tool", "routed_tool"))
 
 

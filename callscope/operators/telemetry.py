@@ -104,6 +104,12 @@ def telemetry_summary(samples: DataFrame, width: str = "5 minutes", ts: str = "t
         .select(F.col("w.start").alias("window_start"), "samples", "max_level", "max_counter"))
 
 
+def rate_summary(rates: DataFrame, width: str = "5 minutes", ts: str = "ts") -> DataFrame:
+    """Samples, highest growth over a run's first sample and highest rate per window; one plan for batch and stream."""
+    return (rates.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("samples"), F.max("growth").alias("max_growth"), F.max("rate").alias("max_rate"))
+            .select(F.col("w.start").alias("window_start"), "samples", "max_growth", "max_rate"))
+
+
 def event_intervals(events: DataFrame, stream: str = "user_id") -> DataFrame:
     """pause..continue intervals; a pause that meets a stop or the end of the log stays open.
 

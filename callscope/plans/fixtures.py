@@ -137,6 +137,45 @@ SELECT tool_name, tool_name AS schema_id, n_tasks,
        '"required":["k","kind"]' || CASE WHEN tool_name = 'view' THEN '' ELSE ',"additionalProperties":false' END || '}}' AS body
 FROM (SELECT event_type AS tool_name, count(*) AS n_tasks FROM events GROUP BY event_type) t"""
 
+# one schema for each family of rule keywords, by number, and a call for each event against one of them
+_NEW = '"$schema":"https://json-schema.org/draft/2020-12/schema"'
+KEYWORD_SCHEMAS = [
+    '{"patternProperties":{"^x_":{"type":"integer"},"_y$":{"maxLength":5}},"additionalProperties":{"type":"string"}}',
+    '{"propertyNames":{"maxLength":5,"pattern":"^[a-t]"}}',
+    '{"dependencies":{"kind":["k"],"k":{"required":["cents"]}}}',
+    '{' + _NEW + ',"dependentRequired":{"kind":["k","cents"]},"dependentSchemas":{"k":{"properties":{"cents":{"minimum":10000}}}}}',
+    '{' + _NEW + ',"properties":{"t":{"prefixItems":[{"type":"integer"},{"enum":["click","view"]}],"items":{"minimum":500}}}}',
+    '{"properties":{"t":{"items":[{"type":"integer"},{"type":"string"}],"additionalItems":false}}}',
+    '{' + _NEW + ',"properties":{"t":{"contains":{"const":1},"minContains":2,"maxContains":2}}}',
+    '{"properties":{"t":{"contains":{"maximum":300}}}}',
+    '{' + _NEW + ',"properties":{"kind":{}},"allOf":[{"$ref":"#/$defs/base"}],"if":{"properties":{"kind":{"const":"click"}},"required":["kind"]},'
+    '"then":{"properties":{"k":{}}},"anyOf":[{"properties":{"cents":{"minimum":10000}},"required":["cents"]},true],"unevaluatedProperties":false,'
+    '"$defs":{"base":{"properties":{"tags":{}}}}}',
+    '{' + _NEW + ',"properties":{"t":{"prefixItems":[{}],"contains":{"type":"string"},"unevaluatedItems":{"maximum":500}}}}',
+    '{"$ref":"#/definitions/node","definitions":{"node":{"type":"object","properties":{"next":{"$ref":"#/definitions/node"},"v":{"maximum":500}},"required":["v"]}}}',
+    '{"properties":{"ghost":false,"kind":{"not":{"enum":["view"]}},"k":{"oneOf":[{"maximum":300},{"minimum":200}]}}}',
+]
+FX["fx_keyword_schemas"] = ("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}')" for i, b in enumerate(KEYWORD_SCHEMAS)) + ") AS t(n, body)")
+
+_S = lambda e: f"cast({e} AS string)"
+_SOME = ("'{\"kind\":\"' || kind || '\"' || CASE WHEN k % 2 = 0 THEN ',\"k\":' || " + _S("k") + " ELSE '' END"
+         " || CASE WHEN k % 3 = 0 THEN ',\"cents\":' || " + _S("cents") + " ELSE '' END || '}'")
+FX["fx_keyword_calls"] = f"""
+SELECT task_id, kind, k, cents, task_id % 12 AS n, CASE task_id % 12
+    WHEN 0 THEN '{{"x_a":' || CASE WHEN k % 2 = 0 THEN {_S('k')} ELSE '"k"' END || ',"kind_y":"' || kind || '","other":' || CASE WHEN k % 3 = 0 THEN '1' ELSE '"s"' END || '}}'
+    WHEN 1 THEN '{{"' || kind || '":1,"k":2}}'
+    WHEN 2 THEN {_SOME}
+    WHEN 3 THEN {_SOME}
+    WHEN 4 THEN '{{"t":[' || CASE WHEN k % 5 = 0 THEN '"k"' ELSE {_S('k')} END || ',"' || kind || '",' || {_S('k')} || ']}}'
+    WHEN 5 THEN '{{"t":[' || {_S('k')} || ',"s"' || CASE WHEN k % 2 = 0 THEN ',1' ELSE '' END || ']}}'
+    WHEN 6 THEN '{{"t":[' || {_S('k % 2')} || ',' || {_S('abs(cents) % 2')} || ',1,' || CASE WHEN k % 3 = 1 THEN '1' ELSE '0' END || ']}}'
+    WHEN 7 THEN '{{"t":[' || {_S('k')} || ',' || {_S('k + 100')} || ']}}'
+    WHEN 8 THEN '{{"kind":"' || kind || '","tags":[]' || CASE WHEN k % 2 = 0 THEN ',"k":1' ELSE '' END || ',"cents":' || {_S('cents')} || '}}'
+    WHEN 9 THEN '{{"t":[9999,"s",' || {_S('k')} || ']}}'
+    WHEN 10 THEN '{{"v":' || {_S('k')} || ',"next":{{"v":' || {_S('k + 100')} || ',"next":{{"' || CASE WHEN k % 2 = 0 THEN 'v' ELSE 'w' END || '":' || {_S('k + 200')} || '}}}}}}'
+    ELSE '{{"kind":"' || kind || '","k":' || {_S('k')} || CASE WHEN k % 2 = 0 THEN ',"ghost":1' ELSE '' END || '}}' END AS args
+FROM fx_tasks"""
+
 FX["fx_conf"] = """
 SELECT request_key, arm, ((task_id * 37 + arm_no * 11 + size) % 1000) / 1000.0 AS p,
        CASE WHEN e2e_success THEN 1 ELSE 0 END AS y, task_id * 100 + arm_no * 50 + size AS seq,
@@ -214,7 +253,7 @@ SELECT user_id, event_id, ts, cast(round(value * 100) AS bigint) AS cents,
        1 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pressure
 FROM events"""
 
-DEPENDS = {"fx_task_rows": ["fx_tasks"], "fx_hostile": ["fx_tasks"], "fx_results_key": ["fx_tasks"], "fx_results": ["fx_results_key"],
+DEPENDS = {"fx_task_rows": ["fx_tasks"], "fx_keyword_calls": ["fx_tasks"], "fx_hostile": ["fx_tasks"], "fx_results_key": ["fx_tasks"], "fx_results": ["fx_results_key"],
            "fx_expected": ["fx_results_key"], "fx_conf": ["fx_expected"], "fx_schemas": ["fx_schema_key"],
            "fx_schema_reasons": ["fx_schema_key"], "fx_pool": ["fx_schema_reasons"]}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callscope.operators import scoring as sc
 from callscope.operators import stats as st
 from callscope.operators.corpus import schema_property_names
-from callscope.operators.schematree import schema_rules
+from callscope.operators.schemarules import schema_rules
 from callscope.plans.fixtures import KINDS, fixture, spread
 
 

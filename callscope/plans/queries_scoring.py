@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callscope.functions.jsontree import leaf_table
+from callscope.functions.jsontree import leaf_table, with_nodes
 from callscope.operators import scoring as sc
-from callscope.operators.schematree import schema_rules
+from callscope.operators.schemarules import schema_rules
 from callscope.plans.fixtures import fixture, spread, with_fx
 from callscope.plans.flagship import catalogs, flagship, outputs, scored, tasks, tool_inputs
 from callscope.plans.queries_stats import _plan_sql
@@ -164,9 +164,36 @@ def score_rescore(spark, sf):
     return sc.rescore(old, scored(spark, sf))
 
 
-@query("score_unchecked_keywords", """SELECT event_type AS tool_name, 0::bigint AS unchecked FROM events GROUP BY 1""")
+@query("score_unchecked_keywords", fx("SELECT schema_id, CASE shape WHEN 'missing' THEN '$ref' ELSE '' END AS unchecked FROM fx_schema_key", "fx_schema_key"))
 def score_unchecked(spark, sf):
-    return schema_rules(fixture(spark, sf, "fx_tool_schemas")).selectExpr("tool_name", "cast(size(unchecked) as bigint) AS unchecked")
+    """References that lead nowhere are all that is left unchecked."""
+    rules = schema_rules(spread(fixture(spark, sf, "fx_schemas").select("schema_id", "body")), "schema_id")
+    return rules.select("schema_id", F.concat_ws(",", "unchecked").alias("unchecked"))
+
+
+BROKEN = (
+    (0, "k % 2 = 1", "type", "x_a"), (0, "length(kind) > 5", "maxLength", "kind_y"), (0, "k % 3 = 0", "type", "other"),
+    (1, "length(kind) > 5", "maxLength", ""), (1, "kind = 'view'", "pattern", ""),
+    (2, "k % 2 = 1", "dependencies", ""), (2, "k % 2 = 0 AND k % 3 <> 0", "required", ""),
+    (3, "k % 2 = 1", "dependentRequired", ""), (3, "k % 3 <> 0", "dependentRequired", ""), (3, "k % 6 = 0 AND cents < 10000", "minimum", "cents"),
+    (4, "k % 5 = 0", "type", "t/0"), (4, "kind NOT IN ('click', 'view')", "enum", "t/1"), (4, "k < 500", "minimum", "t/2"),
+    (5, "k % 2 = 0", "additionalItems", "t"),
+    (6, "ones = 1", "minContains", "t"), (6, "ones > 2", "maxContains", "t"), (7, "k > 300", "contains", "t"),
+    (8, "(k % 2 = 0 AND kind <> 'click') OR cents < 10000", "unevaluatedProperties", ""), (9, "k > 500", "unevaluatedItems", "t"),
+    (10, "k > 500", "maximum", "v"), (10, "k > 400", "maximum", "next/v"), (10, "k % 2 = 1", "required", "next/next"),
+    (10, "k % 2 = 0 AND k > 300", "maximum", "next/next/v"),
+    (11, "k % 2 = 0", "false", "ghost"), (11, "kind = 'view'", "not", "kind"), (11, "k BETWEEN 200 AND 300", "oneOf", "k"),
+)
+
+
+@query("score_rule_keywords", fx(", c AS (SELECT *, k % 2 + abs(cents) % 2 + 1 + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS ones FROM fx_keyword_calls)\n" + " UNION ALL ".join(
+    f"SELECT task_id, {n}::bigint AS n, '{validator}' AS validator, '{path}' AS path FROM c WHERE n = {n} AND ({when})" for n, when, validator, path in BROKEN), "fx_keyword_calls"))
+def score_rule_keywords(spark, sf):
+    """Rules by key pattern, array slot, dependency, reference and evaluated members, each broken by some calls."""
+    schemas = fixture(spark, sf, "fx_keyword_schemas").selectExpr("cast(n as bigint) AS n", "body")
+    calls = with_nodes(spread(fixture(spark, sf, "fx_keyword_calls").selectExpr("task_id", "cast(n as bigint) AS n", "args")), "args", "arg_nodes")
+    broken = sc.schema_errors(calls, schema_rules(schemas, "n"), "n").select("task_id", "n", F.explode("schema_errors").alias("e"))
+    return broken.select("task_id", "n", "e.validator", "e.path")
 
 
 @query("score_hostile", fx("""SELECT request_key, h IN (3, 4, 6, 7, 9) AS json_valid, h IN (3, 6, 9) OR (h = 4 AND NOT ghost) AS tool_correct,

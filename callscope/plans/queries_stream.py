@@ -25,11 +25,16 @@ def batch(spark, sf):
     return samples(fixture(spark, sf, "fx_telemetry"))
 
 
-def feed(spark, sf):
-    """The events as a stream of time slices, with the same derived columns."""
-    e = jobs.staged_stream(table(spark, sf, "events"), "ts", "user_id")
-    return e.selectExpr("user_id", "event_id", "cast(ts as timestamp) AS ts", "cast(round(value * 100) as bigint) AS counter", "CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS pressure",
-                        "concat(user_id, ':', regexp_extract(props, '([0-9]+)', 1)) AS request_key", "user_id % 10 AS bucket")
+JITTER = 6 * 3600
+IDLE = 400 * 86400
+
+
+def feed(spark, sf, beat: int | None = None, jitter: int = JITTER):
+    """The events as a feed whose rows come up to six hours late, with the same derived columns."""
+    e = table(spark, sf, "events").selectExpr("user_id", "event_id", "cast(ts as timestamp) AS ts", "cast(round(value * 100) as bigint) AS counter",
+                                              "CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS pressure",
+                                              "concat(user_id, ':', regexp_extract(props, '([0-9]+)', 1)) AS request_key", "user_id % 10 AS bucket")
+    return jobs.Feed(e, "ts", "user_id", jitter_seconds=jitter, beat=beat)
 
 
 RATES = f""", o AS (SELECT user_id, event_id, ts, pressure, cents AS counter, row_number() OVER w AS rn, lag(cents) OVER w AS pc, lag(ts) OVER w AS pt, min(ts) OVER (PARTITION BY user_id) AS t0
@@ -51,8 +56,10 @@ def sustained_alert(spark, sf):
 
 @query("stream_alerts", fx(RATES + " SELECT event_id, round(rate, 6) AS rate, hot_samples, hot_samples >= 3 AS alert FROM h"))
 def stream_alerts(spark, sf):
-    out = jobs.run_available(jobs.stream_alerts(feed(spark, sf).select("user_id", "event_id", "ts", "counter"), PAGE), "append")
-    return rounded(out.select("event_id", "rate", F.col("hot_samples").cast("bigint").alias("hot_samples"), "alert"))
+    """Shuffled files, a restart in the middle, and a last beat that empties the state."""
+    f = feed(spark, sf, beat=2 * IDLE)
+    out = jobs.run_available(jobs.stream_alerts(f.stream(), PAGE, delay_seconds=JITTER, idle_seconds=IDLE), "append", feed=f)
+    return rounded(out.select("event_id", "rate", "hot_samples", "alert"))
 
 
 CLEAN = """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, min(ts) OVER (PARTITION BY user_id) AS t0 FROM fx_telemetry),
@@ -86,8 +93,9 @@ def pause_batch(spark, sf):
 
 @query("stream_pauses", PAUSE_SQL)
 def stream_pauses(spark, sf):
-    out = jobs.run_available(jobs.stream_pauses(feed(spark, sf).select("user_id", "event_id", "ts", "pressure"), 3, HOLD), "append")
-    return rounded(out.withColumn("at", F.col("at").cast("timestamp_ntz")))
+    f = feed(spark, sf, beat=2 * IDLE)
+    out = jobs.run_available(jobs.stream_pauses(f.stream(), 3, HOLD, JITTER, IDLE), "append", feed=f)
+    return rounded(out.select("user_id", "event", F.col("ts").cast("timestamp_ntz").alias("at"), "pause_seconds"))
 
 
 @query("stream_event_intervals", fx(PAUSES + """, n AS (SELECT *, lead(event) OVER x AS ne, lead(ts) OVER x AS nt FROM e WINDOW x AS (PARTITION BY user_id ORDER BY ts, event <> 'pause'))
@@ -128,13 +136,37 @@ def summary_batch(spark, sf):
 
 @query("stream_telemetry_windows", WINDOWS)
 def telemetry_windows(spark, sf):
-    s = jobs.telemetry_windows(feed(spark, sf).select("ts", "counter", "pressure"), "1 day", "1 hour")
-    return jobs.run_available(s, "update", ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    f = feed(spark, sf)
+    s = jobs.telemetry_windows(f.stream().select("ts", "counter", "pressure"), "1 day", f"{JITTER} seconds")
+    return jobs.run_available(s, "update", ["window_start"], f).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+ROLLED = fx(RATES + """, w AS (SELECT *, counter - first_value(counter) OVER (PARTITION BY user_id ORDER BY rn) AS growth FROM r)
+SELECT date_trunc('day', ts) AS window_start, count(*) AS samples, max(growth) AS max_growth, round(max(rate), 6) AS max_rate FROM w GROUP BY 1""")
+
+
+@query("stream_rate_summary_batch", ROLLED)
+def rate_summary_batch(spark, sf):
+    s = batch(spark, sf)
+    first = s.groupBy("user_id").agg(F.min_by("counter", F.struct("ts", "event_id")).alias("base"))
+    rates = tm.counter_rate(s, page=PAGE).join(first, "user_id").withColumn("growth", F.col("counter") - F.col("base"))
+    return rounded(tm.rate_summary(rates, "1 day"))
+
+
+@query("stream_rate_windows", ROLLED)
+def rate_windows(spark, sf):
+    """Two stateful steps in a row: rates in order of time, then windows over the rows that the first step gives."""
+    f = feed(spark, sf, beat=2 * IDLE)
+    rates = jobs.run_available(jobs.stream_alerts(f.stream(), PAGE, delay_seconds=JITTER, idle_seconds=IDLE), "append", feed=f)
+    g = jobs.Feed(rates, "ts", "user_id", beat=3 * 86400)
+    out = jobs.run_available(jobs.rate_windows(g.stream(), "1 day", f"{JITTER} seconds"), "append", feed=g)
+    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
 @query("stream_results", "SELECT user_id % 10 AS bucket, count(DISTINCT (user_id, regexp_extract(props, '([0-9]+)', 1))) AS n FROM events GROUP BY 1")
 def stream_results(spark, sf):
-    return jobs.arm_counts(jobs.drain_unique(feed(spark, sf).select("request_key", "ts", "bucket")), "bucket")
+    f = feed(spark, sf)
+    return jobs.arm_counts(jobs.run_available(jobs.unique(f.stream().select("request_key", "bucket")), "append", feed=f), "bucket")
 
 
 @query("stream_progress", """WITH p AS (SELECT event_id, event_type AS family, event_id % 10 <> 0 AS sent FROM events)
@@ -142,5 +174,6 @@ SELECT family, count(*) AS planned, count_if(sent)::bigint AS seen, count(*) = c
 def stream_progress(spark, sf):
     """Nine of ten planned requests have arrived."""
     plan = table(spark, sf, "events").selectExpr("cast(event_id as string) AS request_key", "event_type AS family")
-    arrived = feed(spark, sf).where("event_id % 10 <> 0").select(F.col("event_id").cast("string").alias("request_key"))
-    return jobs.completion_gate(jobs.run_available(jobs.stream_progress(arrived, plan), "update", ["family"]), plan)
+    f = feed(spark, sf)
+    arrived = f.stream().where("event_id % 10 <> 0").select(F.col("event_id").cast("string").alias("request_key"))
+    return jobs.completion_gate(jobs.run_available(jobs.stream_progress(arrived, plan), "update", ["family"], f), plan)

@@ -2,57 +2,110 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from callscope.session import shared_dir
+from callscope.streaming.machines import AlertMachine, PauseMachine
 
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: A row of this number is no event: it only moves the stream's time on.
+BEAT = -1
 
-def run_available(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+
+def start(spark: SparkSession, writer) -> StreamingQuery:
+    """Start a query whose state lies in RocksDB, whatever the session's own store is."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Feed:
+    """A table replayed as a stream: parts of rows in order of arrival, released one after the other.
+
+    A row arrives up to ``jitter_seconds`` after its time, so rows are out of order within a part and from part to part. With
+    ``beat`` a last part moves the stream's time that many seconds beyond all rows, as a live stream does by going on.
+    """
+
+    def __init__(self, rows: DataFrame, order: str, key: str, parts: int = 4, jitter_seconds: int = 0, beat: int | None = None):
+        self.spark, self.rows, self.key, self.files = rows.sparkSession, rows, key, 2
+        self.home = f"{shared_dir(self.spark)}/feed-{uuid.uuid4().hex}"
+        late = F.pmod(F.xxhash64(*rows.columns), F.lit(jitter_seconds * 1_000_000)) if jitter_seconds else F.lit(0)
+        arrival = F.unix_micros(F.col(order).cast("timestamp")) + late
+        told = rows.agg(F.percentile_approx(arrival, [k / parts for k in range(1, parts)]).alias("c"), F.max(F.col(order).cast("timestamp")).alias("last")).first()
+        edges = [None, *sorted(set(told["c"] or [])), None]
+        self.parts = []
+        for lo, hi in zip(edges, edges[1:]):
+            some = rows if lo is None else rows.where(arrival > lo)
+            self.parts.append(some if hi is None else some.where(arrival <= hi))
+        if beat is not None and told["last"] is not None:
+            last = rows.where(F.col(order).cast("timestamp") == told["last"]).limit(1)
+            names = {key: F.lit(BEAT).cast(rows.schema[key].dataType), "event_id": F.lit(BEAT).cast("bigint"), order: F.col(order) + F.expr(f"interval {beat} seconds")}
+            self.parts.append(last.select(*[names.get(c, F.col(c)).alias(c) for c in rows.columns]))
+        rows.limit(0).write.parquet(self.home)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", self.files).parquet(self.home)
+
+    def release(self, parts: int) -> None:
+        """Let the next parts arrive; a row's file has nothing to do with its key."""
+        for some in self.parts[:parts]:
+            some.repartition(self.files, "event_id").write.mode("append").parquet(self.home)
+        self.parts = self.parts[parts:]
+
+
+def run_available(stream: DataFrame, mode: str, key: list[str] | None = None, feed: Feed | None = None,
+                  watch: Callable[[dict], None] | None = None) -> DataFrame:
     """Drain a stream into a table in the shared folder and read it back.
 
-    Update-mode results are written per batch; the last batch of every key holds.
+    A feed is released in two halves, and the query stops and starts again from its checkpoint between them. Batches write a
+    folder each, so one that is run again overwrites its own rows. Update-mode results are written per batch; the last batch
+    of every key holds. ``watch`` is given the progress of each batch, with the rows and bytes that its state holds.
     """
     spark = stream.sparkSession
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state")
-             .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def keep(df: DataFrame, batch: int) -> None:
-            df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{home}/out/part={batch}")
-        q = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state")
-             .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{home}/out/part={batch}")
+
+    halves = [0] if feed is None else [(len(feed.parts) + 1) // 2, len(feed.parts)]
+    for parts in halves:
+        if feed is not None:
+            feed.release(parts)
+        q = start(spark, stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state").outputMode(mode).trigger(availableNow=True))
+        q.awaitTermination()
+        for p in q.recentProgress if watch else []:
+            watch(p)
     out = spark.read.parquet(f"{home}/out")
     if mode == "append":
-        return out
+        return out.drop("_batch", "part")
     rest = [c for c in out.columns if c not in (*key, "_batch", "part")]
     return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*key, "r.*")
 
 
-def drain_unique(feed: DataFrame, key: str = "request_key") -> DataFrame:
-    """Drain a feed into a table that holds each key once, however late a repeat comes.
+def state_size(progress: dict) -> tuple[int, int]:
+    """Rows and bytes that the state of all operators holds after a batch."""
+    kept = progress["stateOperators"]
+    return sum(s["numRowsTotal"] for s in kept), sum(s["memoryUsedBytes"] for s in kept)
 
-    What is stored already is the memory: a batch drops its own repeats and joins the other batches' keys away. A batch
-    that is run again overwrites its own folder.
-    """
-    spark = feed.sparkSession
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame, batch: int) -> None:
-        new = df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("_r")).select("_r.*")
-        if batch:
-            stored = spark.read.parquet(f"{home}/out").where(F.col("part") != batch).select(key)
-            new = new.join(stored, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{home}/out/part={batch}")
+def unique(feed: DataFrame, key: str = "request_key") -> DataFrame:
+    """The feed with each key once, however late a repeat comes: the first row to arrive holds.
 
-    feed.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{home}/out").drop("part")
+    Keys are looked up one by one in the state store, so what a batch reads grows with the batch, not with what is stored.
+    """
+    return feed.dropDuplicates([key])
 
 
 def arm_counts(feed: DataFrame, by: str) -> DataFrame:
@@ -76,80 +129,26 @@ def telemetry_windows(samples: DataFrame, width: str, delay: str, ts: str = "ts"
     return telemetry_summary(samples.withWatermark(ts, delay), width, ts)
 
 
-ALERT_OUT = "user_id bigint, event_id bigint, rate double, hot_samples int, alert boolean"
-ALERT_STATE = "micros bigint, counter bigint, hot int"
+def stream_alerts(samples: DataFrame, page: int, threshold: float = 1.0, k: int = 3, delay_seconds: int = 0, idle_seconds: int = 86400) -> DataFrame:
+    """Rate and consecutive-hot count per stream. samples: user_id, event_id, ts, counter.
 
+    Rows wait in the state until the watermark has passed them and are then taken in the order of time, however the files
+    came; a row that is later than ``delay_seconds`` is dropped. A stream that pauses for longer than ``idle_seconds`` is
+    forgotten and begins anew.
+    """
+    machine = AlertMachine(page, threshold, k, idle_seconds)
+    held = samples.selectExpr("user_id", "event_id", "ts", "counter AS value").withWatermark("ts", f"{delay_seconds} seconds")
+    return held.groupBy("user_id").transformWithStateInPandas(machine, machine.OUT, "append", "EventTime")
 
-def stream_alerts(samples: DataFrame, page: int, threshold: float = 1.0, k: int = 3) -> DataFrame:
-    """Rate and consecutive-hot count per stream with the last sample as state.
 
-    samples: user_id, event_id, ts, counter; rows of one micro-batch are put in time order per stream.
-    """
-    mib = 1024.0 * 1024.0
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        last, counter, hot = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-        out = []
-        for event, at, value in zip(rows["event_id"], micros, rows["counter"]):
-            rate = None
-            if last is not None and at > last:
-                rate = max(0, int(value) - counter) * page / mib / ((at - last) / 1e6)
-                hot = hot + 1 if rate >= threshold else 0
-            last, counter = at, int(value)
-            out.append((key[0], int(event), rate, hot, hot >= k))
-        state.update((last, counter, hot))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "rate", "hot_samples", "alert"]).astype({"rate": "float64"})
-
-    return samples.groupBy("user_id").applyInPandasWithState(step, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-PAUSE_OUT = "user_id bigint, event string, at timestamp, pause_seconds double"
-PAUSE_STATE = "since bigint, clean int, stopped boolean"
-
-
-def stream_pauses(samples: DataFrame, k: int = 3, limit_seconds: float = 900) -> DataFrame:
-    """pause / continue / stop events per stream. samples: user_id, event_id, ts, pressure."""
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        since, clean, stopped = state.get if state.exists else (None, 0, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-        out = []
-        for ts, at, level in zip(rows["ts"], micros, rows["pressure"]):
-            if stopped:
-                break
-            if level != 1:
-                clean = 0
-                if since is None:
-                    since = at
-                    out.append((key[0], "pause", ts, None))
-            elif since is not None:
-                clean += 1
-                if clean == k:
-                    out.append((key[0], "continue", ts, (at - since) / 1e6))
-                    since, clean = None, 0
-            if since is not None and (at - since) / 1e6 >= limit_seconds:
-                stopped = True
-                out.append((key[0], "stop", ts, (at - since) / 1e6))
-        state.update((since, clean, stopped))
-        yield pd.DataFrame(out, columns=["user_id", "event", "at", "pause_seconds"]).astype({"pause_seconds": "float64", "user_id": "int64"})
-
-    return samples.groupBy("user_id").applyInPandasWithState(step, PAUSE_OUT, PAUSE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def staged_stream(rows: DataFrame, order: str, key: str, slices: int = 8) -> DataFrame:
-    """A table replayed as a stream of many micro-batches, one file each.
-
-    Slices follow the order column, and inside a slice a key's rows share a file, so every key's rows arrive in order and
-    its state has to last from batch to batch.
-    """
-    spark = rows.sparkSession
-    home = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    at = F.unix_micros(F.col(order).cast("timestamp"))
-    cuts = rows.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)]).alias("c")).first()["c"] or []
-    edges = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(edges, edges[1:]):
-        some = rows if lo is None else rows.where(at > lo)
-        (some if hi is None else some.where(at <= hi)).repartition(2, key).write.mode("append").parquet(home)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(home)
+def stream_pauses(samples: DataFrame, k: int = 3, limit_seconds: float = 900, delay_seconds: int = 0, idle_seconds: int = 86400) -> DataFrame:
+    """pause / continue / stop events per stream. samples: user_id, event_id, ts, pressure; order and idleness as for alerts."""
+    machine = PauseMachine(k, limit_seconds, idle_seconds)
+    held = samples.selectExpr("user_id", "event_id", "ts", "cast(pressure as bigint) AS value").withWatermark("ts", f"{delay_seconds} seconds")
+    return held.groupBy("user_id").transformWithStateInPandas(machine, machine.OUT, "append", "EventTime")
+
+
+def rate_windows(rates: DataFrame, width: str, delay: str) -> DataFrame:
+    """Highest level, growth and rate per window, of the rows that the rate job gives: its second stateful step."""
+    from callscope.operators.telemetry import rate_summary
+    return rate_summary(rates.withWatermark("ts", delay), width)

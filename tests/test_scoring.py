@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscope.operators import scoring as sc
-from callscope.operators.schematree import schema_rules
+from callscope.operators.schemarules import schema_rules
 
 SCHEMA = {"type": "object", "properties": {
     "name": {"type": "string", "minLength": 2}, "n": {"type": "integer"},
