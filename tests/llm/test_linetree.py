@@ -1,51 +1,49 @@
 import random
 from collections import Counter, defaultdict
 
-import pyarrow as pa
-
 from callscope.llm import linetree as lt
 from helpers import SF, docs, needs_data, rows, table
+from test_jaccard import brute as groups
 
 
-def brute(given, sightings=lt.SIGHTINGS, independent=lt.INDEPENDENT):
-    """The definition over dictionaries: weights, leaves, constant tokens, templates."""
+def brute(given, sightings=lt.SIGHTINGS, long_sightings=lt.LONG_SIGHTINGS):
+    """The definition over dictionaries: groups of near copies, leaves, constant tokens, templates, long lines."""
     texts = sorted({t for _, t in given if t is not None})
-    signs = dict(zip(texts, lt.minimum_hashes(pa.array(texts, pa.string()))))
-    shared = Counter((j, s) for t in texts for j, s in enumerate(signs[t]))
-    weight = {}
-    for t in texts:
-        n = sorted((shared[j, s] for j, s in enumerate(signs[t]) if shared[j, s] > 1), reverse=True)
-        weight[t] = 1 / n[lt.ALIKE - 1] if len(n) >= lt.ALIKE else 1.0
+    group = [c for _, _, c in groups(list(enumerate(texts)), lt.SHINGLE, lt.NEAR_NUM, lt.NEAR_DEN)]
+    size = Counter(group)
+    weight = {t: 1 / size[c] for t, c in zip(texts, group, strict=True)}
     leaf_of = lambda k: (len(k), *k[:lt.DEPTH])
     lines = {t: {tuple(lt.masked_tokens(x)) for x in t.split("\n")} - {()} for t in texts}
-    leaf, seen = Counter(), Counter()
+    leaf, seen = defaultdict(float), defaultdict(float)
     for t in texts:
         for f in {leaf_of(k) for k in lines[t]}:
             leaf[f] += weight[t]
         for k in lines[t]:
             seen[k] += weight[t]
+    long = {k for k, s in seen.items() if len(k) - k.count(lt.VARIABLE) >= lt.LONG and s >= long_sightings - 1e-9}
     alive = {k for k in seen if leaf[leaf_of(k)] >= sightings - 1e-9}
-    token = Counter()
+    token = defaultdict(float)
     for k in alive:
         for p, x in enumerate(k):
             token[leaf_of(k), p, x] += seen[k]
     template = {}
     for k in alive:
         firm = [x != lt.VARIABLE and token[leaf_of(k), p, x] >= sightings - 1e-9 for p, x in enumerate(k)]
-        template[k] = (leaf_of(k), tuple(x if f else lt.VARIABLE for x, f in zip(k, firm))) if sum(firm) / len(k) >= lt.CONSTANT else k
-    total, count = defaultdict(float), Counter()
+        behind = firm[lt.DEPTH:]
+        general = behind and sum(behind) / len(behind) >= lt.CONSTANT
+        template[k] = (leaf_of(k), tuple(x if f else lt.VARIABLE for x, f in zip(k, firm))) if general else k
+    total = defaultdict(float)
     for t in texts:
         for m in {template[k] for k in lines[t] if k in alive}:
             total[m] += weight[t]
-            count[m] += 1
-    drop = {m for m in total if total[m] >= sightings - 1e-9 and total[m] >= count[m] * independent - 1e-9}
+    drop = {k for k in alive if total[template[k]] >= sightings - 1e-9} | long
     out = []
     for i, t in given:
         if t is None:
             out.append((i, None, 0, 0))
             continue
         split = t.split("\n")
-        keep = [x for x in split if template.get(tuple(lt.masked_tokens(x))) not in drop or not x.split()]
+        keep = [x for x in split if tuple(lt.masked_tokens(x)) not in drop]
         out.append((i, "\n".join(keep), len(split), len(split) - len(keep)))
     return out
 
