@@ -119,3 +119,45 @@ def event_intervals(events: DataFrame, stream: str = "user_id") -> DataFrame:
     e = events.withColumn("_next", F.lead(F.struct("event", "at")).over(w))
     return e.where("event = 'pause'").select(stream, F.col("at").alias("paused_at"), F.expr("CASE WHEN _next.event = 'continue' THEN _next.at END").alias("continued_at"),
                                              F.expr("coalesce(_next.event, 'open')").alias("ended_by"))
+
+
+def stop_chains(log: DataFrame, stream: str = "user_id", ts: str = "at", tie: str = "event_id") -> DataFrame:
+    """Pauses of an event log and how each ended: continue, resumable_stop, final_stop or open; and when work was resumed.
+
+    log: stream, event (pause, continue, stop, resume; others are passed over), resumable, at. A stop that is not resumable is
+    final, also after a resumable one; nothing counts behind it and a resume is refused. A resume lifts a resumable stop.
+    While stopped, pauses and continues don't count; while paused, neither does another pause. What stands before each event is
+    known from the last events of each kind, so a long log spreads over all tasks.
+    """
+    n = running_totals(log.where("event IN ('pause', 'continue', 'stop', 'resume')"), [stream], [ts, tie], {"rn": "1"})
+    final = n.where("event = 'stop' AND NOT resumable").groupBy(stream).agg(F.min("rn").alias("_final"))
+    live = n.join(final, stream, "left").where("_final IS NULL OR rn <= _final")
+    last = lambda when: f"CASE WHEN {when} THEN rn END"
+    stops = running_totals(live, [stream], ["rn"], {}, maxima={"_stop": last("event = 'stop'"), "_resume": last("event = 'resume'")})
+    # the event itself decides for those behind it: what it finds is what the others left
+    stops = stops.withColumn("_stopped", F.expr("""CASE event WHEN 'stop' THEN false WHEN 'resume' THEN coalesce(_stop, 0) > 0
+        ELSE coalesce(_stop, 0) > coalesce(_resume, 0) END"""))
+    works = stops.where("event IN ('pause', 'continue') AND NOT _stopped OR event = 'stop'")
+    works = running_totals(works, [stream], ["rn"], {"_step": "1"}, maxima={"_pause": last("event = 'pause'"), "_close": last("event <> 'pause'")})
+    before = works.select(stream, (F.col("_step") + 1).alias("_step"), F.col("event").alias("_before"))
+    works = works.join(before, [stream, "_step"], "left").withColumn("_opens", F.expr("event = 'pause' AND NOT _before <=> 'pause'"))
+    spans = running_totals(works, [stream], ["rn"], {"_span": "CASE WHEN _opens THEN 1 ELSE 0 END"})
+    ends = F.min(F.when(F.col("event") != "pause", F.struct("rn", "event", "resumable", ts)))
+    closed = spans.where("_span > 0").groupBy(stream, "_span").agg(F.min(F.when(F.col("_opens"), F.col(ts))).alias("paused_at"), ends.alias("e"))
+    # the resume behind a stop is the first one after it: one row per stop
+    lifted = running_totals(live.where("event IN ('stop', 'resume')"), [stream], ["rn"], {"_place": "1"}, maxima={"_held": last("event = 'stop'")})
+    lifted = lifted.where("event = 'resume' AND _held IS NOT NULL").groupBy(stream, F.col("_held")).agg(F.min(ts).alias("resumed_at"))
+    # a run of stops is lifted by the resume behind its last one
+    chain = running_totals(live.where("event IN ('stop', 'resume')"), [stream], ["rn"], {"_chain": "CASE WHEN event = 'resume' THEN 1 ELSE 0 END"})
+    chain = chain.where("event = 'stop'").select(stream, F.col("rn").alias("_stop_rn"), "_chain")
+    of = lifted.join(chain.withColumnRenamed("_stop_rn", "_held"), [stream, "_held"]).select(stream, "_chain", "resumed_at")
+    return (closed.withColumn("_stop_rn", F.expr("CASE WHEN e.event = 'stop' THEN e.rn END")).join(chain, [stream, "_stop_rn"], "left").join(of, [stream, "_chain"], "left")
+            .select(stream, "paused_at", F.col(f"e.{ts}").alias("ended_at"),
+                    F.expr("CASE WHEN e IS NULL THEN 'open' WHEN e.event = 'continue' THEN 'continue' WHEN e.resumable THEN 'resumable_stop' ELSE 'final_stop' END").alias("ended_by"),
+                    F.expr("CASE WHEN e.event = 'stop' AND e.resumable THEN resumed_at END").alias("resumed_at")))
+
+
+def activity_sessions(samples: DataFrame, gap: str = "30 minutes", stream: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Runs of a stream without a longer silence than ``gap``; batch and stream alike."""
+    return samples.groupBy(stream, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("samples"), F.max("pressure").alias("max_level")).select(
+        stream, F.col("w.start").alias("started_at"), F.expr(f"w.end - interval {gap}").alias("last_at"), "samples", "max_level")

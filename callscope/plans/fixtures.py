@@ -253,6 +253,13 @@ SELECT user_id, event_id, ts, cast(round(value * 100) AS bigint) AS cents,
        1 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pressure
 FROM events"""
 
+# a monitor's event log with stops that may be resumed and final ones
+FX["fx_event_log"] = """
+SELECT user_id, event_id, ts AS happened,
+       CASE WHEN event_type IN ('error', 'view') THEN 'pause' WHEN event_type = 'click' THEN 'continue' WHEN event_type = 'signup' THEN 'stop' ELSE 'resume' END AS event,
+       event_id % 23 <> 0 AS resumable
+FROM events"""
+
 DEPENDS = {"fx_task_rows": ["fx_tasks"], "fx_keyword_calls": ["fx_tasks"], "fx_hostile": ["fx_tasks"], "fx_results_key": ["fx_tasks"], "fx_results": ["fx_results_key"],
            "fx_expected": ["fx_results_key"], "fx_conf": ["fx_expected"], "fx_schemas": ["fx_schema_key"],
            "fx_schema_reasons": ["fx_schema_key"], "fx_pool": ["fx_schema_reasons"]}

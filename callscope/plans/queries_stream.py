@@ -104,6 +104,45 @@ def stream_event_intervals(spark, sf):
     return tm.event_intervals(tm.pause_events(batch(spark, sf), 3, HOLD))
 
 
+@query("stream_settle_live", fx(CLEAN + f""", q AS (SELECT *, (epoch_us(ts) - epoch_us(t0)) / 1000000.0::double >= {LIMIT} AS late FROM s)
+SELECT user_id, min_by(CASE WHEN clean = 3 THEN 'settled' ELSE 'timeout' END, rn) AS state, min_by(ts, rn) AS "at" FROM q WHERE clean = 3 OR late GROUP BY 1"""))
+def stream_settle_live(spark, sf):
+    f = feed(spark, sf, beat=2 * IDLE)
+    out = jobs.run_available(jobs.stream_settle(f.stream(), 3, LIMIT, JITTER, IDLE), "append", feed=f)
+    return out.select("user_id", "state", F.col("ts").cast("timestamp_ntz").alias("at"))
+
+
+# one event after the other: the state before each, and what it does to it
+CHAINS = """, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY happened, event_id) AS rn FROM fx_event_log),
+ m AS (SELECT user_id, 0::bigint AS rn, 'running' AS st, NULL::timestamp AS paused_at, NULL::timestamp AS happened, NULL::varchar AS ended_by, NULL::timestamp AS began FROM (SELECT DISTINCT user_id FROM o)),
+ x AS (SELECT * FROM m UNION ALL
+  SELECT o.user_id, o.rn, CASE WHEN x.st = 'final' THEN 'final' WHEN o.event = 'stop' AND NOT o.resumable THEN 'final' WHEN o.event = 'stop' THEN 'stopped'
+      WHEN x.st = 'stopped' THEN CASE WHEN o.event = 'resume' THEN 'running' ELSE 'stopped' END
+      WHEN o.event = 'pause' THEN 'paused' WHEN o.event = 'continue' THEN 'running' ELSE x.st END,
+    CASE WHEN x.st = 'running' AND o.event = 'pause' THEN o.happened WHEN x.st = 'paused' AND o.event IN ('pause', 'resume') THEN x.paused_at END, o.happened,
+    CASE WHEN x.st = 'paused' THEN CASE WHEN o.event = 'continue' THEN 'continue' WHEN o.event = 'stop' THEN CASE WHEN o.resumable THEN 'resumable_stop' ELSE 'final_stop' END END
+         WHEN x.st = 'stopped' AND o.event = 'resume' THEN 'resume' END,
+    x.paused_at
+  FROM x JOIN o ON o.user_id = x.user_id AND o.rn = x.rn + 1),
+ r AS (SELECT c.user_id, c.began AS paused_at, c.happened AS ended_at, c.ended_by,
+         CASE WHEN c.ended_by = 'resumable_stop' THEN (SELECT min(y.happened) FROM x y WHERE y.user_id = c.user_id AND y.rn > c.rn AND y.ended_by = 'resume') END AS resumed_at
+       FROM x c WHERE c.ended_by IN ('continue', 'resumable_stop', 'final_stop')),
+ l AS (SELECT user_id, max_by(st, rn) AS st, max_by(paused_at, rn) AS paused_at FROM x GROUP BY 1)
+SELECT * FROM r UNION ALL SELECT user_id, paused_at, NULL, 'open', NULL FROM l WHERE st = 'paused'"""
+
+
+@query("stream_stop_chains", "WITH RECURSIVE" + fx(CHAINS, "fx_event_log").removeprefix("WITH"))
+def stream_stop_chains(spark, sf):
+    return tm.stop_chains(fixture(spark, sf, "fx_event_log"), ts="happened")
+
+
+@query("stream_sessions", fx(""", g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 86400000000, false) AS fresh FROM fx_telemetry),
+ n AS (SELECT *, count_if(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
+SELECT user_id, min(ts) AS started_at, max(ts) AS last_at, count(*) AS samples, max(pressure) AS max_level FROM n GROUP BY user_id, run"""))
+def stream_sessions(spark, sf):
+    return tm.activity_sessions(batch(spark, sf), "1 day")
+
+
 @query("stream_growth_cap", fx(""", b AS (SELECT user_id, min(cents) AS c, CASE WHEN user_id % 9 = 0 THEN 'old' ELSE 'boot' END AS boot FROM fx_telemetry WHERE user_id % 8 <> 0 GROUP BY 1)
 SELECT event_id, CASE WHEN boot = 'boot' THEN cents - c END AS growth, CASE WHEN c IS NULL THEN 'no_baseline' WHEN boot <> 'boot' THEN 'identity_error'
   WHEN cents - c > 5000 THEN 'over_cap' ELSE 'ok' END AS verdict FROM fx_telemetry LEFT JOIN b USING (user_id)"""))

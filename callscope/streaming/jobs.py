@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callscope.session import shared_dir
-from callscope.streaming.machines import AlertMachine, PauseMachine
+from callscope.streaming.machines import AlertMachine, PauseMachine, SettleMachine
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -38,7 +38,7 @@ class Feed:
     ``beat`` a last part moves the stream's time that many seconds beyond all rows, as a live stream does by going on.
     """
 
-    def __init__(self, rows: DataFrame, order: str, key: str, parts: int = 4, jitter_seconds: int = 0, beat: int | None = None):
+    def __init__(self, rows: DataFrame, order: str, key: str, parts: int = 3, jitter_seconds: int = 0, beat: int | None = None):
         self.spark, self.rows, self.key, self.files = rows.sparkSession, rows, key, 2
         self.home = f"{shared_dir(self.spark)}/feed-{uuid.uuid4().hex}"
         late = F.pmod(F.xxhash64(*rows.columns), F.lit(jitter_seconds * 1_000_000)) if jitter_seconds else F.lit(0)
@@ -53,7 +53,7 @@ class Feed:
             last = rows.where(F.col(order).cast("timestamp") == told["last"]).limit(1)
             names = {key: F.lit(BEAT).cast(rows.schema[key].dataType), "event_id": F.lit(BEAT).cast("bigint"), order: F.col(order) + F.expr(f"interval {beat} seconds")}
             self.parts.append(last.select(*[names.get(c, F.col(c)).alias(c) for c in rows.columns]))
-        rows.limit(0).write.parquet(self.home)
+        self.release(1)  # a stream needs a folder to look at
 
     def stream(self) -> DataFrame:
         return self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", self.files).parquet(self.home)
@@ -148,6 +148,13 @@ def stream_pauses(samples: DataFrame, k: int = 3, limit_seconds: float = 900, de
     return held.groupBy("user_id").transformWithStateInPandas(machine, machine.OUT, "append", "EventTime")
 
 
+def stream_settle(samples: DataFrame, k: int = 3, limit_seconds: float = 90, delay_seconds: int = 0, idle_seconds: int = 86400) -> DataFrame:
+    """settled or timeout, once per run of a stream. samples: user_id, event_id, ts, pressure; order and idleness as for alerts."""
+    machine = SettleMachine(k, limit_seconds, idle_seconds)
+    held = samples.selectExpr("user_id", "event_id", "ts", "cast(pressure as bigint) AS value").withWatermark("ts", f"{delay_seconds} seconds")
+    return held.groupBy("user_id").transformWithStateInPandas(machine, machine.OUT, "append", "EventTime")
+
+
 def rate_windows(rates: DataFrame, width: str, delay: str) -> DataFrame:
     """Highest level, growth and rate per window, of the rows that the rate job gives: its second stateful step."""
     from callscope.operators.telemetry import rate_summary

@@ -23,8 +23,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "micros bigint, event_id bigint, value bigint")
-        self.machine = handle.getValueState("machine", f"last bigint, {self.STATE}")
+        # one value, so that a stream costs one read and one write a call
+        self.kept = handle.getValueState("kept", f"held array<struct<micros:bigint,event_id:bigint,value:bigint>>, last bigint, {self.STATE}")
 
     def close(self) -> None:
         pass
@@ -39,28 +39,31 @@ class InOrder(StatefulProcessor):
             micros = some["ts"].astype("datetime64[us]").astype("int64")
             new += [(int(t), int(e), int(v)) for t, e, v in zip(micros, some["event_id"], some["value"]) if e >= 0]
         if new:
-            self.held.appendList(new)
+            held, *state = self.kept.get() or ([], None, *self.FRESH)
+            self.kept.update(([*(tuple(r) for r in held), *new], *state))
             self.handle.registerTimer(-(-max(new)[0] // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+        held, last, *state = self.kept.get() or ([], None, *self.FRESH)
+        held = sorted(tuple(r) for r in held)
         due = [r for r in held if r[0] <= passed]
-        last, *state = self.machine.get() if self.machine.exists() else (None, *self.FRESH)
         if not due:
             if not held and last is not None and last + self.idle <= passed:
-                self.machine.clear()
+                self.kept.clear()
             return
-        self.held.put(held[len(due):]) if len(held) > len(due) else self.held.clear()
         out = []
         for micros, event, value in due:
             if last is not None and micros - last > self.idle:
                 state = list(self.FRESH)
             out += [(key[0], event, micros, *r) for r in self.step(state, micros, event, value)]
             last = micros
-        self.machine.update((last, *state))
-        self.handle.registerTimer(-(-(last + self.idle) // 1000))
+        if len(held) == len(due) and last + self.idle <= passed:
+            self.kept.clear()
+        else:
+            self.kept.update((held[len(due):], last, *state))
+            self.handle.registerTimer(-(-(last + self.idle) // 1000))
         yield self.frame(out)
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
@@ -122,3 +125,26 @@ class PauseMachine(InOrder):
             stopped = True
             yield "stop", (micros - since) / 1e6
         state[:] = since, clean, stopped
+
+
+class SettleMachine(InOrder):
+    """settled at the k-th normal sample in a row, timeout at the first sample past the limit, whichever comes first."""
+
+    STATE = "since bigint, clean bigint, done boolean"
+    OUT = "user_id bigint, event_id bigint, ts timestamp, state string"
+    FRESH = (None, 0, False)
+
+    def __init__(self, k: int, limit_seconds: float, idle_seconds: float):
+        super().__init__(idle_seconds)
+        self.k, self.limit = k, limit_seconds
+
+    def step(self, state: list, micros: int, event: int, value: int) -> Iterator[tuple]:
+        since, clean, done = state
+        if done:
+            return
+        since = micros if since is None else since
+        clean = clean + 1 if value == 1 else 0
+        verdict = "settled" if clean == self.k else "timeout" if (micros - since) / 1e6 >= self.limit else None
+        state[:] = since, clean, verdict is not None
+        if verdict:
+            yield (verdict,)
