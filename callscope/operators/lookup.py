@@ -1,4 +1,4 @@
-"""Joins on keys that are mostly null."""
+"""Joins on keys that are mostly null, or that a large part of the rows share."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -13,3 +13,9 @@ def left_lookup(df: DataFrame, found: DataFrame, key: str, spread: str) -> DataF
     alone = F.concat(F.lit("\u0000null:"), F.col(spread).cast("string"))
     dealt = df.withColumn("_key", F.coalesce(F.col(key), alone))
     return dealt.join(found.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread: str, salts: int = 8) -> DataFrame:
+    """Inner join in which a key with a third of the large side's rows goes to ``salts`` tasks, dealt by ``spread``."""
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts))).join(each, [*on, "_salt"]).drop("_salt")

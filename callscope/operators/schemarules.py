@@ -127,14 +127,14 @@ def schema_rules(schemas: DataFrame, key: str = "tool_name", body: str = "body")
       'mincont', {own(num('minContains'), live + ' AND draft >= 2019')}, 'maxcont', {own(num('maxContains'), live + ' AND draft >= 2019')},
       'contains', coalesce({live} AND {has('contains')}, false),
       'links', cast({own_links(f"CASE WHEN draft < 2019 AND {has('$ref')} THEN filter({links}, l -> l.via = '$ref') ELSE {links} END", 'n.keys IS NOT NULL')} as array<{_LINK}>)"""
-    rule = f"named_struct('never', n.ptr = 'never' OR coalesce(schema_of_variant(n.v) = 'BOOLEAN' AND NOT cast(n.v as boolean), false), {fields})"
-    blank = "named_struct('ptr', {ptr}, 'keys', cast(null as array<string>), 'v', cast(null as variant))"
+    rule = f"named_struct('pos', n.ipos, 'scope', n.scope, 'never', n.ptr = 'never' OR coalesce(schema_of_variant(n.v) = 'BOOLEAN' AND NOT cast(n.v as boolean), false), {fields})"
+    blank = "named_struct('ptr', {ptr}, 'ipos', cast(null as string), 'scope', '', 'keys', cast(null as array<string>), 'v', cast(null as variant))"
     t = with_schema_tree(schemas.select(key, body), body)
     draft = f"try_variant_get(try_parse_json({body}), '$[\"$schema\"]', 'string')"
     t = (t.withColumn("draft", F.expr(f"CASE WHEN {draft} LIKE '%2020-12%' THEN 2020 WHEN {draft} LIKE '%2019-09%' THEN 2019 ELSE 7 END"))
          .withColumn("ptrs", F.expr("transform(tree, n -> n.ptr)"))
          .withColumn("tracked", F.expr("exists(tree, n -> arrays_overlap(n.keys, array('unevaluatedProperties', 'unevaluatedItems')) AND n.keys IS NOT NULL)"))
-         .withColumn("tree", F.expr(f"concat(array({blank.format(ptr="'always'")}, {blank.format(ptr="'never'")}), transform(tree, n -> named_struct('ptr', n.ptr, 'keys', n.keys, 'v', n.v)))")))
+         .withColumn("tree", F.expr(f"concat(array({blank.format(ptr="'always'")}, {blank.format(ptr="'never'")}), transform(tree, n -> named_struct('ptr', n.ptr, 'ipos', n.ipos, 'scope', n.scope, 'keys', n.keys, 'v', n.v)))")))
     lost = f"array_contains(n.keys, '$ref') AND {ref} IS NULL"
     return t.select(key, F.expr(f"transform(tree, n -> {rule})").alias("rules"),
                     F.expr(f"array_sort(array_distinct(flatten(transform(filter(tree, n -> n.keys IS NOT NULL), n -> concat("

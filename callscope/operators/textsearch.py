@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from callscope.functions.jsontree import once
 from callscope.functions.keyorder import caseless_keys
 from callscope.functions.text import ngrams_sql, tokens_sql, words_sql
-from callscope.operators.ranking import running_totals
 from callscope.operators.schematree import sql_list
-from callscope.operators.stats import top_k
 
 
 def tool_documents(tools: DataFrame, fields: str = "all", text: str = "schema_text") -> DataFrame:
@@ -18,66 +16,12 @@ def tool_documents(tools: DataFrame, fields: str = "all", text: str = "schema_te
     return tools.withColumn("toks", F.expr(tokens_sql(src)))
 
 
-# ---------------------------------------------------------------- BM25
-def bm25_scores(docs: DataFrame, members: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, catalog_id, doc_id, score) for documents that share a term; statistics per catalog.
-
-    docs: doc_id, toks; members: catalog_id, doc_id; queries: query_id, catalog_id, qtoks. Only terms
-    some query asks for leave the documents, and each posting gets its weight before it meets the queries.
-    """
-    ask = queries.select("query_id", "catalog_id", F.explode(F.array_distinct("qtoks")).alias("term"))
-    terms = ask.select("term").distinct()
-    length = docs.select("doc_id", F.size("toks").alias("len"))
-    m = members.join(length, "doc_id")
-    cat = m.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.count(F.lit(1))).alias("avg"))
-    tf = (docs.select("doc_id", F.explode("toks").alias("term")).join(terms, "term", "left_semi")
-          .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    post = tf.join(m, "doc_id")
-    df = post.groupBy("catalog_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(cat, "catalog_id").select("catalog_id", "term", "avg", F.expr("ln(1 + (n - df + 0.5D) / (df + 0.5D))").alias("idf"))
-    w = post.join(idf, ["catalog_id", "term"]).select(
-        "catalog_id", "term", "doc_id", F.expr(f"idf * tf * {k1 + 1}D / (tf + {k1}D * (1 - {b}D + {b}D * len / avg))").alias("w"))
-    return (ask.join(w, ["catalog_id", "term"]).groupBy("query_id", "catalog_id", "doc_id")
-            .agg(F.round(F.sum("w"), 12).alias("score")))
-
-
-def bm25_gold_rank(docs: DataFrame, members: DataFrame, queries: DataFrame, **kw) -> DataFrame:
-    """Rank of gold_doc for every query, order (-score, doc_id), documents without a hit included.
-
-    Those are counted by their position in the catalog instead of being listed per query.
-    """
-    s = bm25_scores(docs, members, queries, **kw)
-    pos = running_totals(members.select("catalog_id", "doc_id"), ["catalog_id"], ["doc_id"], {"pos": "1"})
-    gold = queries.select("query_id", "catalog_id", "gold_doc")
-    g = (gold.join(s.withColumnRenamed("doc_id", "gold_doc"), ["query_id", "catalog_id", "gold_doc"], "left")
-         .select("query_id", "catalog_id", "gold_doc", F.coalesce("score", F.lit(0.0)).alias("gs"))
-         .join(pos.withColumnRenamed("doc_id", "gold_doc"), ["catalog_id", "gold_doc"]))
-    c = (g.join(s, ["query_id", "catalog_id"], "left").groupBy("query_id", "catalog_id", "gold_doc", "gs", "pos")
-         .agg(F.count_if(F.expr("score > gs OR (score = gs AND doc_id < gold_doc)")).alias("ahead"),
-              F.count_if(F.expr("doc_id < gold_doc")).alias("scored_before")))
-    return c.select("query_id", "catalog_id", "gold_doc", F.round("gs", 9).alias("score"),
-                    F.expr("1 + ahead + CASE WHEN gs = 0 THEN pos - 1 - scored_before ELSE 0 END").alias("rank"))
-
-
 def rank_metrics(ranks: DataFrame, group: list[str], ks=(1, 3, 5, 10)) -> DataFrame:
     return ranks.groupBy(*group).agg(F.count(F.lit(1)).alias("n"),
                                      *[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}") for k in ks],
                                      F.avg(1 / F.col("rank")).alias("mrr"))
 
 
-def shortlist(scores: DataFrame, members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k members per query, shown again in catalog order; queries with too few hits are
-    filled with the first unscored members, which all lie in the first 2k positions."""
-    pos = running_totals(members.select("catalog_id", "doc_id"), ["catalog_id"], ["doc_id"], {"pos": "1"})
-    best = top_k(scores, ["query_id"], [F.desc("score"), "doc_id"], k)
-    few = (queries.select("query_id", "catalog_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")), "query_id", "left")
-           .where(f"coalesce(c, 0) < {k}").select("query_id", "catalog_id"))
-    fill = (few.join(pos.where(f"pos <= {2 * k}"), "catalog_id").join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-            .select("query_id", "catalog_id", "doc_id", F.lit(0.0).alias("score")))
-    top = top_k(best.select("query_id", "catalog_id", "doc_id", "score").unionByName(fill), ["query_id"], [F.desc("score"), "doc_id"], k)
-    return top.join(pos, ["catalog_id", "doc_id"]).select("query_id", "catalog_id", "doc_id", "score", F.col("pos").alias("shown_at"))
-
-
 # ---------------------------------------------------------------- overlap and leakage
 def ngram_overlap(a: DataFrame, b: DataFrame, n: int = 6) -> DataFrame:
     """(a_id, b_id, shared): distinct verbatim n-grams two texts share; a, b: id, text, whole texts."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.keyorder import key_sequence, observed_property_order, order_like_schema
 from callscope.functions.text import norm_str, tokens, truncation_location, words_sql
+from callscope.operators import bm25
 from callscope.operators import corpus as co
 from callscope.operators import scoring as sc
 from callscope.operators import textsearch as tx
@@ -81,20 +82,24 @@ BM25 = GRAMS + f""", gd AS (SELECT item_id, doc_id AS gold, row_number() OVER (P
 
 @query("bm25_gold_rank", BM25 + " SELECT query_id, cat AS catalog_id, gold AS gold_doc, round(score, 5) AS score, rank FROM rk WHERE doc_id = gold")
 def bm25_gold_rank(spark, sf):
-    return rounded(tx.bm25_gold_rank(*retrieval(spark, sf)), 5)
+    return rounded(bm25.gold_rank(*retrieval(spark, sf)), 5)
+
+
+@query("bm25_scores", BM25 + " SELECT query_id, cat AS catalog_id, doc_id, round(score, 4) AS score FROM sc")
+def bm25_scores(spark, sf):
+    return rounded(bm25.scores(*retrieval(spark, sf)).withColumn("score", F.round("score", 9)), 4)
 
 
 @query("bm25_rank_metrics", BM25 + """ SELECT cat AS catalog_id, count(*) AS n, round(avg((rank <= 1)::int), 6) AS recall_at_1, round(avg((rank <= 3)::int), 6) AS recall_at_3,
   round(avg((rank <= 5)::int), 6) AS recall_at_5, round(avg((rank <= 10)::int), 6) AS recall_at_10, round(avg(1 / rank), 6) AS mrr FROM rk WHERE doc_id = gold GROUP BY 1""")
 def bm25_rank_metrics(spark, sf):
-    return rounded(tx.rank_metrics(tx.bm25_gold_rank(*retrieval(spark, sf)), ["catalog_id"]))
+    return rounded(tx.rank_metrics(bm25.gold_rank(*retrieval(spark, sf)), ["catalog_id"]))
 
 
 @query("bm25_shortlist", BM25 + """, ps AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS shown_at FROM dt)
 SELECT query_id, cat AS catalog_id, rk.doc_id, shown_at FROM rk JOIN ps ON ps.lang = cat AND ps.doc_id = rk.doc_id WHERE rank <= 5""")
 def bm25_shortlist(spark, sf):
-    d, m, q = retrieval(spark, sf)
-    return tx.shortlist(tx.bm25_scores(d, m, q), m, q, 5).drop("score")
+    return bm25.shortlist(*retrieval(spark, sf), 5).drop("score")
 
 
 @query("tool_documents", fx(f"""SELECT tool_id, list_aggregate(list_sort(['do'] || [first_prop] || [cast(p_partkey AS string)] || ['handles', 'item', cast(s.eff AS string)]
