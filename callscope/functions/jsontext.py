@@ -6,9 +6,11 @@ handles one document at a time in vectorised batches; Spark does all grouping an
 from __future__ import annotations
 
 import json
+import re
 from graphlib import CycleError, TopologicalSorter
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,26 +131,16 @@ def normalized_forms(body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in body], columns=["status", "normalized", "canonical"])
 
 
-def _fragments(text: str):
-    """Balanced top-level {...} pieces, skipping braces inside string literals."""
-    level, begin, pos, n = 0, 0, 0, len(text)
-    quoted = False
-    while pos < n:
-        ch = text[pos]
-        if quoted:
-            pos += 2 if ch == "\\" else 1
-            quoted = ch != '"'
-            continue
-        if ch == '"':
-            quoted = True
-        elif ch == "{":
-            begin = pos if level == 0 else begin
-            level += 1
-        elif ch == "}" and level:
-            level -= 1
-            if level == 0:
-                yield text[begin:pos + 1]
-        pos += 1
+_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)', re.DOTALL)
+
+
+def _fragments(text: str) -> list[str]:
+    """Pieces in balanced braces that lie in no other; literals are blanked, and the depth is a running sum held above zero."""
+    plain = _LITERAL.sub(lambda m: "_" * len(m[0]), text)
+    total = np.cumsum([(c == "{") - (c == "}") for c in plain] or [0])
+    depth = total - np.minimum(np.minimum.accumulate(total), 0)
+    before = np.concatenate([[0], depth[:-1]])
+    return [text[a:z + 1] for a, z in zip(np.flatnonzero((before == 0) & (depth == 1)), np.flatnonzero((before == 1) & (depth == 0)))]
 
 
 @F.pandas_udf(_row(strict=BOOL, found=INT, body=TEXT))

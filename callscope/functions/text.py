@@ -55,14 +55,9 @@ def clean_output(col: str) -> Column:
 
 
 def truncation_location(col: str) -> Column:
-    """Whether a cut text ends inside a string literal (escape aware inside strings only)."""
-    return F.expr(f"""
-      CASE WHEN aggregate(split({col}, ''), named_struct('q', false, 'e', false),
-        (s, c) -> CASE WHEN s.q AND s.e THEN named_struct('q', true, 'e', false)
-                       WHEN s.q AND c = '\\\\' THEN named_struct('q', true, 'e', true)
-                       WHEN c = '"' THEN named_struct('q', NOT s.q, 'e', false)
-                       ELSE s END, s -> s.q)
-      THEN 'in_string' ELSE 'between_tokens' END""")
+    """Whether a cut text ends inside a string literal: a quote is left where the complete literals are taken out."""
+    rest = F.regexp_replace(col, r'(?s)"(?:[^"\\]|\\.)*+"', "")
+    return F.when(F.contains(rest, F.lit('"')), "in_string").otherwise("between_tokens")
 
 
 def sha256_rank(seed, *cols: str) -> Column:

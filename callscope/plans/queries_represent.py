@@ -108,48 +108,43 @@ def repr_prompts(spark, sf):
 def texts(spark, sf):
     """Token counts arrive as a column; here a third of the characters."""
     t = tools(spark, sf)
-    m = rp.representations(t).where("arm IN ('minified', 'info')").withColumn("arm", F.expr("CASE arm WHEN 'minified' THEN 'raw' ELSE arm END"))
+    m = rp.representations(t).where("arm <> 'normalized'")
     return m.join(t.select("tool_id", "stratum"), "tool_id").withColumn("n_tokens", F.expr("cast(floor(length(text) / 3) as bigint)"))
 
 
-SIZES = ", " + JOINED + f""", x AS (SELECT tool_id, stratum, 'raw' AS arm, length({CARD % 'body'}) AS chars FROM t UNION ALL
-   SELECT tool_id, stratum, 'info', length(json(replace({CARD % INFO}, 'Handles', 'Handles'))) FROM t),
- y AS (SELECT *, chars // 3 AS tokens FROM x), z AS (SELECT y.*, r.tokens AS raw_tokens FROM y JOIN y r ON r.tool_id = y.tool_id AND r.arm = 'raw')"""
+# The printed arms have two blanks per level: their length is counted from the nodes of the text.
+BOTH = ", " + JOINED + f""", card AS (SELECT tool_id, stratum, 'raw' AS arm, {CARD % 'body'} AS body FROM t UNION ALL SELECT tool_id, stratum, 'info', {CARD % INFO} FROM t),
+ node AS (SELECT tool_id, stratum, arm, length(c.body) AS n, j.type AS kind, j.value::varchar AS value, len(regexp_extract_all(j.fullkey[2:], '[.]|\[')) AS lvl, j.fullkey
+   FROM card c, json_tree(c.body) j),
+ x AS (SELECT tool_id, any_value(stratum) AS stratum, arm, (any_value(n) + sum(CASE WHEN lvl > 0 THEN 1 + 2 * lvl ELSE 0 END) + count_if(lvl > 0 AND NOT ends_with(fullkey, ']'))
+     + sum(CASE WHEN kind IN ('OBJECT', 'ARRAY') AND value NOT IN ('{{}}', '[]') THEN 1 + 2 * lvl ELSE 0 END))::bigint AS chars FROM node GROUP BY tool_id, arm
+   UNION ALL SELECT tool_id, stratum, 'minified', length({CARD % 'body'}) FROM t),
+ y AS (SELECT *, chars // 3 AS tokens FROM x),
+ z AS (SELECT y.*, r.tokens - y.tokens AS token_reduction, round_even(100.0::double * (r.tokens - y.tokens) / r.tokens, 2) AS compression_pct
+   FROM y JOIN y r ON r.tool_id = y.tool_id AND r.arm = 'raw')"""
 
 
-@query("size_metrics", fx(SIZES + """ SELECT tool_id, arm, chars, tokens, raw_tokens - tokens AS token_reduction,
-  round(round_even(100.0::double * (raw_tokens - tokens) / raw_tokens, 2), 2) AS compression_pct FROM z WHERE arm = 'raw'""", "fx_pool fx_schemas"))
+@query("size_metrics", fx(BOTH + " SELECT tool_id, arm, chars, tokens, token_reduction, compression_pct FROM z WHERE arm = 'minified'", "fx_pool fx_schemas"))
 def size_metrics(spark, sf):
-    return rp.size_metrics(texts(spark, sf), "n_tokens").where("arm = 'raw'").select("tool_id", "arm", "chars", "tokens", "token_reduction", "compression_pct")
+    """What leaving out the blanks alone saves against the printed text."""
+    return rp.size_metrics(texts(spark, sf), "n_tokens").where("arm = 'minified'").select("tool_id", "arm", "chars", "tokens", "token_reduction", "compression_pct")
 
 
-@query("size_summary", fx(SIZES + """, w AS (SELECT *, unnest(['all', stratum]) AS s FROM z WHERE arm = 'raw')
-SELECT arm, s AS stratum, round_even(avg(tokens), 1) AS mean_tokens, 0.0::double AS median_compression_pct FROM w GROUP BY 1, 2""", "fx_pool fx_schemas"))
+@query("size_summary", fx(BOTH + """, w AS (SELECT *, unnest(['all', stratum]) AS s FROM z WHERE arm = 'minified')
+SELECT arm, s AS stratum, round_even(avg(tokens), 1) AS mean_tokens, median(compression_pct) AS median_compression_pct FROM w GROUP BY 1, 2""", "fx_pool fx_schemas"))
 def size_summary(spark, sf):
-    return rp.size_summary(rp.size_metrics(texts(spark, sf), "n_tokens")).where("arm = 'raw'").select("arm", "stratum", "mean_tokens", "median_compression_pct")
-
-
-# Both arms: the info arm is printed with two blanks per level, its length is counted from the nodes as for printed schemas.
-BOTH = ", " + JOINED + f""", card AS (SELECT tool_id, stratum, {CARD % INFO} AS body FROM t),
- node AS (SELECT tool_id, stratum, length(c.body) AS n, j.type AS kind, j.value::varchar AS value, len(regexp_extract_all(j.fullkey[2:], '[.]|\\[')) AS lvl, j.fullkey
-   FROM card c, json_tree(c.body) j),
- x AS (SELECT tool_id, stratum, 'raw' AS arm, length({CARD % 'body'}) AS chars FROM t UNION ALL
-   SELECT tool_id, any_value(stratum), 'info', (any_value(n) + sum(CASE WHEN lvl > 0 THEN 1 + 2 * lvl ELSE 0 END) + count_if(lvl > 0 AND NOT ends_with(fullkey, ']'))
-     + sum(CASE WHEN kind IN ('OBJECT', 'ARRAY') AND value NOT IN ('{{}}', '[]') THEN 1 + 2 * lvl ELSE 0 END))::bigint FROM node GROUP BY tool_id),
- y AS (SELECT *, chars // 3 AS tokens FROM x),
- z AS (SELECT y.*, r.tokens - y.tokens AS token_reduction, round_even(100.0::double * (r.tokens - y.tokens) / r.tokens, 2) AS compression_pct
-   FROM y JOIN y r ON r.tool_id = y.tool_id AND r.arm = 'raw')"""
+    return rp.size_summary(rp.size_metrics(texts(spark, sf), "n_tokens")).where("arm = 'minified'").select("arm", "stratum", "mean_tokens", "median_compression_pct")
 
 
-@query("size_metrics_arms", fx(BOTH + " SELECT tool_id, arm, chars, tokens, token_reduction, compression_pct FROM z", "fx_pool fx_schemas"))
+@query("size_metrics_arms", fx(BOTH + " SELECT tool_id, arm, chars, tokens, token_reduction, compression_pct FROM z WHERE arm <> 'minified'", "fx_pool fx_schemas"))
 def size_metrics_arms(spark, sf):
-    return rp.size_metrics(texts(spark, sf), "n_tokens").select("tool_id", "arm", "chars", "tokens", "token_reduction", "compression_pct")
+    return rp.size_metrics(texts(spark, sf), "n_tokens").where("arm <> 'minified'").select("tool_id", "arm", "chars", "tokens", "token_reduction", "compression_pct")
 
 
-@query("size_summary_arms", fx(BOTH + """, w AS (SELECT *, unnest(['all', stratum]) AS s FROM z)
+@query("size_summary_arms", fx(BOTH + """, w AS (SELECT *, unnest(['all', stratum]) AS s FROM z WHERE arm <> 'minified')
 SELECT arm, s AS stratum, round_even(avg(tokens), 1) AS mean_tokens, median(compression_pct) AS median_compression_pct FROM w GROUP BY 1, 2""", "fx_pool fx_schemas"))
 def size_summary_arms(spark, sf):
-    return rp.size_summary(rp.size_metrics(texts(spark, sf), "n_tokens")).select("arm", "stratum", "mean_tokens", "median_compression_pct")
+    return rp.size_summary(rp.size_metrics(texts(spark, sf), "n_tokens")).where("arm <> 'minified'").select("arm", "stratum", "mean_tokens", "median_compression_pct")
 
 
 @query("size_catalog_summary", fx("SELECT size, arm, round_even(avg(prompt_tokens), 1) AS mean, max(prompt_tokens) AS max FROM fx_expected GROUP BY 1, 2", "fx_expected"))
