@@ -25,7 +25,7 @@ from callscope.operators.ranking import running_totals
 from callscope.session import cut_lineage
 
 #: Turns and conversations that a container holds before it bursts.
-BURST = 4096
+BURST = 512
 #: Ids of one piece of a long list of members.
 PIECE = 4096
 

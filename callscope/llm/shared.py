@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.lookup import salted_join  # noqa: F401  the operators take it from here
 from callscope.operators.ranking import running_totals
 from callscope.session import cut_lineage
 
@@ -37,12 +38,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread: str, salts: int = 8) -> DataFrame:
-    """Inner join in which a key with a third of the large side's rows goes to ``salts`` tasks, dealt by ``spread``."""
-    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return large.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts))).join(each, [*on, "_salt"]).drop("_salt")
-
-
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once where ``then`` uses it often: a lambda computes again what it names by an expression."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
