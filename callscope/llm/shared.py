@@ -38,6 +38,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def comparable(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` in a form that can be hashed and ordered: what holds a map as its JSON text."""
+    return [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once where ``then`` uses it often: a lambda computes again what it names by an expression."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
