@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm.jaccard import near_components
-from callscope.llm.shared import batch, salted_join, slices, text_list, word_hashes
+from callscope.llm.shared import batch, salted_join, slices, text_list, unused
 from callscope.session import cut_lineage
 
 #: Leading tokens that name a leaf.
@@ -30,19 +29,16 @@ DEPTH = 3
 SIGHTINGS = 4.0
 #: Tokens without digits from which a line is long, and the independent sightings that make it recur as it stands.
 LONG, LONG_SIGHTINGS = 20, 2.0
-#: A share that tests compare with.
-INDEPENDENT = 0.5
 #: Share of constant tokens, among those behind the leaf's own, below which a line is not generalised.
 CONSTANT = 0.6
 #: Texts are near copies where the Jaccard join links them: NEAR_DEN * |both| >= NEAR_NUM * |either| over ``SHINGLE`` words.
 NEAR_NUM, NEAR_DEN = 4, 5
 #: Sums of weights are compared with a bar less this: thirds add up to a little less than one.
 ROUNDING = 1e-9
-#: Minimum hashes over shingles of ``SHINGLE`` words; an estimate that tests compare with.
-SIGNS, ALIKE, SHINGLE = 16, 8, 5
+#: Words of a shingle.
+SHINGLE = 5
 ROWS = 512
 
-_FLIPS = np.random.default_rng(5).integers(0, 2**63, SIGNS, np.uint64) * np.uint64(2)
 _DIGIT = regex.compile(r"\p{N}")
 VARIABLE = "<*>"
 
@@ -71,27 +67,6 @@ def line_keys(text: str) -> tuple[list[int | None], list[int | None], list[bool]
     return leaves, masks, longs
 
 
-def minimum_hashes(texts: pa.Array) -> list[list[int]]:
-    """Minima of shingle hashes under ``SIGNS`` bit flips; texts of fewer words are one shingle, blank ones have none."""
-    word, of, n = word_hashes(texts)
-    count = np.bincount(of, minlength=n)
-    run, last = word.copy(), np.arange(len(word))
-    for k in range(1, SHINGLE):
-        ahead = np.minimum(last + k, len(word) - 1)
-        run = (run * np.uint64(0x9E3779B97F4A7C15) ^ (run >> np.uint64(29))) + np.where(of[ahead] == of, word[ahead], np.uint64(0)) if len(word) else run
-    # shingles that would pass the text's end are left out, but for a text that has no other
-    place = last - np.repeat(np.cumsum(count) - count, count)
-    keep = (place <= (count - SHINGLE)[of]) | (place == 0)
-    run, of = run[keep], of[keep]
-    run = (run ^ (run >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    low = np.stack([np.minimum.reduceat(run ^ f, starts) for f in _FLIPS], axis=1).view(np.int64) if len(of) else np.zeros((0, SIGNS), np.int64)
-    out: list[list[int]] = [[] for _ in range(n)]
-    for doc, row in zip(of[starts].tolist(), low.tolist()):
-        out[doc] = row
-    return out
-
-
 def _described(texts: DataFrame) -> DataFrame:
     """(th, leaves, masks, longs) of each distinct text; ``th`` is a hash of the text."""
     schema = pa.schema([("th", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("leaves", "masks")), ("longs", pa.list_(pa.bool_()))])
@@ -174,11 +149,12 @@ def drop_lines(docs: DataFrame, text: str = "text", **options: float) -> DataFra
     Lines end with a line feed; blank lines stay. A null text stays null with 0 lines; a text of recurring lines alone
     becomes empty. Equal texts lose equal lines; other columns are kept as they are, but for the two names added.
     """
-    cut = recurring_lines(docs, text, **options).withColumnRenamed("th", "_th").withColumnRenamed("drop", "_drop")
-    joined = docs.withColumn("_th", F.xxhash64(docs[text])).join(cut, "_th", "left")
+    th, drop = unused(docs, "_th", "_drop")
+    cut = recurring_lines(docs, text, **options).withColumnRenamed("th", th).withColumnRenamed("drop", drop)
+    joined = docs.withColumn(th, F.xxhash64(docs[text])).join(cut, th, "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*[F.when(F.col("_drop").isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in others],
+    return joined.select(*[F.when(F.col(drop).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in others],
                          F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-                         F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(F.size("_drop"), F.lit(0))).cast("bigint").alias("n_dropped"))
+                         F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(F.size(drop), F.lit(0))).cast("bigint").alias("n_dropped"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.shared import comparable, unused
 from callscope.operators.ranking import running_totals
 from callscope.session import cut_lineage
 
@@ -107,15 +108,17 @@ def mix_rows(docs: DataFrame, power: float = 0.7) -> DataFrame:
     Sources weigh their words to ``power``, which lifts small ones, and the budget is the least that gives every source a
     complete epoch, so no document is lost and none comes more than ``MOST`` times. Blank texts come with each complete
     epoch; sources without any word are left out.
-    Rows that are equal in every column are interchangeable: their copies are counted together.
+    Rows that are equal in every column are interchangeable: their copies are counted together. Columns may have any name and
+    type; an empty table stays empty.
     """
-    row = F.xxhash64(*[docs[c] for c in docs.columns])
+    row = F.xxhash64(*comparable(docs))
+    at, many, copy = unused(docs, "_row", "_copies", "_copy")
     rows = measured(docs, row=row)
     sizes = source_sizes(rows).where("source_size > 0").withColumn("weight", F.pow("source_size", F.lit(power)))
     level = F.max(F.col("source_size") / F.col("weight"))
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(level.alias("level"))))  # one row
     budget = sizes.agg(F.sum(F.least(F.col("source_size") * MOST, F.col("weight") * F.col("level"))).alias("b")).first()["b"] or 0.0
-    copies = take(rows, level_targets(sizes.drop("level"), budget)).groupBy("row").agg(F.sum("copies").alias("_copies"))
-    once = docs.withColumn("_row", row).dropDuplicates(["_row"])
-    return (once.join(copies.withColumnRenamed("row", "_row"), "_row").where("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns))
+    copies = take(rows, level_targets(sizes.drop("level"), budget)).groupBy("row").agg(F.sum("copies").alias(many))
+    once = docs.withColumn(at, row).dropDuplicates([at])
+    return (once.join(copies.withColumnRenamed("row", at), at).where(F.col(many) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns]))
