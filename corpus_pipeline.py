@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm import bpe, jaccard, linetree, mix, quality
-from callscope.llm.shared import BLANKS, public_vocabulary
+from callscope.llm.shared import BLANKS, comparable, public_vocabulary, unused
 from callscope.session import shared_dir
 
 
@@ -32,12 +32,14 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows are known by a hash of id and text, so that every text is judged for itself where an id repeats, and rows without
     an id take part; they come last in the choice. Equal rows are one, blank texts are linked with nothing.
     """
-    named = docs.withColumn("_name", F.xxhash64("doc_id", "text"))
-    classes = jaccard.near_components(named, size=5, num=4, den=5, id="_name").select(F.col("doc_id").alias("_name"), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.length(F.coalesce("text", F.lit(""))), "_name").alias("order")
-    first = named.select("_name", order).distinct().join(classes, "_name").groupBy("component_id").agg(F.min("order").alias("order"))
-    rows = named.groupBy("_name").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return rows.join(first.select("order._name"), "_name", "left_semi").select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    name, row = unused(docs, "_name", "_row")
+    named = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    classes = jaccard.near_components(named, size=5, num=4, den=5, id=name).select(F.col("doc_id").alias(name), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.length(F.coalesce("text", F.lit(""))), name).alias("order")
+    first = named.select(name, order).distinct().join(classes, name).groupBy("component_id").agg(F.min("order").alias("order"))
+    all_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = named.groupBy(name).agg(F.min_by(all_columns, F.struct(*comparable(docs))).alias(row))
+    return rows.join(first.select(f"order.{name}"), name, "left_semi").select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
