@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from callscope.functions.text import sha256_rank
 from callscope.operators.ranking import running_totals
 from callscope.operators.stats import top_k
+from callscope.session import cut_lineage
 
 # fixed values: words a reviewed name or description must not contain, review codes
 REVIEW_CODES = ("OPAQUE", "TOY", "NO_USER_VALUES", "SEMANTIC_DUPLICATE", "PII")
@@ -84,22 +85,47 @@ def top_k_numbered(df: DataFrame, group: list[str], order: list, k: int) -> Data
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
 
 
+#: Families that a first cut by hash leaves for each place of a catalog, on average.
+MARGIN = 4
+
+
+def _first_families(pool: DataFrame, targets: DataFrame, replicates: int, seed, top: int, share: float, only: list[int] | None = None) -> DataFrame:
+    """The ``top`` families of least hash per replicate and stratum, of the tools whose hash lies in the first ``share`` of all.
+
+    A family's first tool has its least hash, so what lies below the cut is exact. The cut is made before rows are copied.
+    """
+    draw = f"sha2(concat_ws(':', '{seed}:replicate', cast(r as string), cast(tool_id as string)), 256)"
+    keep = [f"substr({draw}, 1, 8) < '{int(share * 2**32):08x}'"] if share < 1 else []
+    keep += [f"array_contains(array({', '.join(map(str, only))}), r)"] if only is not None else []
+    r = f"filter(sequence(0, {replicates - 1}), r -> {' AND '.join(keep) or 'true'})"
+    # targets are replicates x quota rows by construction
+    cand = pool.select("tool_id", "family", "stratum", F.explode(F.expr(r)).alias("replicate")).join(F.broadcast(targets.select("replicate", "family")), ["replicate", "family"], "left_anti")
+    cand = cand.withColumn("_h", sha256_rank(f"{seed}:replicate", "replicate", "tool_id"))
+    best = (cand.groupBy("replicate", "family").agg(F.min_by(F.struct("tool_id", "stratum", "_h"), "_h").alias("r"))
+            .select("replicate", "r.*"))
+    return top_k_numbered(best, ["replicate", "stratum"], ["_h"], top)
+
+
 def build_catalogs(pool: DataFrame, targets: DataFrame, replicates: int, sizes: list[int], seed) -> DataFrame:
     """Nested catalogs as members (catalog_id, replicate, size, tool_id, pos, presentation_pos).
 
     Distractors never share a family with a member; the next pick is flat while flat <= structured,
     which is the order (count so far in its stratum, flat first). Catalog k is the first k members,
     shown in a seeded order of its own.
+
+    A first cut by hash leaves about ``MARGIN`` families for each place; replicates to which it leaves too few of a stratum are
+    drawn again from the whole pool, so rows grow with the catalogs and the draw is exact.
     """
     top = max(sizes)
-    # targets are replicates x quota rows by construction
-    t = F.broadcast(targets.select("replicate", "family"))
-    cand = pool.select("tool_id", "family", "stratum").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    cand = cand.join(t, ["replicate", "family"], "left_anti")
-    cand = cand.withColumn("_h", sha256_rank(f"{seed}:replicate", "replicate", "tool_id"))
-    best = (cand.groupBy("replicate", "family").agg(F.min_by(F.struct("tool_id", "stratum", "_h"), "_h").alias("r"))
-            .select("replicate", "r.*"))
-    best = top_k_numbered(best, ["replicate", "stratum"], ["_h"], top)
+    strata = {r["stratum"]: r["n"] for r in pool.groupBy("stratum").agg(F.count_distinct("family").alias("n")).collect()}  # one row a stratum
+    share = min(1.0, MARGIN * top / max(1, min(strata.values(), default=1)))
+    best = cut_lineage(_first_families(pool, targets, replicates, seed, top, share))
+    if share < 1:
+        full = best.groupBy("replicate", "stratum").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {top}").groupBy("replicate").agg(F.count(F.lit(1)).alias("n"))
+        done = {r["replicate"] for r in full.where(f"n = {len(strata)}").collect()}  # one row a replicate
+        short = [r for r in range(replicates) if r not in done]
+        if short:
+            best = best.where(~F.col("replicate").isin(short)).unionByName(_first_families(pool, targets, replicates, seed, top, 1.0, short))
     have = targets.groupBy("replicate", "stratum").agg(F.count(F.lit(1)).alias("c"))
     total = targets.groupBy("replicate").agg(F.count(F.lit(1)).alias("k"))
     fill = (best.join(have, ["replicate", "stratum"], "left").join(total, "replicate")

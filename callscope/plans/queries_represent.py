@@ -114,7 +114,7 @@ def texts(spark, sf):
 
 # The printed arms have two blanks per level: their length is counted from the nodes of the text.
 BOTH = ", " + JOINED + f""", card AS (SELECT tool_id, stratum, 'raw' AS arm, {CARD % 'body'} AS body FROM t UNION ALL SELECT tool_id, stratum, 'info', {CARD % INFO} FROM t),
- node AS (SELECT tool_id, stratum, arm, length(c.body) AS n, j.type AS kind, j.value::varchar AS value, len(regexp_extract_all(j.fullkey[2:], '[.]|\[')) AS lvl, j.fullkey
+ node AS (SELECT tool_id, stratum, arm, length(c.body) AS n, j.type AS kind, j.value::varchar AS value, len(regexp_extract_all(j.fullkey[2:], '[.]|\\[')) AS lvl, j.fullkey
    FROM card c, json_tree(c.body) j),
  x AS (SELECT tool_id, any_value(stratum) AS stratum, arm, (any_value(n) + sum(CASE WHEN lvl > 0 THEN 1 + 2 * lvl ELSE 0 END) + count_if(lvl > 0 AND NOT ends_with(fullkey, ']'))
      + sum(CASE WHEN kind IN ('OBJECT', 'ARRAY') AND value NOT IN ('{{}}', '[]') THEN 1 + 2 * lvl ELSE 0 END))::bigint AS chars FROM node GROUP BY tool_id, arm
