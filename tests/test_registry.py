@@ -9,7 +9,8 @@ from oracle_check import compare, connect
 SF = "/root/testdata/sf0.001"
 FAST = ["stats_comparisons", "stats_run_cells", "calib_risk_coverage", "schema_exact_duplicates", "score_schema_errors", "score_route",
         "integrity_validate_rows", "overlay_violations", "ledger_check", "bm25_shortlist", "leak_issues", "lookalike_keys", "catalogs",
-        "sft_rows", "info_audit", "score_hostile", "near_dup_greedy_documents", "families_schemas", "calib_temperature", "schema_printed_sizes", "stream_pauses", "stream_pause_batch", "io_append_results", "metric_lookup"]
+        "sft_rows", "info_audit", "score_hostile", "near_dup_greedy_documents", "families_schemas", "calib_temperature", "schema_printed_sizes", "stream_pauses", "stream_pause_batch", "io_append_results", "metric_lookup",
+        "score_rule_keywords", "score_unchecked_keywords", "stream_stop_chains", "stream_sessions", "stream_rate_summary_batch", "bm25_scores"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not mounted")
