@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm.shared import ascii_lower, batch, parts, shingle_hashes, words
@@ -196,6 +196,35 @@ def _blocks(num: int, den: int):
     return run
 
 
+def linked_classes(plain: DataFrame, reps: DataFrame, ties: DataFrame, grams: Column, num: int, den: int) -> DataFrame:
+    """(node, class) of the nodes with a link; candidates (a, b) in ``ties`` are closed to families, which are compared exactly.
+
+    ``reps`` names the row of ``plain`` (id, th, text) that each node's set of n members is made from again.
+    """
+    ends = ties.select(F.col("a").alias("id")).union(ties.select(F.col("b").alias("id"))).distinct()
+    family = cut_lineage(components(ends, ties).select(F.col("id").alias("node"), F.col("label").alias("family")))
+
+    # blocks of a family by size, so that blocks whose sizes can't match are never paired
+    sized = family.join(reps, "node").withColumn("w", F.greatest("n", F.lit(LIGHT)))
+    dealt = running_totals(sized, ["family"], ["n", "node"], {"upto": "w"})
+    member = cut_lineage(dealt.select("id", "th", "node", "family", "n", F.floor((F.col("upto") - 1) / BLOCK_MEMBERS).alias("block")))
+    block = member.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = block.alias("x"), block.alias("y")
+    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block"))
+                   & (F.col("x.most") * den >= F.col("y.least") * num)).select(
+        F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    # shingles are made again, for members only; repeated rows are one where the join has brought them together
+    texts = plain.join(member.drop("n"), ["id", "th"]).distinct()
+    held = texts.select("node", "family", "block", grams.alias("grams"))
+    links = (held.join(sides, ["family", "block"]).select("family", "i", "j", "block", "node", "grams")
+             .groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"))
+    links = cut_lineage(links.distinct())
+
+    linked = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    return components(linked, links).select(F.col("id").alias("node"), F.col("label").alias("class"))
+
+
 def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents are linked where den * |both| >= num * |either|.
 
@@ -220,28 +249,7 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     # candidates: the sets of an equal fragment, each tied to the smallest of them
     ties = told.where("deal >= 0").select("deal", "sig", "at", "nodes").repartitionById(deals, "deal").mapInArrow(_ties, "a bigint, b bigint").distinct()
     ties = cut_lineage(ties)
-    ends = ties.select(F.col("a").alias("id")).union(ties.select(F.col("b").alias("id"))).distinct()
-    family = cut_lineage(components(ends, ties).select(F.col("id").alias("node"), F.col("label").alias("family")))
-
-    # blocks of a family by size, so that blocks whose sizes can't match are never paired
-    sized = family.join(reps, "node").withColumn("w", F.greatest("n", F.lit(LIGHT)))
-    dealt = running_totals(sized, ["family"], ["n", "node"], {"upto": "w"})
-    member = cut_lineage(dealt.select("id", "th", "node", "family", "n", F.floor((F.col("upto") - 1) / BLOCK_MEMBERS).alias("block")))
-    block = member.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = block.alias("x"), block.alias("y")
-    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block"))
-                   & (F.col("x.most") * den >= F.col("y.least") * num)).select(
-        F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    # shingles are made again, for members only; repeated rows are one where the join has brought them together
-    texts = plain.join(member.drop("n"), ["id", "th"]).distinct()
-    held = texts.select("node", "family", "block", grams.alias("grams"))
-    links = (held.join(sides, ["family", "block"]).select("family", "i", "j", "block", "node", "grams")
-             .groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"))
-    links = cut_lineage(links.distinct())
-
-    linked = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    whole = components(linked, links).select(F.col("id").alias("node"), F.col("label").alias("class"))
+    whole = linked_classes(plain, reps, ties, grams, num, den)
     known = cut_lineage(reps.select("node", "id").join(whole, "node", "left").select("node", "id", F.coalesce("class", "node").alias("class")))
     first = known.groupBy("class").agg(F.min("id").alias("component_id"))
     out = sets.select("id", "node", "n").join(known.join(first, "class").select("node", "component_id"), "node", "left")
