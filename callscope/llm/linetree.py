@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm.jaccard import linked_classes, near_components
-from callscope.llm.shared import ascii_lower, batch, salted_join, shingle_hashes, slices, text_list, unused, word_hashes, words
+from callscope.llm.shared import ascii_lower, batch, likely, salted_join, shingle_hashes, slices, text_list, unused, word_hashes, words
 from callscope.session import cut_lineage
 
 #: Leading tokens that name a leaf.
@@ -129,6 +129,11 @@ def _described(texts: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("th").agg(*[F.first(c).alias(c) for c in ("n", "leaves", "masks", "bands", "longs")]))
 
 
+def _once(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(th, text) of the distinct texts that may be wanted; copies are one before they are sent."""
+    return likely(texts, wanted, "th").groupBy("th").agg(F.first("text").alias("text"))
+
+
 def _groups(texts: DataFrame, described: DataFrame, exact: bool) -> DataFrame:
     """(th, group) of the distinct texts that a link of near copies reaches."""
     if exact:
@@ -139,9 +144,10 @@ def _groups(texts: DataFrame, described: DataFrame, exact: bool) -> DataFrame:
     least = each.groupBy("band", "value").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").drop("high")
     ties = salted_join(each, least, ["band", "value"], "th").where("th <> low").select(F.col("th").alias("a"), F.col("low").alias("b"))
     reps = described.where("n > 0").select(F.col("th").alias("node"), F.col("th").alias("id"), "th", "n")
-    plain = texts.select(F.col("th").alias("id"), "th", "text")
+    ties = cut_lineage(ties.distinct())
+    plain = _once(texts, ties.select(F.explode(F.array("a", "b")).alias("th"))).select(F.col("th").alias("id"), "th", "text")
     grams = shingle_hashes(words(ascii_lower(F.col("text"))), SHINGLE)
-    return linked_classes(plain, reps, cut_lineage(ties.distinct()), grams, NEAR_NUM, NEAR_DEN).select(F.col("node").alias("th"), F.col("class").alias("group"))
+    return linked_classes(plain, reps, ties, grams, NEAR_NUM, NEAR_DEN).select(F.col("node").alias("th"), F.col("class").alias("group"))
 
 
 def _weights(texts: DataFrame, described: DataFrame, exact: bool = False) -> DataFrame:
@@ -165,8 +171,8 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                         seen[mask] = (leaf, masked_tokens(line))
                 yield batch(schema, th=[th] * len(seen), leaf=[v[0] for v in seen.values()], mask=list(seen), tokens=[v[1] for v in seen.values()])
 
-    want = wanted.groupBy("th").agg(F.collect_list("mask").alias("want"))  # lines of one text
-    found = texts.join(want, "th").select("th", "text", "want").mapInArrow(run, "th bigint, leaf bigint, mask bigint, tokens array<string>")
+    want = cut_lineage(wanted.groupBy("th").agg(F.collect_list("mask").alias("want")))  # lines of one text
+    found = _once(texts, want).join(want, "th").select("th", "text", "want").mapInArrow(run, "th bigint, leaf bigint, mask bigint, tokens array<string>")
     return found.groupBy("leaf", "mask").agg(F.first("tokens").alias("tokens"))
 
 

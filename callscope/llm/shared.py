@@ -69,6 +69,24 @@ def shingle_hashes(word_list: Column, size: int) -> Column:
     return let(word_list, runs)
 
 
+#: Bits of the filter of ``likely``, in rows of 4 KB.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+
+
+def likely(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key may be among ``keys``, without a shuffle: 2^26 bits are broadcast, 8 MB however many keys there are.
+
+    More keys let more other rows through and lose none, so a join with the keys has to follow. Rows without a key go.
+    """
+    bit, names = F.pmod(F.xxhash64(on), F.lit(FILTER_BITS)), [F.col(f"`{c}`") for c in rows.columns]
+    row, at, bits = unused(rows, "_row", "_at", "_bits")
+    split = {row: F.shiftright(bit, 15), at: F.pmod(bit, F.lit(FILTER_ROW)).cast("int")}
+    held = keys.where(F.col(on).isNotNull()).select(*[c.alias(k) for k, c in split.items()]).groupBy(row).agg(F.bitmap_construct_agg(at).alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return (rows.where(F.col(on).isNotNull()).withColumns(split).join(F.broadcast(held), row)
+            .where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*names))
+
+
 def text_list(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]
