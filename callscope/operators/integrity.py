@@ -112,14 +112,15 @@ def effective_rows(rows: DataFrame, patches: DataFrame, key: str = "request_key"
     rows: key, prefix_check, fingerprint, engine_error, request_error, failure_class; patches: patch_id, key,
     source_sha256, legal_prefix (text). A patch that repeats, misses its row, hits a settled row, carries
     another fingerprint or no boolean verdict is reported and not applied. Originals stay as they are.
+    The sides are merged: derived rows are many times the file that they are estimated by, too many to broadcast.
     """
     first = patches.groupBy(key).agg(F.min("patch_id").alias("_first"))
-    p = patches.join(first, key).join(rows.select(key, F.col("prefix_check").alias("_state"), F.col("fingerprint").alias("_fp"), F.lit(True).alias("_known")), key, "left")
+    p = patches.join(first.hint("merge"), key).join(rows.select(key, F.col("prefix_check").alias("_state"), F.col("fingerprint").alias("_fp"), F.lit(True).alias("_known")).hint("merge"), key, "left")
     p = p.withColumn("problem", F.expr("""CASE WHEN _known IS NULL THEN 'unknown_key' WHEN patch_id <> _first THEN 'duplicate_patch'
         WHEN NOT _state <=> 'pending' THEN 'not_pending' WHEN NOT _fp <=> source_sha256 THEN 'wrong_fingerprint'
         WHEN NOT coalesce(legal_prefix IN ('true', 'false'), false) THEN 'verdict_not_boolean' END"""))
     good = p.where("problem IS NULL").select(key, (F.col("legal_prefix") == "true").alias("_legal"))
-    e = rows.join(good, key, "left")
+    e = rows.join(good.hint("merge"), key, "left")
     set_ = lambda c, v: F.when(F.col("_legal").isNotNull(), v).otherwise(F.col(c)).alias(c)
     changed = {"prefix_check": F.expr("if(_legal, 'verified', 'illegal')"), "engine_error": ~F.col("_legal"),
                "request_error": F.expr("if(_legal, NULL, 'engine_or_request_fault')"),
