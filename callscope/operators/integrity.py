@@ -1,8 +1,12 @@
 """Run planning, completeness, drift, overlays and ledgers."""
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscope.operators.ranking import running_totals
 
@@ -84,10 +88,21 @@ def todo(plan: DataFrame, done: DataFrame, key: str = "request_key") -> DataFram
 
 
 # ---------------------------------------------------------------- drift
+@F.pandas_udf(T.StringType())
+def _streamed_sha256(path: pd.Series) -> pd.Series:
+    """Digest of each local file, read in pieces."""
+    def one(p):
+        with open(p.removeprefix("file:"), "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    return path.map(one)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 per file below a folder."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select(F.col("path").alias("artefact"), F.sha2("content", 256).alias("sha256"), "length"))
+    """sha256 per file below a folder. Files of a mounted folder are streamed, others are held one at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    mounted = all(f.startswith("file:") for f in files.inputFiles())
+    sha = _streamed_sha256("path") if mounted else F.sha2("content", 256)
+    return files.select(F.col("path").alias("artefact"), sha.alias("sha256"), "length")
 
 
 def drift(old: DataFrame, new: DataFrame, key: str = "artefact", sha: str = "sha256") -> DataFrame:

@@ -19,3 +19,12 @@ def test_overlay_merges_its_sides(spark):
     assert "BroadcastHashJoin" not in plan_of(done) + plan_of(bad)
     assert sorted((r.request_key or "", r.prefix_check) for r in done.collect() if r.request_key != "b") == [("", "pending"), ("a", "verified")]
     assert sorted((r.patch_id, r.problem) for r in bad.collect()) == [(2, "duplicate_patch"), (3, "not_pending"), (4, "unknown_key")]
+
+
+def test_mounted_files_are_digested_in_pieces(spark, tmp_path):
+    texts = {"a b.json": b"y", "c+d%20.json": b"x" * 3_000_000}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    m = ig.manifest(spark, str(tmp_path))
+    assert "content:binary" not in plan_of(m)
+    assert {r.artefact.rsplit("/", 1)[1]: (r.sha256, r.length) for r in m.collect()} == {n: (hashlib.sha256(t).hexdigest(), len(t)) for n, t in texts.items()}
