@@ -28,3 +28,10 @@ def test_mounted_files_are_digested_in_pieces(spark, tmp_path):
     m = ig.manifest(spark, str(tmp_path))
     assert "content:binary" not in plan_of(m)
     assert {r.artefact.rsplit("/", 1)[1]: (r.sha256, r.length) for r in m.collect()} == {n: (hashlib.sha256(t).hexdigest(), len(t)) for n, t in texts.items()}
+
+
+def test_reasons_are_counted_in_one_pass(spark):
+    d = spark.createDataFrame([(["x:1", "y"],), (["x:2", "x"],), ([],), (None,)], "exclusion_reasons array<string>")
+    got = co.reason_counts(d)
+    assert {r.reason: (r.n_all, r.n_first) for r in got.collect()} == {"x": (3, 2), "y": (1, 0)}
+    assert "Union" not in plan_of(got)
