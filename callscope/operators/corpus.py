@@ -8,6 +8,7 @@ from callscope.functions.jsontext import normalized_forms, text_forms
 from callscope.functions.jsontree import ARR, OBJ, SEP, once, strict_variant, tree_nodes, with_nodes
 from callscope.operators.lookup import left_lookup
 from callscope.operators.schematree import schema_nodes, schema_tree, sql_list, with_schema_tree
+from callscope.session import cut_lineage
 
 # fixed values: keyword groups of the audit
 CONSTRAINTS = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength",
@@ -238,8 +239,10 @@ def mark_exact_duplicates(df: DataFrame, order: list[str] = ("schema_id",), sha:
     """Among eligible rows, later copies of a digest point at its first holder.
 
     The first holder comes from a map-side combined minimum, so a digest shared by a third of the
-    corpus costs one row in the lookup, not one giant group.
+    corpus costs one row in the lookup, not one giant group. Rows are fixed before: what leads to them, an audit of every
+    document, would be done again for the lookup.
     """
+    df = cut_lineage(df)
     first = (df.where("eligible").groupBy(sha)
              .agg(F.min(F.struct(*order, F.col(key).alias("_first"))).alias("_f")).select(sha, F.col("_f._first").alias("_first")))
     j = left_lookup(df, first, sha, key)
