@@ -76,3 +76,20 @@ def test_nested_recursion_and_empty_table(spark):
     got = calls.join(sr.schema_rules(d), "tool_name").select(F.expr(sr.rule_errors_sql()).alias("e")).collect()
     assert [[(x["validator"], x["path"]) for x in r["e"]] for r in got] == [[("required", "/".join(["c/0"] * 12))]]
     assert sr.schema_rules(d.limit(0)).collect() == []
+
+
+def test_places_give_the_errors_of_the_loops(spark):
+    """Plain schemas are checked by place; what has another link, a mixed name or a false element schema is not."""
+    tool = {"type": "object", "properties": {"k": {"type": "integer", "maximum": 9}, "no": False, "tags": {"minItems": 3, "items": {"type": "string"}},
+                                             "in": {"properties": {"q": {"enum": [1]}}, "required": ["z"]}}, "required": ["k", "w"], "additionalProperties": False}
+    mixed = {"properties": {"a.b": {"type": "string"}, "a": {"properties": {"b": {"type": "integer"}}}}}
+    given = [(tool, {"k": 10.5, "no": 1, "tags": ["a", 1], "in": {"q": 2}, "x": 1}), (tool, {"in.q": 2, "k": 1}), (tool, {"": {"k": "s"}, "tags[]": 1}),
+             (mixed, {"a.b": 1, "a": {"b": "s"}}), ({"items": False}, [1]), ({"not": {"type": "object"}, "properties": {"a": {"type": "string"}}}, {"a": 1}),
+             ({"then": {"required": ["q"]}, "properties": {"a": {"type": "string"}}}, {"a": 1})]
+    d = spark.createDataFrame([(i, json.dumps(b), json.dumps(c)) for i, (b, c) in enumerate(given)], "id int, body string, call string")
+    calls = with_nodes(d.select("id", "call"), "call", "arg_nodes").join(sr.schema_rules(d, "id", "body"), "id")
+    loops = calls.withColumn("rules", F.transform("rules", lambda r: r.withField("places", F.lit(None).cast("array<string>"))))
+    errors = F.expr(sr.rule_errors_sql()).alias("e")
+    got, want = ({r["id"]: sorted(tuple(x) for x in r["e"]) for r in t.select("id", errors).collect()} for t in (calls, loops))
+    assert got == want and len(got[0]) == 9 and got[4] == [("false", "0")]
+    assert [r["p"] for r in calls.orderBy("id").selectExpr("rules[0].places IS NOT NULL AS p").collect()] == [True, True, True, False, False, False, False]
