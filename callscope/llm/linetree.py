@@ -101,13 +101,16 @@ def set_bands(texts: pa.Array) -> tuple[list[int], list[list[int]]]:
         inside = place[at] + k < count[doc]
         grams[inside] += _spread(value[at[inside] + k] * _PLACES[k])
     grams = _spread(grams)
-    _, once = np.unique(grams ^ _spread(doc.astype(np.uint64) + np.uint64(1)), return_index=True)
-    sizes = np.bincount(doc[once], minlength=n)
+    # the upper bits name the text, so one sort of plain numbers counts all texts' distinct shingles
+    low = np.uint64(64 - n.bit_length())
+    told = np.sort((doc.astype(np.uint64) << low) | (grams >> np.uint64(n.bit_length())))
+    once = np.concatenate([[True], told[1:] != told[:-1]])
+    sizes = np.bincount((told[once] >> low).astype(np.int64), minlength=n)
     held = np.flatnonzero(count)
     starts = np.searchsorted(doc, held)
-    out = np.zeros((len(held), BANDS), np.uint64)
+    out, product = np.zeros((len(held), BANDS), np.uint64), np.empty_like(grams)
     for k, factor in enumerate(_FACTORS):
-        out[:, k // WIDE] = _spread(out[:, k // WIDE] + np.minimum.reduceat(grams * factor, starts) + np.uint64(k))
+        out[:, k // WIDE] = _spread(out[:, k // WIDE] + np.minimum.reduceat(np.multiply(grams, factor, out=product), starts) + np.uint64(k))
     for d, row in zip(held.tolist(), out.view(np.int64).tolist(), strict=True):
         bands[d] = row
     return sizes.tolist(), bands

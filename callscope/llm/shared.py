@@ -94,6 +94,7 @@ def text_list(column: pa.Array) -> list[str]:
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MIX = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+_MIXED = np.where(_BLANK, np.uint64(0), _MIX)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,16 +110,20 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """A 64-bit hash of every word of every text in order, the text each is of, and the number of texts."""
     data, offsets = text_bytes(texts)
     n = len(offsets) - 1
-    doc = np.repeat(np.arange(n), np.diff(offsets))
     blank = _BLANK[data]
     begin = ~blank
-    begin[1:] &= blank[:-1] | (doc[1:] != doc[:-1])
+    begin[1:] &= blank[:-1]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    begin[edge] = ~blank[edge]
     starts = np.flatnonzero(begin)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), n
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff([*starts, len(data)]))
-    value = np.where(blank[starts[0]:], np.uint64(0), _MIX[data[starts[0]:]] * (2 * place + 1).astype(np.uint64))
-    return np.add.reduceat(value, starts - starts[0]), doc[starts], n
+    # a byte weighs its odd number within the word: its number within the column, less twice the word's start
+    value = _MIXED[data]
+    whole = np.add.reduceat(value, starts)
+    value *= np.arange(1, 2 * len(data), 2, dtype=np.uint64)
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    return np.add.reduceat(value, starts) - 2 * starts.astype(np.uint64) * whole, doc, n
 
 
 def slices(b: pa.RecordBatch, column: int, rows: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
