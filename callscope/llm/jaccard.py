@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from callscope.llm.shared import ascii_lower, batch, parts, shingle_hashes, words
 from callscope.operators.graph import components
 from callscope.operators.ranking import running_totals
-from callscope.session import cut_lineage
+from callscope.session import cut_lineage, small_batches
 
 #: Members that one block of a family may hold; a document counts as ``LIGHT`` at least, so its rows are bounded too.
 BLOCK_MEMBERS = 300_000
@@ -233,6 +233,7 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5,
     links. One row per input row, repeated rows too. Rows without an id link nothing; where a row with an id has the same
     set, they share its component, else theirs is null.
     """
+    small_batches(docs.sparkSession)
     grams = shingle_hashes(words(ascii_lower(F.col("text"))), size)
     plain = docs.select(docs[id].cast("bigint").alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     # a set of n words has about as many signatures as its levels have fragments: deals are sized by the length of all texts

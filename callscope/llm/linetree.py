@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm.jaccard import linked_classes, near_components
 from callscope.llm.shared import ascii_lower, batch, likely, salted_join, shingle_hashes, slices, text_list, unused, word_hashes, words
-from callscope.session import cut_lineage
+from callscope.session import cut_lineage, small_batches
 
 #: Leading tokens that name a leaf.
 DEPTH = 3
@@ -181,6 +181,7 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, text: str = "text", sightings: float = SIGHTINGS, long_sightings: float = LONG_SIGHTINGS, exact: bool = False) -> DataFrame:
     """(th, drop): numbers of the lines of each distinct text whose template recurs; ``th`` is xxhash64 of the text."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).where(docs[text].isNotNull())
     described = _described(texts)
     w = cut_lineage(_weights(texts, described, exact))

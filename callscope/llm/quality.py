@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm.shared import batch, slices, text_bytes, word_hashes
+from callscope.session import small_batches
 
 #: Labelled rows of each class that the classifier is fitted on, at most; the first by a hash of their id.
 PER_CLASS = 2048
@@ -169,6 +170,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
 
     The score is computed beside the row, so no join on ids is needed and repeated ids are judged each by its text.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at_text = docs.columns.index("text")
 
